@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import ann, chat, mixing, sharding, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op4_sharding": sharding.op4_sharding,
+    "op8_chat": chat.op8_chat,
+    "op9_ann": ann.op9_ann,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES = {
+    "op8_chat": chat.SQL,
+    "op9_ann": ann.SQL,
     "op10_mixing": mixing.SQL,
 }
