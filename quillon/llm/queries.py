@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, chat, mixing, sharding, simhash
+from . import ann, chat, decontaminate, mixing, quality, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_quality": quality.op2_quality,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_sharding": sharding.op4_sharding,
     "op8_chat": chat.op8_chat,
     "op9_ann": ann.op9_ann,
