@@ -31,7 +31,7 @@ result.  Extra columns are ignored by :func:`groups` and kept by :func:`dedup`.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,10 +58,9 @@ _PIECE = 1 << 20
 # --- fingerprints -----------------------------------------------------------------------------
 
 
-def _digests(text: bytes, shingle: int, seed: int) -> Iterator[bytes]:
+def _digests(text: bytes, shingle: int, seed: int, one: Callable[[bytes, int], bytes] = xxhash.xxh64_digest) -> Iterator[bytes]:
     """Concatenated big-endian hashes of the shingles of ``text``, a bounded piece of it at a time."""
     text, at, words, any_yet = text.translate(_LOWER), 0, [], False
-    one = xxhash.xxh64_digest
     while at < len(text):
         cut = len(text)
         if at + _PIECE < cut and (m := _SPACE.search(text, at + _PIECE)):
@@ -273,13 +272,13 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU) -> DataFrame
     return prints.join(group_of(prints, tau), "fp").select("doc_id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU) -> DataFrame:
-    """The rows of ``docs`` but one of each group: that with the least (doc_id, fingerprint) stays.
+def _keep_first(docs: DataFrame, slim: DataFrame, recompute) -> DataFrame:
+    """The row with the least (doc_id, fp) of each group; ``slim`` has doc_id, fp and component_id of every row.
 
     Rows whose doc_id is not repeated are dropped by an anti-join with the ids
-    of those that go; only rows that share an id are compared by fingerprint.
+    of those that go; only rows that share an id, or have none, are told apart
+    by ``recompute(rows, text column, name)``, which adds their fp.
     """
-    slim = materialize(groups(docs, shingle, tau), "groups")
     ids = slim.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("component_id").alias("component_id"))
     once = F.col("doc_id").isNotNull() & (F.col("n") == 1)
     lost = ids.filter(once & (F.col("doc_id") != F.col("component_id"))).select("doc_id")
@@ -290,13 +289,199 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU) -> DataFrame:
     single = docs.join(again, docs["doc_id"].eqNullSafe(again["again"]), "left_anti").join(lost, "doc_id", "left_anti")
     winners = slim.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("w")).select("w.doc_id", "w.fp")
     name, copy, wid, wfp = unused(docs, "fp", "text_copy", "w_id", "w_fp")
-    own = with_fingerprint(rows.withColumn(copy, F.col("text")), shingle, text=copy, name=name)
+    own = recompute(rows.withColumn(copy, F.col("text")), copy, name)
     w = winners.select(F.col("doc_id").alias(wid), F.col("fp").alias(wfp))
     kept = own.join(w, own["doc_id"].eqNullSafe(w[wid]) & (own[name] == w[wfp]), "left_semi").dropDuplicates(["doc_id", name])
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return single.select(*columns).unionByName(kept.select(*columns))
 
 
+def dedup(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU) -> DataFrame:
+    """The rows of ``docs`` but one of each group of :func:`groups`."""
+    slim = materialize(groups(docs, shingle, tau), "groups")
+    return _keep_first(docs, slim, lambda rows, text, name: with_fingerprint(rows, shingle, text=text, name=name))
+
+
+# --- five-word shingles at a similarity of 0.8 --------------------------------------------------
+#
+# At that similarity SimHash distances are about 15 % of the bits, where keys of the pigeonring
+# principle no longer select: a key short enough to be equal is shared by most unrelated pairs.
+# So candidates share one of BANDS keys of BAND_ROWS least hashes each (a pair at 0.8 shares one
+# with a probability of 0.995), and the Hamming check on 128 bits decides.
+
+WIDE_SHINGLE = 5
+RADIUS = 24
+BANDS, BAND_ROWS = 10, 4
+#: Most rows of a bucket that are compared in one task.
+BLOCK = 4096
+
+_rng = np.random.default_rng(5)
+_A = _rng.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
+
+
+def _wide_digests(text: bytes) -> Iterator[bytes]:
+    return _digests(text, WIDE_SHINGLE, SEED, xxhash.xxh3_128_digest)
+
+
+def wide_prints(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints as [n, 2] uint64, band keys as [n, BANDS] uint64)."""
+    counts, n = np.zeros((len(texts), 128), np.int64), np.zeros(len(texts), np.int64)
+    least = np.full((len(texts), BANDS * BAND_ROWS), 2**64 - 1, np.uint64)
+    held: list[tuple[int, bytes]] = []
+
+    def flush() -> None:
+        rows = np.array([r for r, _ in held])
+        sizes = np.array([len(d) // 16 for _, d in held])
+        data = np.frombuffer(b"".join(d for _, d in held), np.uint8).reshape(-1, 16)
+        base = np.repeat(np.arange(len(held)) * 256, sizes)
+        part = [np.bincount(base + data[:, k], minlength=len(held) * 256).reshape(-1, 256) @ _BITS for k in range(16)]
+        np.add.at(counts, rows, np.concatenate(part, axis=1))
+        np.add.at(n, rows, sizes)
+        h, start = np.ascontiguousarray(data[:, :8]).view(np.uint64).reshape(-1), np.cumsum(sizes) - sizes
+        for k in range(BANDS * BAND_ROWS):
+            np.minimum.at(least[:, k], rows, np.minimum.reduceat(h * _A[k] + _B[k], start))
+        held.clear()
+
+    waiting = 0
+    for row, text in enumerate(texts):
+        for digests in _wide_digests(text or b""):
+            held.append((row, digests))
+            waiting += len(digests)
+            if waiting > 1 << 20 or len(held) >= 256:
+                flush()
+                waiting = 0
+    if held:
+        flush()
+    prints = np.packbits(2 * counts > n[:, None], axis=1).view(">u8").astype(np.uint64).reshape(-1, 2)
+    keys = np.empty((len(texts), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(texts), band + 1, np.uint64)
+        for k in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
+            key = (key ^ (least[:, k] >> np.uint64(11))) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        keys[:, band] = key
+    return prints, keys
+
+
+def with_wide_print(docs: DataFrame, text: str = "text", name: str = "fp", bands: str | None = None) -> DataFrame:
+    """``docs`` without its text, with the 128 bits as one binary column and, if asked for, the band keys."""
+    keep = [c for c in docs.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                prints, keys = wide_prints(_binary(part.column(part.num_columns - 1)))
+                own = [pa.array([x.tobytes() for x in prints], pa.binary())]
+                own += [pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))] if bands else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *own], names=[*part.schema.names[:-1], name, *([bands] if bands else [])])
+
+    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias(text))
+    shape = slim.drop(text).withColumn(name, F.lit(b""))
+    return slim.mapInArrow(run, (shape.withColumn(bands, F.array(F.lit(0).cast("long"))) if bands else shape).schema)
+
+
+def _wide_forest(nodes: np.ndarray, prints: np.ndarray, radius: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """(edges of a spanning forest, a node of each tree)."""
+    edges, roots = [], []
+    left = np.arange(len(nodes))
+    while len(left):
+        todo, left = [left[0]], left[1:]
+        roots.append(nodes[todo[0]])
+        while todo and len(left):
+            one = todo.pop()
+            near = np.bitwise_count(prints[left] ^ prints[one]).sum(axis=1) <= radius
+            if near.any():
+                found = left[near]
+                edges += [(nodes[one], x) for x in nodes[found]]
+                todo += found.tolist()
+                left = left[~near]
+    return edges, roots
+
+
+def _wide_link(rows: DataFrame, radius: int) -> DataFrame:
+    """From (k1, k2, node, fp): edges (a, b), and (root, root) with k1 for each tree of a bucket (k1, k2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(k1: np.ndarray, k2: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
+            new = np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+            size = np.diff(np.r_[new, len(k1)])
+            out: list[tuple[int, int, int]] = []
+            for at, n in zip(new[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+                edges, roots = _wide_forest(node[at : at + n], fp[at : at + n], radius)
+                out += [(a, b, k1[at]) for a, b in edges] + [(a, a, k1[at]) for a in roots]
+            if not out:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*out, strict=True)], names=["a", "b", "k1"])
+
+        rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.uint64)]
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, 2)
+            cols = [*[batch.column(i).to_numpy(False) for i in range(3)], raw]
+            now = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+            cut = int(np.argmax((now[0] == now[0][-1]) & (now[1] == now[1][-1])))
+            if cut and (out := found(*(x[:cut] for x in now))):
+                yield out
+            rest = [x[cut:].copy() for x in now]
+        if len(rest[0]) and (out := found(*rest)):
+            yield out
+
+    dealt = rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+    return dealt.select("k1", "k2", "node", "fp").mapInArrow(run, "a long, b long, k1 long")
+
+
+def similar_links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) among ``nodes`` (node, fp, bands), which should be materialised.
+
+    Buckets of more than ``block`` rows are dealt into blocks.  A block's trees
+    then stand for it: one node of each goes on to the next round, dealt anew.
+    A large group of near copies shrinks by its size at once; what a round
+    hardly shrinks is compared block by block with all others of its bucket.
+    """
+    keys = nodes.select("node", "fp", F.explode("bands").alias("k1"))
+    edges = None
+    past = None
+    while True:
+        sizes = keys.groupBy("k1").count()
+        hot = materialize(sizes.filter(F.col("count") > block).withColumn("blocks", F.ceil(F.col("count") / block).cast("int")), "hot-buckets")
+        total = hot.agg(F.sum("count")).first()[0] or 0
+        if not total:
+            own = _wide_link(keys.withColumn("k2", F.lit(0).cast("long")), radius)
+            return (own if edges is None else edges.unionByName(own)).select("a", "b")
+        cold = _wide_link(keys.join(hot, "k1", "left_anti").withColumn("k2", F.lit(0).cast("long")), radius)
+        edges = cold if edges is None else edges.unionByName(cold)
+        dealt = keys.join(hot.select("k1", "blocks"), "k1").withColumn("c", F.pmod(F.xxhash64("node", F.lit(total)), F.col("blocks")).cast("long"))
+        if past is not None and total > 0.9 * past:
+            other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("o")
+            pairs = dealt.select("*", other).withColumn("k2", F.least("c", "o") * F.col("blocks") + F.greatest("c", "o")).drop("c", "o", "blocks")
+            return edges.unionByName(_wide_link(pairs, radius)).select("a", "b")
+        found = materialize(_wide_link(dealt.withColumnRenamed("c", "k2"), radius), "block-trees")
+        alone = dealt.groupBy("k1", "c").count().filter("count = 1").select("k1", "c")  # a block of one gives no tree
+        edges = edges.unionByName(found)
+        roots = found.filter("a = b").select(F.col("a").alias("node"), "k1")
+        lone = dealt.join(alone, ["k1", "c"], "left_semi").select("node", "k1")
+        keys = materialize(roots.unionByName(lone).distinct().join(nodes.select("node", "fp"), "node").select("node", "fp", "k1"), "block-roots")
+        past = total
+
+
+def similar_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp (128 bits) and component_id of every row, for five-word shingles at a similarity of 0.8."""
+    prints = materialize(with_wide_print(docs.select("doc_id", "text"), bands="bands"), "wide-prints")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("bands").alias("bands"))
+    nodes = materialize(nodes.withColumn("node", F.xxhash64("fp")), "wide-nodes")
+    roots = materialize(_graph.components(similar_links(nodes.select("node", "fp", "bands"), radius)), "wide-roots")
+    named = nodes.select("node", "fp", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    return prints.select("doc_id", "fp").join(named.join(lows, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def dedup_similar(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` but one of each group of :func:`similar_groups`."""
+    slim = materialize(similar_groups(docs, radius), "wide-groups")
+    return _keep_first(docs, slim, lambda rows, text, name: with_wide_print(rows, text, name))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
