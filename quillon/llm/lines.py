@@ -14,9 +14,9 @@ on.  A key of more than ``BUCKET`` rows is split: what is left between the
 equal ends is halved again, and one half must be equal too, until at most one
 character is left.  So every bucket ends up small without dropping a pair.
 
-Pairs of small buckets are verified by a banded bit-parallel edit distance: one
-machine word for each number of edits holds the diagonals of the band, and a
-fold over the characters updates them.
+Pairs of small buckets are verified by a banded bit-parallel edit distance on
+the part between their equal ends: one machine word for each number of edits
+holds the diagonals of the band, and a fold over the characters updates them.
 
 Lines are told apart by a 64-bit hash; among n lines about n**2 / 2**65 pairs
 collide, under 1e-5 up to ten million lines.
@@ -37,6 +37,8 @@ from ._common import materialize, table
 
 LEAST_CHARS = 20
 BUCKET = 32
+#: Parts of a line of which all but one must be unchanged before a pair is verified.
+BLOCKS = 16
 #: Most rows of a side that is broadcast (a few longs each); beyond, the join shuffles.
 SMALL = 500_000
 
@@ -162,6 +164,31 @@ def _bit(at: Column, width: int) -> Column:
     return out
 
 
+def verified(pairs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """Rows of ``pairs`` (lx, ly, ...) within one edit.
+
+    Of ``blocks`` parts of the shorter line all but one must be unchanged,
+    aligned to the start before it and to the end after it.  That leaves few
+    pairs, and equal ends don't change a distance, so only the part between
+    them goes through the bit-parallel steps.
+    """
+    swap = F.length("lx") > F.length("ly")
+    rows = pairs.withColumns({"short": F.when(swap, F.col("ly")).otherwise(F.col("lx")), "tall": F.when(swap, F.col("lx")).otherwise(F.col("ly"))})
+    n, m = F.length("short"), F.length("tall")
+    head = lambda j: F.floor(j * n / blocks).cast("int")
+    tail = lambda j: (n - F.floor((j + 1) * n / blocks)).cast("int")
+
+    def same(j: Column) -> Column:
+        start = F.substring(F.col("short"), F.lit(1), head(j)) == F.substring(F.col("tall"), F.lit(1), head(j))
+        return start & (F.right(F.col("short"), tail(j)) == F.right(F.col("tall"), tail(j)))
+
+    found = F.get(F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), same), F.lit(0))
+    rows = rows.filter(m - n <= 1).withColumn("j", found).filter("j is not null")
+    j = F.col("j")
+    part = lambda c, size: F.substring(F.col(c), head(j) + 1, size - head(j) - tail(j))
+    return rows.filter(within(part("short", n), part("tall", m)))
+
+
 def classes(lines: DataFrame) -> DataFrame:
     """(node, root) of all lines (id, line) that link to another."""
     verify, sure = candidates(lines.filter(F.length("line") >= LEAST_CHARS))
@@ -169,7 +196,11 @@ def classes(lines: DataFrame) -> DataFrame:
     ids = materialize(verify.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "line-ids")
     texts = materialize(lines.select("id", "line").join(_small(ids), "id", "left_semi"), "line-texts")
     x, y = texts.select(F.col("id").alias("x"), F.col("line").alias("lx")), texts.select(F.col("id").alias("y"), F.col("line").alias("ly"))
-    linked = verify.join(x, "x").join(y, "y").filter(within(F.col("lx"), F.col("ly"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    spark = lines.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    # Few bytes but much work a row: dealt by number, so that small files don't end up in a task or two.
+    pairs = verify.join(x, "x").join(y, "y").repartition(tasks, "x", "y")
+    linked = verified(pairs).select(F.col("x").alias("a"), F.col("y").alias("b"))
     return _graph.components(linked.unionByName(sure))
 
 
