@@ -27,12 +27,13 @@ def prepare(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     return base.withColumn("tags", tagger(F.col("t"))) if tagger else base
 
 
-_t, _f, _s = F.col("t"), F.col("f"), F.col("s")
-n_t, n_w, n_s = F.size("t"), F.size("f"), F.size("s")
-n_v = F.size(F.array_distinct("t"))
+def _sizes() -> tuple[Column, Column, Column, Column]:
+    """Numbers of tokens, words, sentences and distinct tokens."""
+    return F.size("t"), F.size("f"), F.size("s"), F.size(F.array_distinct("t"))
 
 
 def _basic(stopwords: Column) -> dict[str, Column]:
+    n_t, n_w, n_s, n_v = _sizes()
     return {
         "numberOfCharacters": F.length("text"),
         "numberOfCharactersNoSpaces": F.length(F.replace("text", F.lit(" "), F.lit(""))),
@@ -52,7 +53,8 @@ def _basic(stopwords: Column) -> dict[str, Column]:
 
 
 def _readability(easy: Column) -> dict[str, Column]:
-    syllable_total = T.total(_f, T.syllables)
+    _, n_w, n_s, n_v = _sizes()
+    syllable_total = T.total(F.col("f"), T.syllables)
     per_sentence = T.ratio(n_w, n_s)
     hard = T.ratio(T.count_if("f", lambda w: ~F.array_contains(easy, w)), n_w)
     log_w = F.ln(n_w.cast("double"))
@@ -66,7 +68,7 @@ def _readability(easy: Column) -> dict[str, Column]:
         "fleschReadingEase": 206.835 - 1.015 * per_sentence - 84.6 * T.ratio(syllable_total, n_w),
         "fleschKincaidGradeLevel": 0.39 * per_sentence + 11.8 * T.ratio(syllable_total, n_w) - 15.59,
         "daleChallReadabilityFormula": 0.1579 * (100 * hard) + 0.0496 * per_sentence + F.when(hard > 0.05, 3.6365).otherwise(0.0),
-        "automatedReadabilityIndex": F.ceil(4.71 * T.ratio(T.total(_f, F.length), n_w) + 0.5 * per_sentence - 21.43),
+        "automatedReadabilityIndex": F.ceil(4.71 * T.ratio(T.total(F.col("f"), F.length), n_w) + 0.5 * per_sentence - 21.43),
         "simpleMeasureOfGobbledygook": 1.0430 * F.sqrt(T.ratio(T.count_if("f", lambda w: T.syllables(w) >= 3) * 30, n_s)) + 3.1291,
         "lix": per_sentence + 100 * T.ratio(T.count_if("lens", lambda n: n >= LONG_WORD), n_w),
         "wordVariationIndex": finite,
@@ -93,7 +95,8 @@ def frequencies(array: Column) -> Column:
 
 
 def _lexical(easy: Column) -> dict[str, Column]:
-    counts = frequencies(_f)
+    n_t, n_w, _, n_v = _sizes()
+    counts = frequencies(F.col("f"))
     ttr = T.ratio(n_v, n_w)
     types = counts["types"].cast("double")
     return {
@@ -197,6 +200,7 @@ def tree_height(heads: Column) -> Column:
 
 
 def _grammar() -> dict[str, Column]:
+    _, n_w, n_s, _ = _sizes()
     words = F.array_distinct(F.filter("tags", lambda t: ~F.contains(F.lit(T.PUNCTUATION), t)))
     out = {
         "numberOfDifferentPosTags": F.size(words) / F.lit(float(N_TAGS)),
