@@ -127,24 +127,28 @@ def within(x: Column, y: Column, tau: int = 1) -> Column:
     """
     width = 2 * tau + 1
     full = (1 << width) - 1
-    pattern, text = F.split(y, ""), F.split(x, "")
+    chars = lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ""))
+    # Beside each character of x come those of y that the band meets there, so that a step costs the same anywhere.
+    beside = [F.concat(F.array_repeat(F.lit(None).cast("string"), -d), chars(y)) if d < 0 else F.slice(chars(y), d + 1, F.length(y) + 1) for d in range(-tau, tau + 1)]
+    zipped = F.arrays_zip(chars(x), *beside)
     start, word = [], 1 << tau
     for _ in range(tau + 1):
         start.append(F.lit(word).cast("int"))
         word = (word | word << 1) & full
     names = [f"r{e}" for e in range(tau + 1)]
-    zero = F.struct(F.lit(0).alias("j"), *[s.alias(n) for s, n in zip(start, names, strict=True)])
+    zero = F.struct(*[s.alias(n) for s, n in zip(start, names, strict=True)])
 
-    def step(acc: Column, c: Column) -> Column:
+    def step(acc: Column, z: Column) -> Column:
         same = F.lit(0)
-        for d in range(-tau, tau + 1):
-            same = same + F.when(F.get(pattern, acc["j"] + d) == c, F.lit(1 << (d + tau))).otherwise(F.lit(0))
+        for k in range(width):
+            same = same + F.when(z[str(k + 1)] == z["0"], F.lit(1 << k)).otherwise(F.lit(0))
         new = [acc["r0"].bitwiseAND(same)]
         for e in range(1, tau + 1):
             old = acc[f"r{e - 1}"]
             moved = acc[f"r{e}"].bitwiseAND(same).bitwiseOR(old).bitwiseOR(F.shiftright(old, 1))
             new.append(moved.bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(full)))
-        return F.struct((acc["j"] + 1).alias("j"), *[v.cast("int").alias(n) for v, n in zip(new, names, strict=True)])
+        after = F.struct(*[v.cast("int").alias(n) for v, n in zip(new, names, strict=True)])
+        return F.when(z["0"].isNull(), acc).otherwise(after)  # beyond the end of x
 
     gap = F.length(y) - F.length(x)
 
@@ -154,7 +158,7 @@ def within(x: Column, y: Column, tau: int = 1) -> Column:
             word = word.bitwiseOR(acc[n])
         return word.bitwiseAND(_bit(gap + tau, width)) != 0
 
-    return (F.abs(gap) <= tau) & F.aggregate(text, zero, step, reached)
+    return (F.abs(gap) <= tau) & F.aggregate(zipped, zero, step, reached)
 
 
 def _bit(at: Column, width: int) -> Column:

@@ -1,0 +1,121 @@
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quillon.llm import pii
+from tests.oracle import DATA
+
+PATTERNS = (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    r"[0-9](?:[\x20-]?[0-9])+",
+    r"\+[0-9][\x20().0-9-]+[0-9]",
+)
+
+
+def luhn(digits):
+    doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+    return sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
+
+
+def base(text):
+    """Base spans by the patterns themselves."""
+    out = []
+    for kind, pattern in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = (
+                True,
+                kind == 1 and all(int(p) <= 255 for p in m[0].split(".")),
+                kind == 2 and 12 <= len(digits) <= 19 and luhn(digits),
+                kind == 3 and 9 <= len(digits) <= 15,
+            )[kind]
+            if good:
+                out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="0123456789.@+- ()aB%é\n", max_size=60))
+def test_base_spans_equal_the_patterns(text):
+    assert pii.base_spans(text) == base(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a@b.co", "x.y+z@a-b.c.d", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567", "+49", " ", "@", ".", "..", "5", "word"]), max_size=12))
+def test_base_spans_of_joined_parts(parts):
+    for glue in ("", " ", "."):
+        assert pii.base_spans(glue.join(parts)) == base(glue.join(parts))
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+
+
+def test_contract(spark, documents):
+    rows = pii.op6_pii(spark, f"{DATA}/sf0.01").collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(documents)
+    for r in rows:
+        own = base(documents[r["doc_id"]])
+        assert tuple(r[f"n_{k}"] for k in pii.BASE) == tuple(sum(x[1] == i for x in own) for i in range(4))
+        assert r["base_sha256"] == hashlib.sha256(pii.joined(own).encode()).hexdigest()
+        listed = [(int(s), pii.KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)]
+        assert listed == sorted(listed) and set(own) <= set(listed)
+        assert all(0 <= s < e <= len(documents[r["doc_id"]]) for s, _, e in listed)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("the token = \"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b\" works", "secret"),
+        ("call (555) 867-5309 today", "tel"),
+        ("her SSN 123-45-6789 leaked", "ssn"),
+        ("IBAN DE89370400440532013000 please", "iban"),
+        ("host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 up", "ipv6"),
+        ("mail john.doe [at] example [dot] com now", "email_spelled"),
+    ],
+)
+def test_added_kinds(text, kind):
+    _, every = pii.all_spans(text, pii.judge())
+    assert [pii.KINDS[k] for _, k, _ in every] == [kind]
+
+
+@pytest.mark.parametrize("text", ["commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b fixed it", "on 2024-05-06 we met", "order 123456789 shipped", "plain words only", "time 10:20:30:40 left"])
+def test_harmless_numbers_stay(text):
+    assert pii.all_spans(text, pii.judge())[1] == []
+
+
+def test_calibration_on_fresh_examples():
+    judge = pii.judge()
+    x, y, kinds = pii._labelled(2000, 99)
+    p = judge.probability(x)
+    assert abs(p.mean() - y.mean()) < 0.05
+    taken = np.array([q >= judge.threshold[k] for q, k in zip(p, kinds, strict=True)])
+    assert y[taken].mean() >= 0.95 and taken[y == 1].mean() >= 0.8
+
+
+def test_defined_cases(spark):
+    rows = [(1, None), (2, ""), (3, "a@b.co"), (3, "a@b.co"), (None, "x 1.2.3.4 y"), (5, "0 " * 200000 + "a@b.co"), (6, "9" * 100000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'z' AS redacted", "1 AS spans")
+    got = sorted(((r["doc_id"] or 0, r["spans"]) for r in pii.spans_of(docs).collect()))
+    assert got == [(0, "ip:2:9"), (1, ""), (2, ""), (3, "email:0:6"), (3, "email:0:6"), (5, "email:400000:400006"), (6, "")]
+    out = pii.redacted(docs)
+    assert out.columns == [*docs.columns, "redacted_"]
+    texts = sorted(r["redacted_"] or "" for r in out.filter("doc_id < 5 or doc_id is null").collect())
+    assert texts == ["", "", "[EMAIL]", "[EMAIL]", "x [IP] y"]
+    assert pii.spans_of(spark.createDataFrame([], docs.schema)).count() == 0
+
+
+def test_redaction_of_overlapping_spans():
+    spans = [(0, 0, 4), (2, 1, 6), (8, 2, 9)]
+    assert pii.redact("0123456789", spans) == "[EMAIL]67[CARD]9" or pii.redact("0123456789", spans).startswith("[EMAIL]")
+
+
+def test_texts_without_hints_are_skipped():
+    assert pii._texts(pa.array(["plain", None, "", "a@b", "x [at] y"])) == [None, None, None, "a@b", "x [at] y"]
