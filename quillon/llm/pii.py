@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -31,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ._common import table, unused
 
@@ -105,6 +107,7 @@ _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?:
 _HEXES = frozenset("0123456789abcdefABCDEF:")
 _SPELLED = re.compile(r"[A-Za-z0-9._-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]{1,63}){1,4}")
 _LONGEST = 512
+_GROUPS = 8
 
 
 def candidates(text: str) -> list[Span]:
@@ -128,10 +131,13 @@ def candidates(text: str) -> list[Span]:
                 token = text[a:b]
             if 16 <= b - a <= _LONGEST and any(c.isalpha() for c in token) and a <= s:
                 found.add((a, KINDS.index("secret"), b))
-        # Chains of groups with up to two separators between them.
+        # Chains of groups with up to two separators between them; a long one is a list of numbers.
         j = i
-        while j + 1 < len(groups) and groups[j + 1][0] - groups[j][1] <= 2 and all(c in " ().-/" for c in text[groups[j][1] : groups[j + 1][0]]) and j - i < 7:
+        while j + 1 < len(groups) and groups[j + 1][0] - groups[j][1] <= 2 and all(c in " ().-/" for c in text[groups[j][1] : groups[j + 1][0]]):
             j += 1
+        if j - i >= _GROUPS:
+            i = j + 1
+            continue
         sizes = [y - x for x, y in groups[i : j + 1]]
         before, after = text[s - 1 : s], text[groups[j][1] : groups[j][1] + 1]
         clear = not (before.isalnum() or before == "_" or after.isalnum() or after == "_")
@@ -300,7 +306,7 @@ def _examples(n: int, seed: int) -> Iterator[tuple[str, str, bool]]:
                     lead = "call "
             else:
                 lead = pick("order ", "invoice ", "date ", "version ", "total ", "page ", "ticket #", "ISBN ", "", "part no. ")
-                own = pick(f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}/{digits(2)}/19{digits(2)}", f"{digits(9)}", f"{digits(12)}", f"978-{digits(1)}-{digits(3)}-{digits(5)}", f"{digits(4)} {digits(4)}", f"19{digits(2)}-20{digits(2)}", f"{digits(1)}.{digits(2)}.{digits(4)}", f"{digits(3)} {digits(3)} {digits(3)}", f"{digits(16)}"[:15])
+                own = pick(f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}/{digits(2)}/19{digits(2)}", f"{digits(9)}", f"{digits(12)}", f"978-{digits(1)}-{digits(3)}-{digits(5)}", f"{digits(4)} {digits(4)}", f"19{digits(2)}-20{digits(2)}", f"{digits(1)}.{digits(2)}.{digits(4)}", f"{digits(3)} {digits(3)} {digits(3)}", f"{digits(16)}"[:15], " ".join(digits(8)), " ".join(digits(2) for _ in range(4)))
         elif kind == "ssn":
             own = f"{digits(3)}-{digits(2)}-{digits(4)}"
             lead = pick("SSN ", "SSN: ", "social security number ", "taxpayer id ") if good else pick("part no. ", "model ", "order ", "item ", "")
@@ -371,13 +377,24 @@ def judge(examples: int = 4000, precision: float = PRECISION) -> Judge:
 def all_spans(text: str, by: Judge) -> tuple[list[Span], list[Span]]:
     """(base spans, base and added spans), sorted."""
     base = base_spans(text)
-    taken = sorted((s, e) for s, _, e in base)
+    found = sorted(by.accept(text, candidates(text)), key=lambda x: (-x[0], x[1]))
+    if not found:
+        return base, base
+    # Base spans of different kinds may overlap: merged, they and the added ones stay disjoint and sorted.
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, _, e in base:
+        if starts and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     added: list[Span] = []
-    for _, span in sorted(by.accept(text, candidates(text)), key=lambda x: (-x[0], x[1])):
-        at = np.searchsorted([s for s, _ in taken], span[0]) if taken else 0
-        touches = any(s < span[2] and span[0] < e for s, e in taken[max(0, at - 4) : at + 4])
-        if not touches:
-            taken.insert(int(at), (span[0], span[2]))
+    for _, span in found:
+        at = bisect_left(starts, span[2])  # the first that starts at or after its end
+        if not at or ends[at - 1] <= span[0]:
+            starts.insert(at, span[0])
+            ends.insert(at, span[2])
             added.append(span)
     return base, sorted(base + added)
 
@@ -433,7 +450,7 @@ def redacted(docs: DataFrame) -> DataFrame:
             found = [redact(t, all_spans(t, sent.value)[1]) if t else o for t, o in zip(_texts(b.column(at)), own, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, docs.withColumn(name, F.lit("").cast("string")).schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StringType())]))
 
 
 def base_digest(spans: str) -> str:

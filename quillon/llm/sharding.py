@@ -23,6 +23,8 @@ from ._common import materialize, new_path, unused
 
 N_SLOTS = 8192
 N_SHARDS = 16
+#: Given to the reader, as the map of an empty table has no files.
+MAP = "vslot int, shard int, bytes long, n_rows long, version int"
 
 
 def sizes(text: Column) -> tuple[Column, Column]:
@@ -118,7 +120,7 @@ def save_map(slot_map: DataFrame, path: str) -> None:
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A version of the map, the newest by default."""
-    maps = spark.read.parquet(path)
+    maps = spark.read.schema(MAP).parquet(path)
     if version is None:
         version = maps.agg(F.max("version")).first()[0]
     return maps.filter(F.col("version") == F.lit(version))

@@ -37,7 +37,7 @@ def test_quotation_and_address_change_the_weight():
 
 @pytest.fixture(scope="module")
 def scored(spark):
-    sf = f"{DATA}/sf0.01"
+    sf = f"{DATA}/sf0.1"
     rows = X.op7_toxicity(spark, sf).collect()
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     return rows, labels
@@ -48,12 +48,12 @@ def test_held_out_accuracy(scored):
     held = [(r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and labels.get(r["doc_id"]) is not None]
     assert np.mean([p == y for p, y in held]) >= 0.9
     ones = [p for p, y in held if y]
-    assert np.mean(ones) >= 0.8
+    assert np.mean(ones) >= 0.9  # some labels mark texts without any abuse
 
 
 def test_contract(spark, scored):
     rows, _ = scored
-    assert len(rows) == spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").count()
+    assert len(rows) == spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").count()
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
 
 
