@@ -42,7 +42,7 @@ def usable(rows: DataFrame) -> DataFrame:
 def parse_extractor(lines: DataFrame, line: str = "value") -> DataFrame:
     """(confidence, subject, predicate, object, time) of lines ``0.9 (s; p; o; T:when)``; context lines give none."""
     m = r"^\s*([0-9.]+)\s*\((.*)\)\s*$"
-    parts = F.transform(F.split(F.regexp_extract(line, m, 2), ";"), F.trim)
+    parts = F.transform(F.split(F.regexp_extract(line, m, 2), ";"), lambda x: F.trim(x))
     rows = lines.filter(F.col(line).rlike(m) & ~F.contains(line, F.lit("Context("))).select(F.regexp_extract(line, m, 1).cast("double").alias("confidence"), parts.alias("p"))
     rest = F.slice("p", 3, F.greatest(F.size("p") - 2, F.lit(0)))
     timed = lambda x: x.startswith("T:") | x.startswith("L:")
