@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 
 SHARE, STEP = 0.25, 10
+#: Distances closer than this count as equal where a measure compares them.
+SAME = 1e-6
 
 NAMES = (
     *[f"{k}DistanceNeighbouringPoints{m}" for m in ("Euc", "Cos") for k in ("avg", "min", "max", "index")],
@@ -166,7 +168,7 @@ def statistics(x: np.ndarray) -> dict[str, float]:
     mean = float(near.mean())
     out["clarkEvansNearestNeighbour"] = 2 * np.sqrt(n) * mean if n > 1 else 0.0
     out["avgDistanceNearestNeighbour"] = mean
-    out["cumulativeFrequencyDistribution"] = float((near <= mean).mean()) if n > 1 else 0.0
+    out["cumulativeFrequencyDistribution"] = float((near <= mean + SAME).mean()) if n > 1 else 0.0
     c = x.mean(axis=0)
     to_c = np.sqrt(((x - c) ** 2).sum(axis=1))
     four("DistanceCentroid|Euc", to_c)
@@ -174,8 +176,8 @@ def statistics(x: np.ndarray) -> dict[str, float]:
     spread = x - c
     variance = (spread**2).sum(axis=0)
     out["standardDistance"] = float(np.sqrt(variance.sum() / n))
-    top = max(1.0, to_c.max()) if to_c[0] == 0 else to_c.max()
-    out["relativeDistance"] = out["standardDistance"] / top if top > 0 else 0.0
+    top = max(1.0, to_c.max()) if to_c[0] < SAME else to_c.max()
+    out["relativeDistance"] = out["standardDistance"] / top if top > SAME else 0.0
     out["determinantDistanceMatrix"] = float(np.linalg.det(euc))
     some = variance > 1e-12
     s = 2.0 * (n - 1)
@@ -184,7 +186,7 @@ def statistics(x: np.ndarray) -> dict[str, float]:
     geary = np.where(some, 2 * ((x[:-1] - x[1:]) ** 2).sum(axis=0) / safe, 0).sum()
     out["moransI"] = float(n / s * moran / k) if n > 1 else 0.0
     out["gearysC"] = float((n - 1) / (2 * s) * geary / k) if n > 1 else 0.0
-    close = (euc <= out["avgDistanceAnyPointsEuc"]) & ~np.eye(n, dtype=bool)
+    close = (euc <= out["avgDistanceAnyPointsEuc"] + SAME) & ~np.eye(n, dtype=bool)
     top_sum = ((close @ x) * x).sum(axis=0)
     all_sum = x.sum(axis=0) ** 2 - (x**2).sum(axis=0)
     some = np.abs(all_sum) > 1e-12

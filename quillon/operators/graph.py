@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from quillon.functions import text as T
 
@@ -119,6 +121,73 @@ def property_conflicts(rows: DataFrame, disjoint: DataFrame) -> DataFrame:
     return agg.select("doc_id", "sent", "subject", "predicate", "object", "w.with_sent", "w.with_predicate")
 
 
+def inherited_conflicts(rows: DataFrame, disjoint: DataFrame, subclass: DataFrame) -> DataFrame:
+    """As :func:`property_conflicts`, where an earlier statement about a class also speaks of its subclasses, and the other way round."""
+    near = closure(subclass).select(F.col("parent").alias("a"), F.col("child").alias("b"))
+    same = rows.select(F.col("object").alias("a"), F.col("object").alias("b")).distinct()
+    reach = symmetric(near).unionByName(same).distinct().select(F.col("a").alias("object"), F.col("b").alias("with_object"))
+    earlier = rows.select("doc_id", "subject", F.col("object").alias("with_object"), F.col("predicate").alias("with_predicate"), F.col("sent").alias("with_sent"))
+    pairs = symmetric(disjoint).select(F.col("a").alias("predicate"), F.col("b").alias("with_predicate"))
+    joined = rows.join(pairs, "predicate").join(reach, "object").join(earlier, ["doc_id", "subject", "with_object", "with_predicate"]).filter("with_sent < sent")
+    first = joined.groupBy("doc_id", "sent", "subject", "predicate", "object").agg(F.min(F.struct("with_sent", "with_predicate", "with_object")).alias("w"))
+    return first.select("doc_id", "sent", "subject", "predicate", "object", "w.*")
+
+
+def insert_in_order(rows: DataFrame, disjoint: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, sent, subject, predicate, object) with ``kept`` and ``with_sent``, inserted one by one.
+
+    A triple that contradicts one kept before is rejected and holds nothing
+    back from then on; ``with_sent`` names the earliest it contradicts.  A
+    document is a group, so its sentences bound what a task holds at a time.
+    """
+    pairs = symmetric(disjoint).groupBy("a").agg(F.collect_set("b").alias("against"))  # few for each predicate
+    joined = rows.select("doc_id", "sent", "subject", "predicate", "object").join(pairs, rows["predicate"] == pairs["a"], "left").drop("a")
+    own = rows.select("doc_id", "sent", "subject", "predicate", "object").schema.fields
+    schema = StructType([*own, StructField("kept", BooleanType()), StructField("with_sent", own[1].dataType)])
+
+    def run(group):
+        group = group.sort_values(["sent", "subject", "predicate", "object"], kind="stable")
+        seen: dict[tuple, int] = {}
+        hit = []
+        for r in group.itertuples():
+            against = [] if r.against is None else [seen[k] for b in r.against if (k := (r.subject, b, r.object)) in seen]
+            hit.append(min(against) if against else None)
+            if not against:
+                seen.setdefault((r.subject, r.predicate, r.object), r.sent)
+        out = group.drop(columns="against")
+        out["kept"] = [h is None for h in hit]
+        out["with_sent"] = pd.Series(hit, index=out.index, dtype="Int64")
+        return out
+
+    return joined.groupBy("doc_id").applyInPandas(run, schema)
+
+
+PRONOUNS = ("he", "she", "it", "they")
+
+
+def resolve_pronouns(rows: DataFrame) -> DataFrame:
+    """Subjects that are pronouns become the last subject before them that is none, if there is one: the default of the coreference plug-in."""
+    before = Window.partitionBy("doc_id").orderBy("sent", "predicate", "object").rowsBetween(Window.unboundedPreceding, -1)
+    named = F.when(~F.lower("subject").isin(*PRONOUNS), F.col("subject"))
+    last = F.last(named, ignorenulls=True).over(before)
+    return rows.withColumn("subject", F.coalesce(named, last, F.col("subject")))
+
+
+def lexical_edges(words: DataFrame, nodes: DataFrame, lexicon: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a lexicon says of new ``words`` (word) next to known ``nodes`` (text, uri, ord).
+
+    ``lexicon`` is (word, relation, other) with relations synonym, hypernym and
+    antonym.  Returns (word, uri) of the first known synonym; (child, parent)
+    under the first known hypernym of words without one; and (a, b) of
+    antonyms that are known, both ways.
+    """
+    met = words.select("word").distinct().join(lexicon, "word").join(nodes.select(F.col("text").alias("other"), "uri", "ord"), "other")
+    same = met.filter("relation = 'synonym'").groupBy("word").agg(F.min_by("uri", "ord").alias("uri"))
+    above = met.filter("relation = 'hypernym'").join(same, "word", "left_anti").groupBy("word").agg(F.min_by("uri", "ord").alias("parent"))
+    against = met.filter("relation = 'antonym'").select(F.col("word").alias("a"), F.col("uri").alias("b"))
+    return same, above.select(F.col("word").alias("child"), "parent"), symmetric(against)
+
+
 def class_conflicts(types: DataFrame, subclass: DataFrame, disjoint: DataFrame) -> DataFrame:
     """(doc_id, entity, a, b): entities that inherit two disjoint classes. ``types`` is (doc_id, entity, class)."""
     up = closure(subclass).select(F.col("child").alias("class"), F.col("parent").alias("ancestor"))

@@ -310,6 +310,12 @@ def _parts(spark, sf_dir) -> DataFrame:
     return C.windows(words, C.window_size(words))
 
 
+def _measured(spark, sf_dir, *names: str) -> DataFrame:
+    """Some of the coherence measures.  Equal windows lie at a distance of rounding errors, whose root is about 1e-8: five places."""
+    out = C.coherence(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *[(F.round(n, 5) + F.lit(0.0)).alias(n) for n in names])
+
+
 @query(f"WITH {WINDOWS} SELECT doc_id, count(*)::BIGINT AS n_windows, sum(len(part))::BIGINT AS n_words FROM win GROUP BY doc_id")
 def windows(spark, sf_dir):
     return _parts(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_windows"), F.sum(F.size("part")).alias("n_words"))
@@ -331,11 +337,7 @@ SELECT i.doc_id, round(coalesce(ae, 0), 5) + 0.0 AS "avgDistanceNeighbouringPoin
   round(coalesce(ac, 0), 5) + 0.0 AS "avgDistanceNeighbouringPointsCos", round(coalesce(xc, 0), 5) + 0.0 AS "maxDistanceNeighbouringPointsCos"
 FROM (SELECT DISTINCT doc_id FROM win) i LEFT JOIN ag USING (doc_id)""")
 def neighbour_distances(spark, sf_dir):
-    parts = _parts(spark, sf_dir)
-    out = C.neighbour_measures(C.neighbour_distances(parts, C.window_vectors(parts)), parts)
-    names = [f"{k}DistanceNeighbouringPoints{m}" for m in ("Euc", "Cos") for k in ("avg", "max")]
-    # Equal windows lie at a distance of rounding errors, whose root is about 1e-8: five places.
-    return out.select("doc_id", *[(F.round(n, 5) + F.lit(0.0)).alias(n) for n in names])
+    return _measured(spark, sf_dir, *[f"{k}DistanceNeighbouringPoints{m}" for m in ("Euc", "Cos") for k in ("avg", "max")])
 
 
 @query(f"""WITH {VECTORS},
@@ -346,14 +348,58 @@ tm AS (SELECT e.*, coalesce(xy, 0) AS xy, xx - n * (x / n) * (x / n) AS sp FROM
 sm AS (SELECT doc_id, count(*) AS k, sum(sp) AS sp,
   sum(CASE WHEN sp > 1e-12 THEN 2 * (xy - (x / n) * (2 * x - f - l) + (n - 1) * (x / n) * (x / n)) / sp ELSE 0 END) AS m,
   sum(CASE WHEN sp > 1e-12 THEN 2 * (2 * xx - f * f - l * l - 2 * xy) / sp ELSE 0 END) AS g FROM tm GROUP BY doc_id)
-SELECT t.doc_id, cnt::BIGINT AS n, round(sqrt(greatest(0, coalesce(sp, 0) / cnt)), 5) + 0.0 AS "standardDistance",
+SELECT t.doc_id, round(sqrt(greatest(0, coalesce(sp, 0) / cnt)), 5) + 0.0 AS "standardDistance",
   round(CASE WHEN cnt > 1 AND k > 0 THEN cnt * m / (2.0::DOUBLE * (cnt - 1) * k) ELSE 0 END, 5) + 0.0 AS "moransI",
   round(CASE WHEN cnt > 1 AND k > 0 THEN (cnt - 1) * g / (4.0::DOUBLE * (cnt - 1) * k) ELSE 0 END, 5) + 0.0 AS "gearysC"
 FROM tot t LEFT JOIN sm USING (doc_id)""")
 def dispersion(spark, sf_dir):
-    parts = _parts(spark, sf_dir)
-    out = C.dispersion(parts, C.window_vectors(parts))
-    return out.select("doc_id", "n", *[(F.round(n, 5) + F.lit(0.0)).alias(n) for n in ("standardDistance", "moransI", "gearysC")])
+    return _measured(spark, sf_dir, "standardDistance", "moransI", "gearysC")
+
+
+PAIRS = f"""{VECTORS},
+has AS (SELECT w.doc_id, w.win, (n.nrm IS NOT NULL)::INT AS has FROM win w LEFT JOIN nrm n USING (doc_id, win)),
+dt AS (SELECT a.doc_id, a.win AS i, b.win AS j, sum(a.w * b.w) AS dot FROM vec a JOIN vec b ON a.doc_id = b.doc_id AND a.term = b.term AND a.win < b.win GROUP BY ALL),
+pr AS (SELECT a.doc_id, a.win AS i, b.win AS j, sqrt(greatest(0, a.has + b.has - 2 * coalesce(dot, 0))) AS e,
+    CASE WHEN a.has = 1 AND b.has = 1 THEN 1 - coalesce(dot, 0) ELSE 0 END AS c
+  FROM has a JOIN has b ON a.doc_id = b.doc_id AND a.win < b.win LEFT JOIN dt ON dt.doc_id = a.doc_id AND dt.i = a.win AND dt.j = b.win)"""
+
+
+@query(f"""WITH {PAIRS}, ag AS (SELECT doc_id, avg(e) AS ae, max(e) AS xe, avg(c) AS ac, max(c) AS xc FROM pr GROUP BY doc_id)
+SELECT t.doc_id, round(coalesce(ae, 0), 5) + 0.0 AS "avgDistanceAnyPointsEuc", round(coalesce(xe, 0), 5) + 0.0 AS "maxDistanceAnyPointsEuc",
+  round(coalesce(ac, 0), 5) + 0.0 AS "avgDistanceAnyPointsCos", round(greatest(coalesce(xc, 0), 0), 5) + 0.0 AS "maxDistanceAnyPointsCos" FROM tot t LEFT JOIN ag USING (doc_id)""")
+def any_point_distances(spark, sf_dir):
+    return _measured(spark, sf_dir, *[f"{k}DistanceAnyPoints{m}" for m in ("Euc", "Cos") for k in ("avg", "max")])
+
+
+@query(f"""WITH {PAIRS}, nn AS (SELECT doc_id, i, min(e) AS near FROM (SELECT doc_id, i, e FROM pr UNION ALL SELECT doc_id, j, e FROM pr) GROUP BY ALL),
+mn AS (SELECT doc_id, avg(near) AS mean FROM nn GROUP BY doc_id),
+cf AS (SELECT doc_id, any_value(mean) AS mean, avg((near <= mean + 1e-6)::INT) AS share FROM nn JOIN mn USING (doc_id) GROUP BY doc_id)
+SELECT t.doc_id, round(coalesce(2 * sqrt(cnt) * mean, 0), 5) + 0.0 AS "clarkEvansNearestNeighbour", round(coalesce(mean, 0), 5) + 0.0 AS "avgDistanceNearestNeighbour",
+  round(coalesce(share, 0), 5) + 0.0 AS "cumulativeFrequencyDistribution" FROM tot t LEFT JOIN cf USING (doc_id)""")
+def nearest_windows(spark, sf_dir):
+    return _measured(spark, sf_dir, "clarkEvansNearestNeighbour", "avgDistanceNearestNeighbour", "cumulativeFrequencyDistribution")
+
+
+@query(f"""WITH {VECTORS},
+ce AS (SELECT v.doc_id, term, sum(w) / any_value(cnt) AS c FROM vec v JOIN tot USING (doc_id) GROUP BY ALL),
+cc AS (SELECT doc_id, sum(c * c) AS cc FROM ce GROUP BY doc_id),
+xc AS (SELECT v.doc_id, win, sum(w * c) AS xc FROM vec v JOIN ce USING (doc_id, term) GROUP BY ALL),
+ds AS (SELECT w.doc_id, w.win, sqrt(greatest(0, (xc IS NOT NULL)::INT + coalesce(cc, 0) - 2 * coalesce(xc, 0))) AS e,
+    CASE WHEN xc IS NOT NULL AND cc > 0 THEN 1 - xc / sqrt(cc) ELSE 0 END AS c FROM win w LEFT JOIN xc USING (doc_id, win) LEFT JOIN cc ON cc.doc_id = w.doc_id)
+SELECT doc_id, round(avg(e), 5) + 0.0 AS "avgDistanceCentroidEuc", round(min(e), 5) + 0.0 AS "minDistanceCentroidEuc", round(max(e), 5) + 0.0 AS "maxDistanceCentroidEuc",
+  round(avg(c), 5) + 0.0 AS "avgDistanceCentroidCos", round(min(c), 5) + 0.0 AS "minDistanceCentroidCos", round(max(c), 5) + 0.0 AS "maxDistanceCentroidCos" FROM ds GROUP BY doc_id""")
+def centroid_distances(spark, sf_dir):
+    return _measured(spark, sf_dir, *[f"{k}DistanceCentroid{m}" for m in ("Euc", "Cos") for k in ("avg", "min", "max")])
+
+
+@query(f"""WITH {PAIRS}, av AS (SELECT doc_id, avg(e) AS mean FROM pr GROUP BY doc_id),
+cl AS (SELECT p.doc_id, i, j FROM pr p JOIN av USING (doc_id) WHERE e <= mean + 1e-6),
+tp AS (SELECT a.doc_id, a.term, 2 * sum(a.w * b.w) AS top FROM cl JOIN vec a ON a.doc_id = cl.doc_id AND a.win = i JOIN vec b ON b.doc_id = cl.doc_id AND b.win = j AND b.term = a.term GROUP BY ALL),
+al AS (SELECT doc_id, term, sum(w) * sum(w) - sum(w * w) AS every FROM vec GROUP BY ALL),
+sm AS (SELECT doc_id, sum(CASE WHEN abs(every) > 1e-12 THEN coalesce(top, 0) / every ELSE 0 END) / count(*) AS g FROM al LEFT JOIN tp USING (doc_id, term) GROUP BY doc_id)
+SELECT t.doc_id, round(CASE WHEN cnt > 1 THEN coalesce(g, 0) ELSE 0 END, 5) + 0.0 AS "getissG" FROM tot t LEFT JOIN sm USING (doc_id)""")
+def getis_g(spark, sf_dir):
+    return _measured(spark, sf_dir, "getissG")
 
 
 @query()

@@ -55,6 +55,18 @@ def triples_file(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(part(1).alias("s"), part(2).alias("p"), F.when(uri, part(3)).otherwise(part(4)).alias("o"), F.when(uri, "uri").otherwise("literal").alias("kind"))
 
 
+def ontology_xml(spark: SparkSession, path: str, row_tag: str = "owl:Class") -> DataFrame:
+    """(s, p, o, kind) of one kind of element of RDF/XML: its name, superclasses and disjoint classes; files of any size split by element."""
+    link = "array<struct<`_rdf:resource` string>>"
+    schema = f"`_rdf:about` string, `rdfs:subClassOf` {link}, `rdfs:subPropertyOf` {link}, `owl:disjointWith` {link}, `owl:propertyDisjointWith` {link}"
+    rows = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
+    edges = lambda n: F.transform(f"`{n}`", lambda x: F.struct(F.lit(n).alias("p"), x["_rdf:resource"].alias("o")))
+    parts = [edges(n) for n in ("rdfs:subClassOf", "rdfs:subPropertyOf", "owl:disjointWith", "owl:propertyDisjointWith")]
+    typed = F.array(F.struct(F.lit("rdf:type").alias("p"), F.lit(row_tag).alias("o")))
+    flat = rows.filter("`_rdf:about` is not null").select(F.col("`_rdf:about`").alias("s"), F.explode(F.flatten(F.filter(F.array(typed, *parts), lambda x: x.isNotNull()))).alias("e"))
+    return flat.select("s", "e.p", "e.o", F.lit("uri").alias("kind")).filter("o is not null").distinct()
+
+
 def ontology_names(triples: DataFrame, comments: bool = False) -> DataFrame:
     """(kind, uri): subjects and objects as ``SubObj``, predicates as ``Pred``; comment triples are left out unless asked for."""
     rows = triples if comments else triples.filter(~F.col("p").endswith("rdf-schema#comment"))

@@ -49,3 +49,35 @@ def test_rules_and_parsers(spark):
     assert [(r["subject"], r["object"], r["time"]) for r in got] == [("Lisa", "tennis", "T:today")]
     axioms = spark.createDataFrame([("SubClassOf(<http://x#Boy> <http://x#Man>)",)], "value string")
     assert graph.parse_axioms(axioms).first()["sentence"] == "Man is a general kind of Boy"
+
+
+ROWS = "doc_id long, sent int, subject string, predicate string, object string"
+
+
+def test_classes_and_subclasses_conflict(spark):
+    rows = spark.createDataFrame([(1, 0, "kim", "likes", "poodle"), (1, 1, "kim", "not likes", "dog"), (2, 0, "kim", "not likes", "dog"), (3, 0, "kim", "likes", "cat"), (3, 1, "kim", "not likes", "dog")], ROWS)
+    kinds = spark.createDataFrame([("poodle", "dog"), ("dog", "animal")], "child string, parent string")
+    got = graph.inherited_conflicts(rows, graph.negations(rows), kinds).collect()
+    assert [(r["doc_id"], r["sent"], r["with_sent"], r["with_object"]) for r in got] == [(1, 1, 0, "poodle")]
+
+
+def test_rejected_triples_hold_nothing_back(spark):
+    rows = spark.createDataFrame([(1, 0, "kim", "likes", "tea"), (1, 1, "kim", "not likes", "tea"), (1, 2, "kim", "likes", "tea"), (2, 0, "kim", "drinks", "tea")], ROWS)
+    got = sorted((r["doc_id"], r["sent"], r["kept"], r["with_sent"]) for r in graph.insert_in_order(rows, graph.negations(rows)).collect())
+    assert got == [(1, 0, True, None), (1, 1, False, 0), (1, 2, True, None), (2, 0, True, None)]
+
+
+def test_pronouns(spark):
+    rows = spark.createDataFrame([(1, 0, "She", "sings", "songs"), (1, 1, "Kim", "likes", "tea"), (1, 2, "She", "drinks", "tea"), (2, 0, "it", "rains", "cats")], ROWS)
+    got = {(r["doc_id"], r["sent"]): r["subject"] for r in graph.resolve_pronouns(rows).collect()}
+    assert got == {(1, 0): "She", (1, 1): "Kim", (1, 2): "Kim", (2, 0): "it"}
+
+
+def test_lexicon(spark):
+    words = spark.createDataFrame([("hound",), ("poodle",), ("slow",)], "word string")
+    nodes = spark.createDataFrame([("dog", "u#dog", 1), ("animal", "u#animal", 2), ("fast", "u#fast", 3)], "text string, uri string, ord int")
+    lexicon = spark.createDataFrame([("hound", "synonym", "dog"), ("hound", "hypernym", "animal"), ("poodle", "hypernym", "animal"), ("poodle", "hypernym", "dog"), ("slow", "antonym", "fast")], "word string, relation string, other string")
+    same, above, against = graph.lexical_edges(words, nodes, lexicon)
+    assert [tuple(r) for r in same.collect()] == [("hound", "u#dog")]
+    assert [tuple(r) for r in above.collect()] == [("poodle", "u#dog")]
+    assert {tuple(r) for r in against.collect()} == {("slow", "u#fast"), ("u#fast", "slow")}
