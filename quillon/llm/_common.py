@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but U+0020 and U+0009..U+000D.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -49,6 +50,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a side that is broadcast (a few longs each); beyond, the join shuffles.
+SMALL = 500_000
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df``, which should be materialised, marked for broadcast if its rows, counted, are few."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores appended until no column of ``df`` has it (columns compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -33,19 +33,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _graph
-from ._common import materialize, table
+from ._common import materialize, small, table
 
 LEAST_CHARS = 20
 BUCKET = 32
 #: Parts of a line of which all but one must be unchanged before a pair is verified.
 BLOCKS = 16
-#: Most rows of a side that is broadcast (a few longs each); beyond, the join shuffles.
-SMALL = 500_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if its rows, counted, are few."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def occurrences(docs: DataFrame, text: bool = False) -> DataFrame:
@@ -95,7 +88,7 @@ def candidates(lines: DataFrame, bucket: int = BUCKET) -> tuple[DataFrame, DataF
     while True:
         sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum(1 - F.col("long")).alias("short"))
         sizes = materialize(sizes.filter("rows > 1 and short > 0"), "line-keys")
-        kept = materialize(keys.join(_small(sizes.select("key", "rows")), "key"), "line-company")
+        kept = materialize(keys.join(small(sizes.select("key", "rows")), "key"), "line-company")
         cold = kept.filter(F.col("rows") <= bucket).select("id", "key", "long")
         x = cold.filter("long = 0").select(F.col("id").alias("x"), "key")
         y = cold.select(F.col("id").alias("y"), "key", "long")
@@ -198,7 +191,7 @@ def classes(lines: DataFrame) -> DataFrame:
     verify, sure = candidates(lines.filter(F.length("line") >= LEAST_CHARS))
     verify = materialize(verify, "line-pairs")
     ids = materialize(verify.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "line-ids")
-    texts = materialize(lines.select("id", "line").join(_small(ids), "id", "left_semi"), "line-texts")
+    texts = materialize(lines.select("id", "line").join(small(ids), "id", "left_semi"), "line-texts")
     x, y = texts.select(F.col("id").alias("x"), F.col("line").alias("lx")), texts.select(F.col("id").alias("y"), F.col("line").alias("ly"))
     spark = lines.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
@@ -214,7 +207,7 @@ def dropped(docs: DataFrame) -> DataFrame:
     roots = materialize(classes(lines), "line-roots")
     alone = lines.filter("n > 1").select("id").join(roots.select(F.col("node").alias("id")), "id", "left_anti").select("id", F.col("id").alias("class_id"))
     repeated = materialize(roots.select(F.col("node").alias("id"), F.col("root").alias("class_id")).unionByName(alone), "line-classes")
-    found = materialize(occurrences(docs).join(_small(repeated), "id").select("doc_id", "pos", "class_id"), "line-repeats")
+    found = materialize(occurrences(docs).join(small(repeated), "id").select("doc_id", "pos", "class_id"), "line-repeats")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("pos"))
     first = found.groupBy("class_id").agg(F.min(place).alias("first"))
     later = found.join(first, "class_id").filter(~place.eqNullSafe(F.col("first")))
@@ -242,4 +235,25 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_report(table(spark, sf_dir, "documents"))
+    return dedup_report(table(spark, sf_dir, "documents")).withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
+
+
+#: Lines one edit apart agree once a character is left out of both at one place, or of the longer one.
+SQL = f"""
+WITH RECURSIVE p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+o AS (SELECT doc_id, pos, trim(raw, ' ') AS line FROM p WHERE trim(raw, ' ') <> ''),
+l AS (SELECT line, row_number() OVER (ORDER BY line) AS id, length(line) AS n FROM (SELECT DISTINCT line FROM o)),
+q AS (SELECT id, n, unnest(range(1, n + 1)) AS i, line FROM l WHERE n >= {LEAST_CHARS}),
+v AS (SELECT id, n, i, hash(substr(line, 1, i - 1) || substr(line, i + 1)) AS h, substr(line, 1, i - 1) || substr(line, i + 1) AS rest FROM q),
+e AS (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM v a JOIN v b ON a.h = b.h AND a.n = b.n AND a.i = b.i AND a.rest = b.rest AND a.id <> b.id
+  UNION SELECT DISTINCT a.id, b.id FROM v a JOIN l b ON a.rest = b.line AND b.n >= {LEAST_CHARS}
+  UNION SELECT DISTINCT b.id, a.id FROM v a JOIN l b ON a.rest = b.line AND b.n >= {LEAST_CHARS}),
+r AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+c AS (SELECT id, min(root) AS class FROM r GROUP BY id),
+m AS (SELECT doc_id, pos, coalesce(class, id) AS class FROM o JOIN l USING (line) LEFT JOIN c USING (id)),
+d AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY doc_id NULLS LAST, pos) AS k FROM m),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k > 1) AS n_dropped, coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (k > 1), '') AS dropped FROM d GROUP BY doc_id)
+SELECT x.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, coalesce(dropped, '') AS dropped
+FROM (SELECT DISTINCT doc_id FROM documents) x LEFT JOIN g USING (doc_id)
+"""

@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_sharding": sharding.SQL,
+    "op5_lines": lines.SQL,
     "op8_chat": chat.SQL,
     "op9_ann": ann.SQL,
     "op10_mixing": mixing.SQL,

@@ -35,8 +35,8 @@ def sizes(text: Column) -> tuple[Column, Column]:
 
 def slot_of(doc_id: Column, text_crc32: Column, n_slots: int = N_SLOTS) -> Column:
     """The virtual slot of a record; a function of the record alone."""
-    hashed = F.when(doc_id.isNotNull(), F.xxhash64(F.lit(1), doc_id)).otherwise(F.xxhash64(F.lit(2), text_crc32))
-    return F.pmod(hashed, F.lit(n_slots)).cast("int")
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), text_crc32.cast("string")))
+    return (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % n_slots).cast("int")
 
 
 def weigh(docs: DataFrame, n_slots: int = N_SLOTS, text: str = "text") -> DataFrame:
@@ -171,3 +171,37 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"),
     )
+
+
+def _sql_crc32(octets: str) -> str:
+    """CRC-32 of a list of bytes in SQL: the step of a byte is linear, so it is the sum of those of its bits."""
+    bits = []
+    for k in range(8):
+        c = 1 << k
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        bits.append(f"{c} * ((xor(c, b) >> {k}) & 1)")
+    step = "c >> 8"
+    for b in bits:
+        step = f"xor({step}, {b})"
+    return f"xor(list_reduce({octets}, lambda c, b: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+SQL = f"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) + 1 AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS octets FROM documents),
+d AS (SELECT doc_id, size, {_sql_crc32('octets')} AS text_crc32 FROM t),
+s AS (SELECT *, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null:' || CAST(text_crc32 AS VARCHAR))), 1, 8))::BIGINT % {N_SLOTS} AS INTEGER) AS v FROM d),
+w AS (SELECT v, sum(size)::BIGINT AS bytes, row_number() OVER (ORDER BY sum(size) DESC, v) AS k FROM s GROUP BY v),
+g AS (
+  SELECT 0::BIGINT AS k, list_transform(range({N_SHARDS}), lambda x: 0::BIGINT) AS loads, -1::INTEGER AS shard
+  UNION ALL
+  SELECT w.k, list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + bytes ELSE x END),
+    list_position(loads, list_min(loads)) - 1
+  FROM g JOIN w ON w.k = g.k + 1)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY v, doc_id, text_crc32, size) - 1 AS BIGINT) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard, v AS virtual_slot
+FROM s JOIN w USING (v) JOIN g USING (k)
+"""

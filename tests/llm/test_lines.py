@@ -72,7 +72,7 @@ def test_bit_parallel_distance(spark, pairs):
 
 def test_defined_cases(spark):
     line = "this line is long enough to count"
-    rows = [(1, None), (2, ""), (3, " \n \n"), (4, f"{line}\n{line}\nshort\nshort"), (None, line + "s"), (5, f"other\n{line}"), (5, "other"), (6, "x" * 200000 + "\n" + "x" * 200001)]
+    rows = [(1, None), (2, ""), (3, " \n \n"), (4, f"{line}\n{line}\nshort\nshort"), (None, line + "s"), (5, f"other\n{line}"), (5, "other"), (6, "x" * 20000 + "\n" + "x" * 20001)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit(1), "pos": F.lit(2)})
     got = {r["doc_id"]: (r["n_lines"], list(r["dropped"])) for r in L.dedup_report(docs).collect()}
     assert got == {1: (0, []), 2: (0, []), 3: (0, []), 4: (4, [1, 3]), None: (1, [0]), 5: (2, [1]), 6: (2, [1])}
