@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD_RE, materialize, table, unused
+from ._common import WORD_RE, materialize, small, table, unused
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -69,7 +69,7 @@ def plan(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int =
     ``slim`` should be materialised: it is read three times.
     """
     keyed = slim.withColumn("key", random_key(F.col("doc_id"))).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    buckets = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bytes"))
+    buckets = materialize(keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bytes")), "mix-buckets")
     goal = targets(buckets.groupBy("source").agg(F.sum("bytes").alias("source_size")), weights, max_repeat)
     goal = goal.withColumn("budget", F.floor(F.col("target")).cast("long")).withColumn(
         "epochs", F.when(F.col("source_size") > 0, F.floor(F.try_divide(F.col("budget"), F.col("source_size")))).otherwise(0).cast("long")
@@ -84,6 +84,7 @@ def plan(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int =
         .select(F.col("s.source").alias("c_source"), F.col("s.bucket").alias("c_bucket"), F.col("s.start").alias("c_start"))
     )
     info = goal.join(cut, goal["source"].eqNullSafe(cut["c_source"]), "left").drop("c_source").withColumnRenamed("source", "i_source")
+    info = small(materialize(info, "mix-info"))  # one row a source, so that a source with many rows stays spread
     rows = keyed.join(info, keyed["source"].eqNullSafe(F.col("i_source"))).drop("i_source")
     at_cut = F.col("bucket") == F.col("c_bucket")
     inner = Window.partitionBy("source").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,9 +120,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
         F.max("epochs").alias("epochs"), F.max(F.when(half, F.struct("key", "size"))).alias("last")
     )
     source, key, size, epochs, edge = unused(docs, "m_source", "m_key", "m_size", "m_epochs", "m_last")
-    small = last.select(F.col("source").alias(source), F.col("epochs").alias(epochs), F.col("last").alias(edge))
+    # One row a source: the texts stay where they are unless there are more sources than may be broadcast.
+    cuts = small(materialize(last.select(F.col("source").alias(source), F.col("epochs").alias(epochs), F.col("last").alias(edge)), "mix-cuts"))
     base = docs.withColumns({key: random_key(F.col("doc_id")), size: n_words(F.col("text"))})
-    joined = base.join(small, base["source"].cast("string").eqNullSafe(small[source]), "left")
+    joined = base.join(cuts, base["source"].cast("string").eqNullSafe(cuts[source]), "left")
     inside = F.coalesce(F.struct(F.col(key), F.col(size)) <= F.col(edge), F.lit(False)).cast("int")
     copies = F.when(F.col(size) > 0, F.col(epochs) + inside).otherwise(F.greatest(F.lit(1), F.col(epochs)))
     times = F.explode(F.sequence(F.lit(1), copies.cast("int")))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _graph
-from ._common import materialize, table, unused
+from ._common import materialize, small, table, unused
 
 TAU = 3
 SHINGLE = 3
@@ -258,22 +258,27 @@ def links(fps: DataFrame, tau: int = TAU, chain: int = 2, bucket: int = BUCKET)
 
 
 def group_of(prints: DataFrame, tau: int = TAU) -> DataFrame:
-    """(fp, component_id) from materialised (doc_id, fp): the least doc_id reachable over links."""
+    """(fp, component_id, root) from materialised (doc_id, fp): the least doc_id reachable over links, and the group itself.
+
+    Where an id is that of several texts, groups may share their least id; ``root`` tells them apart.
+    """
     least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "fp-least")
     roots = materialize(_graph.components(links(least.select("fp"), tau)), "fp-roots").withColumnRenamed("node", "fp")
     named = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return materialize(named.join(lows, "root").select("fp", "component_id"), "fp-groups")
+    # Written first, so that the join reads both sides as dealt and AQE can split the root of a large group.
+    named = materialize(named, "fp-named")
+    lows = materialize(named.groupBy("root").agg(F.min("low").alias("component_id")), "fp-lows")
+    return materialize(named.join(lows, "root").select("fp", "component_id", "root"), "fp-groups")
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU) -> DataFrame:
-    """doc_id, fp (signed long) and component_id of every row of ``docs`` (doc_id, text)."""
+    """doc_id, fp (signed long), component_id and root of every row of ``docs`` (doc_id, text)."""
     prints = materialize(with_fingerprint(docs.select("doc_id", "text"), shingle), "fingerprints")
-    return prints.join(group_of(prints, tau), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(group_of(prints, tau), "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def _keep_first(docs: DataFrame, slim: DataFrame, recompute) -> DataFrame:
-    """The row with the least (doc_id, fp) of each group; ``slim`` has doc_id, fp and component_id of every row.
+    """The row with the least (doc_id, fp) of each group; ``slim`` has doc_id, fp, component_id and root of every row.
 
     Rows whose doc_id is not repeated are dropped by an anti-join with the ids
     of those that go; only rows that share an id, or have none, are told apart
@@ -281,13 +286,14 @@ def _keep_first(docs: DataFrame, slim: DataFrame, recompute) -> DataFrame:
     """
     ids = slim.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("component_id").alias("component_id"))
     once = F.col("doc_id").isNotNull() & (F.col("n") == 1)
-    lost = ids.filter(once & (F.col("doc_id") != F.col("component_id"))).select("doc_id")
+    # The texts shuffle only if more rows go than may be broadcast.
+    lost = small(materialize(ids.filter(once & (F.col("doc_id") != F.col("component_id"))).select("doc_id"), "lost-ids"))
     again = materialize(ids.filter(~once).select(F.col("doc_id").alias("again")), "repeated-ids")
     if not again.take(1):
         return docs.join(lost, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.join(again, docs["doc_id"].eqNullSafe(again["again"]), "left_semi")
     single = docs.join(again, docs["doc_id"].eqNullSafe(again["again"]), "left_anti").join(lost, "doc_id", "left_anti")
-    winners = slim.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("w")).select("w.doc_id", "w.fp")
+    winners = slim.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("w")).select("w.doc_id", "w.fp")
     name, copy, wid, wfp = unused(docs, "fp", "text_copy", "w_id", "w_fp")
     own = recompute(rows.withColumn(copy, F.col("text")), copy, name)
     w = winners.select(F.col("doc_id").alias(wid), F.col("fp").alias(wfp))
@@ -466,14 +472,16 @@ def similar_links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
 
 
 def similar_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp (128 bits) and component_id of every row, for five-word shingles at a similarity of 0.8."""
+    """doc_id, fp (128 bits), component_id and root of every row, for five-word shingles at a similarity of 0.8."""
     prints = materialize(with_wide_print(docs.select("doc_id", "text"), bands="bands"), "wide-prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("bands").alias("bands"))
     nodes = materialize(nodes.withColumn("node", F.xxhash64("fp")), "wide-nodes")
     roots = materialize(_graph.components(similar_links(nodes.select("node", "fp", "bands"), radius)), "wide-roots")
     named = nodes.select("node", "fp", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.select("doc_id", "fp").join(named.join(lows, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = materialize(named, "wide-named")
+    lows = materialize(named.groupBy("root").agg(F.min("low").alias("component_id")), "wide-lows")
+    ids = materialize(named.join(lows, "root").select("fp", "component_id", "root"), "wide-components")
+    return prints.select("doc_id", "fp").join(ids, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def dedup_similar(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
