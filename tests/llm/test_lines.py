@@ -61,7 +61,7 @@ def test_equals_all_pairs(spark, monkeypatch, seed, length, bucket):
     assert got
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.text("ab", max_size=6), st.text("ab", max_size=6)), min_size=1, max_size=40))
 def test_bit_parallel_distance(spark, pairs):
     df = spark.createDataFrame(pairs, "x string, y string")

@@ -43,7 +43,7 @@ def mixture(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_equals_exact_prefix_sums(spark, seed):
     rng = np.random.default_rng(seed)
     names = ["b", "a", "é", "zz", "hot", None, "tiny"]
