@@ -162,27 +162,33 @@ def _bit(at: Column, width: int) -> Column:
 
 
 def verified(pairs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """Rows of ``pairs`` (lx, ly, ...) within one edit.
+    """Rows of ``pairs`` (lx, ly with their lengths nx, ny, ...) within one edit.
 
     Of ``blocks`` parts of the shorter line all but one must be unchanged,
-    aligned to the start before it and to the end after it.  That leaves few
-    pairs, and equal ends don't change a distance, so only the part between
-    them goes through the bit-parallel steps.
+    aligned to the start before it and to the end after it.  Parts are compared
+    from either end up to the first that differs, which rules out most pairs
+    after a look at few of them; equal ends don't change a distance, so only
+    the part between them goes through the bit-parallel steps.
     """
-    swap = F.length("lx") > F.length("ly")
-    rows = pairs.withColumns({"short": F.when(swap, F.col("ly")).otherwise(F.col("lx")), "tall": F.when(swap, F.col("lx")).otherwise(F.col("ly"))})
-    n, m = F.length("short"), F.length("tall")
-    head = lambda j: F.floor(j * n / blocks).cast("int")
-    tail = lambda j: (n - F.floor((j + 1) * n / blocks)).cast("int")
-
-    def same(j: Column) -> Column:
-        start = F.substring(F.col("short"), F.lit(1), head(j)) == F.substring(F.col("tall"), F.lit(1), head(j))
-        return start & (F.right(F.col("short"), tail(j)) == F.right(F.col("tall"), tail(j)))
-
-    found = F.get(F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), same), F.lit(0))
-    rows = rows.filter(m - n <= 1).withColumn("j", found).filter("j is not null")
-    j = F.col("j")
-    part = lambda c, size: F.substring(F.col(c), head(j) + 1, size - head(j) - tail(j))
+    swap = F.col("nx") > F.col("ny")
+    pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
+    rows = pairs.filter(F.abs(F.col("nx") - F.col("ny")) <= 1).withColumns({"short": pick("lx", "ly"), "tall": pick("ly", "lx"), "n": pick("nx", "ny"), "m": pick("ny", "nx")})
+    n, m = F.col("n"), F.col("m")
+    edge = lambda j: F.floor(j * n / blocks).cast("int")
+
+    def same(j: Column, shift: Column) -> Column:
+        size = edge(j + 1) - edge(j)
+        return F.substring(F.col("short"), edge(j) + 1, size) == F.substring(F.col("tall"), edge(j) + 1 + shift, size)
+
+    def run(test) -> Column:
+        """How many of the tests 0, 1, ... hold before the first that doesn't; none is made after it."""
+        return F.aggregate(F.sequence(F.lit(0), F.lit(blocks - 1)), F.lit(0), lambda acc, k: F.when((acc == k) & test(k), acc + 1).otherwise(acc))
+
+    lead = run(lambda k: same(k, F.lit(0)))
+    trail = run(lambda k: same(blocks - 1 - k, m - n))
+    rows = rows.withColumn("j", F.least(lead, F.lit(blocks - 1))).withColumn("trail", trail).filter(F.col("j") + F.col("trail") >= blocks - 1)
+    head, tail = edge(F.col("j")), n - edge(F.col("j") + 1)
+    part = lambda c, size: F.substring(F.col(c), head + 1, size - head - tail)
     return rows.filter(within(part("short", n), part("tall", m)))
 
 
@@ -191,8 +197,8 @@ def classes(lines: DataFrame) -> DataFrame:
     verify, sure = candidates(lines.filter(F.length("line") >= LEAST_CHARS))
     verify = materialize(verify, "line-pairs")
     ids = materialize(verify.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "line-ids")
-    texts = materialize(lines.select("id", "line").join(small(ids), "id", "left_semi"), "line-texts")
-    x, y = texts.select(F.col("id").alias("x"), F.col("line").alias("lx")), texts.select(F.col("id").alias("y"), F.col("line").alias("ly"))
+    texts = materialize(lines.select("id", "line", F.length("line").alias("n")).join(small(ids), "id", "left_semi"), "line-texts")
+    x, y = (texts.select(F.col("id").alias(k), F.col("line").alias(f"l{k}"), F.col("n").alias(f"n{k}")) for k in "xy")
     spark = lines.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     # Few bytes but much work a row: dealt by number, so that small files don't end up in a task or two.
@@ -209,7 +215,8 @@ def dropped(docs: DataFrame) -> DataFrame:
     repeated = materialize(roots.select(F.col("node").alias("id"), F.col("root").alias("class_id")).unionByName(alone), "line-classes")
     found = materialize(occurrences(docs).join(small(repeated), "id").select("doc_id", "pos", "class_id"), "line-repeats")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("pos"))
-    first = found.groupBy("class_id").agg(F.min(place).alias("first"))
+    # Counted and broadcast if few, so that a class of very many lines stays spread.
+    first = small(materialize(found.groupBy("class_id").agg(F.min(place).alias("first")), "line-first"))
     later = found.join(first, "class_id").filter(~place.eqNullSafe(F.col("first")))
     return later.select("doc_id", "pos", "class_id").distinct()
 
