@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, without case.  Every run of ``SEED``
-words of a test item is a seed.  A first pass over all documents counts in how
-many of them each seed occurs; the rarer half of an item's seeds (at least
-``LEAST_SEEDS``) join documents to items.  A second pass aligns the words
-around each hit with the item by local alignment (match 2, mismatch -1, gap
--1) and keeps pairs whose score is at least ``THRESHOLD`` of a verbatim copy's.
-Rarity is relative to the item, so an item that leaked into most documents
-keeps its seeds.
-
-Neither pass shuffles texts.  Items come in waves of at most ``WAVE_BYTES`` of
+words of a test item is a seed, and all of them join documents to items: an
+edited copy may hold any part of them, so none is left out for being frequent
+or rare.  The words around each hit are aligned with the item by local
+alignment (match 2, mismatch -1, gap -1), and pairs whose score is at least
+``THRESHOLD`` of a verbatim copy's are kept.  A window goes without alignment
+only if it has too few words of the item for such a score.  What no seed
+reaches is a copy that keeps no ``SEED`` words of the item in a row.
+
+Texts never shuffle.  Items come in waves of at most ``WAVE_BYTES`` of
 text (one item at least), so the seeds that are broadcast have a bound however
 many items there are; each wave is a pass over the documents.
 
@@ -23,6 +23,7 @@ ignored by :func:`leaks`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,7 +36,6 @@ from . import _words
 from ._common import materialize, table
 
 SEED = 3
-LEAST_SEEDS = 8
 LEAST_WORDS = 8
 THRESHOLD = 0.5
 WAVE_BYTES = 1 << 22
@@ -113,21 +113,6 @@ class Items:
         self.filter[:] = False
         self.filter[(self.seed >> np.uint64(42)).astype(np.int64)] = True
 
-    def rarest(self, seen: dict[int, int]) -> None:
-        """Keep the rarer half of each item's seeds, given the documents that hold each (by position in the sorted distinct seeds)."""
-        distinct, which = np.unique(self.seed, return_inverse=True)
-        df = np.zeros(len(distinct), np.int64)
-        for k, n in seen.items():
-            df[k] = n
-        keep = np.zeros(len(self.seed), bool)
-        order = np.lexsort((self.place, df[which], self.item))
-        item = self.item[order]
-        first = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
-        size = np.diff(np.r_[first, len(item)])
-        rank = np.arange(len(item)) - np.repeat(first, size)
-        keep[order] = rank < np.repeat(np.maximum(LEAST_SEEDS, -(-size // 2)), size)
-        self._set(self.seed[keep], self.item[keep], self.place[keep])
-
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into grams, first index into seeds) where a gram is a seed."""
         some = np.flatnonzero(self.filter[(grams >> np.uint64(42)).astype(np.int64)])
@@ -155,6 +140,13 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, end
 
 
+def _may_score(item: np.ndarray, windows: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of ``windows`` have enough words of ``item``: a score is at most that of its matches, and each takes a word."""
+    own = np.unique(item)
+    at = np.minimum(np.searchsorted(own, windows), len(own) - 1)
+    return (own[at] == windows).sum(axis=1) >= threshold * len(item)
+
+
 def _found(items: Items, column: pa.Array, threshold: float) -> dict[tuple[int, int], tuple[float, int, int]]:
     """{(row, item): (score, first word, end word)} of a batch; words count within the piece that holds the copy."""
     out: dict[tuple[int, int], tuple[float, int, int]] = {}
@@ -180,14 +172,20 @@ def _found(items: Items, column: pa.Array, threshold: float) -> dict[tuple[int,
         for k in np.unique(item).tolist():
             own = np.flatnonzero(item == k)
             m = int(sizes[k])
-            for cut in range(0, len(own), 256):
-                part = own[cut : cut + 256]
-                begin = np.maximum(low[of[part]], offset[new[part]] - m // 2)
-                stop = np.minimum(high[of[part]], offset[last[part]] + m + m // 2)
+            spare = max(0, math.ceil(2 * m * (1 - threshold)))  # most words that a copy may have too many
+            step = max(1, min(256, (1 << 20) // m))
+            for cut in range(0, len(own), step):
+                part = own[cut : cut + step]
+                begin = np.maximum(low[of[part]], offset[new[part]] - spare)
+                stop = np.minimum(high[of[part]], offset[last[part]] + m + spare)
                 width = int((stop - begin).max())
                 where = begin[:, None] + np.arange(width)
                 inside = where < stop[:, None]
                 windows = np.where(inside, h[np.minimum(where, len(h) - 1)], np.uint64(0))
+                likely = _may_score(items.words[k], windows, threshold)
+                if not likely.any():
+                    continue
+                part, begin, windows = part[likely], begin[likely], windows[likely]
                 best, end = align(items.words[k], windows)
                 good = np.flatnonzero(best >= threshold * MATCH * m)
                 if not len(good):
@@ -209,37 +207,14 @@ def _waves(benchmark: DataFrame) -> tuple[DataFrame, int]:
     return rows.withColumn("wave", F.pmod(F.xxhash64("item_id", "text"), F.lit(waves))), waves
 
 
-def _seeded(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
-    """Items of each wave with their rare seeds, counted over all of ``docs``."""
-    spark = docs.sparkSession
+def _seeded(benchmark: DataFrame) -> Iterator[Items]:
+    """Items of each wave with all their seeds."""
     rows, waves = _waves(benchmark)
     for w in range(waves):
         own = rows.filter(F.col("wave") == w).drop("wave").toArrow()
         items = Items.of(sorted(zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
-        if not items.ids:
-            continue
-        sent = spark.sparkContext.broadcast(items)
-
-        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            held = sent.value
-            distinct = np.unique(held.seed)
-            total = np.zeros(len(distinct), np.int64)
-            for b in batches:
-                pairs = []
-                for rows, offsets, raw in _overlapping(b.column(0), held.reach):
-                    h, text = _hashed(offsets, raw)
-                    grams, at = _words.chained(h, text, SEED)
-                    gi, _ = held.hits(grams)
-                    pairs.append(np.searchsorted(distinct, grams[gi]).astype(np.int64) * b.num_rows + rows[text[at[gi]]])
-                if pairs:
-                    total += np.bincount(np.unique(np.concatenate(pairs)) // b.num_rows, minlength=len(distinct))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["seed", "n"])
-
-        seen = docs.select(F.col("text").cast("string")).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-        items.rarest(dict(zip(seen.column(0).to_pylist(), seen.column(1).to_pylist(), strict=True)))
-        sent.unpersist()
-        yield items
+        if items.ids:
+            yield items
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -248,7 +223,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     slim = docs.select("doc_id", F.col("text").cast("string"))
     schema = slim.select("doc_id").schema.add("item_id", "long").add("score", "double").add("first_word", "long").add("end_word", "long")
     out = spark.createDataFrame([], schema)
-    for items in _seeded(docs, benchmark):
+    for items in _seeded(benchmark):
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -269,7 +244,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     """The rows of ``docs`` that align with no item; a filter in place, row by row."""
     spark = docs.sparkSession
     at = docs.columns.index("text")
-    for items in _seeded(docs, benchmark):
+    for items in _seeded(benchmark):
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

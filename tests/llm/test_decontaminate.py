@@ -57,6 +57,35 @@ def test_waves_give_the_same(spark, planted, monkeypatch):
     assert kept == {i for i, _ in docs} - {i for i, _ in truth}
 
 
+def test_edited_copies_without_a_verbatim_one(spark):
+    """15 to 30 % of the words replaced, at chance or evenly: most seeds of a copy are gone, and some texts hold others of them."""
+    rng = np.random.default_rng(12)
+    items = [(k, " ".join(rng.choice(VOCABULARY, n))) for k, n in enumerate([20, 39, 59] * 4)]
+    docs = []
+    for i in range(72):
+        copy = items[i % 12][1].split()
+        share = (0.15, 0.2, 0.25, 0.3)[i % 4]
+        gone = range(i % 5, len(copy), 5) if i >= 60 else rng.choice(len(copy), round(share * len(copy)), replace=False)
+        for at in gone:
+            copy[at] = f"edited{i}x{at}"
+        docs.append((i, " ".join([*rng.choice(VOCABULARY, 30), *copy, *rng.choice(VOCABULARY, 30)])))
+    runs = {k: {" ".join(w[at : at + 3]) for at in range(len(w) - 2)} for k, w in ((k, t.split()) for k, t in items)}
+    truth = {(i, k) for i, text in docs for k, t in items if score(t, text) >= D.THRESHOLD and any(f" {r} " in f" {text} " for r in runs[k])}
+    assert len(truth) > 60
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in D.leaks(df, bench).collect()} == truth
+    assert {r["doc_id"] for r in D.remove(df, bench).collect()} == {i for i, _ in docs} - {i for i, _ in truth}
+
+
+def test_copy_with_many_words_put_in(spark):
+    """The words put in before the only seed move it by more than half the item."""
+    item = [f"i{k}" for k in range(20)]
+    text = " ".join(["x", *(w for k in range(15) for w in (item[k], f"y{k}")), *item[15:], "z"])
+    assert score(" ".join(item), text) >= D.THRESHOLD
+    got = D.leaks(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["score"]) for r in got] == [(1, score(" ".join(item), text))]
+
+
 def test_passage_that_most_documents_share(spark):
     rng = np.random.default_rng(2)
     item = " ".join(rng.choice(VOCABULARY, 30))
