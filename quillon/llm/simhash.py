@@ -388,13 +388,12 @@ def with_wide_print(docs: DataFrame, text: str = "text", name: str = "fp", bands
     return slim.mapInArrow(run, (shape.withColumn(bands, F.array(F.lit(0).cast("long"))) if bands else shape).schema)
 
 
-def _wide_forest(nodes: np.ndarray, prints: np.ndarray, radius: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """(edges of a spanning forest, a node of each tree)."""
-    edges, roots = [], []
+def _wide_forest(nodes: np.ndarray, prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links."""
+    edges = []
     left = np.arange(len(nodes))
-    while len(left):
+    while len(left) > 1:
         todo, left = [left[0]], left[1:]
-        roots.append(nodes[todo[0]])
         while todo and len(left):
             one = todo.pop()
             near = np.bitwise_count(prints[left] ^ prints[one]).sum(axis=1) <= radius
@@ -403,23 +402,22 @@ def _wide_forest(nodes: np.ndarray, prints: np.ndarray, radius: int) -> tuple[li
                 edges += [(nodes[one], x) for x in nodes[found]]
                 todo += found.tolist()
                 left = left[~near]
-    return edges, roots
+    return edges
 
 
 def _wide_link(rows: DataFrame, radius: int) -> DataFrame:
-    """From (k1, k2, node, fp): edges (a, b), and (root, root) with k1 for each tree of a bucket (k1, k2)."""
+    """Forest edges (a, b) of each bucket (k1, k2), from (k1, k2, node, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(k1: np.ndarray, k2: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
             new = np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
             size = np.diff(np.r_[new, len(k1)])
-            out: list[tuple[int, int, int]] = []
+            out: list[tuple[int, int]] = []
             for at, n in zip(new[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-                edges, roots = _wide_forest(node[at : at + n], fp[at : at + n], radius)
-                out += [(a, b, k1[at]) for a, b in edges] + [(a, a, k1[at]) for a in roots]
+                out += _wide_forest(node[at : at + n], fp[at : at + n], radius)
             if not out:
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*out, strict=True)], names=["a", "b", "k1"])
+            return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*out, strict=True)], names=["a", "b"])
 
         rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.uint64)]
         for batch in batches:
@@ -434,41 +432,30 @@ def _wide_link(rows: DataFrame, radius: int) -> DataFrame:
             yield out
 
     dealt = rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2")
-    return dealt.select("k1", "k2", "node", "fp").mapInArrow(run, "a long, b long, k1 long")
+    return dealt.select("k1", "k2", "node", "fp").mapInArrow(run, "a long, b long")
 
 
 def similar_links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) among ``nodes`` (node, fp, bands), which should be materialised.
 
-    Buckets of more than ``block`` rows are dealt into blocks.  A block's trees
-    then stand for it: one node of each goes on to the next round, dealt anew.
-    A large group of near copies shrinks by its size at once; what a round
-    hardly shrinks is compared block by block with all others of its bucket.
+    Buckets of more than ``block`` rows are dealt into blocks, and every two
+    blocks are compared on all their members: a link has no stand-in, as being
+    near is not transitive.
     """
     keys = nodes.select("node", "fp", F.explode("bands").alias("k1"))
-    edges = None
-    past = None
-    while True:
-        sizes = keys.groupBy("k1").count()
-        hot = materialize(sizes.filter(F.col("count") > block).withColumn("blocks", F.ceil(F.col("count") / block).cast("int")), "hot-buckets")
-        total = hot.agg(F.sum("count")).first()[0] or 0
-        if not total:
-            own = _wide_link(keys.withColumn("k2", F.lit(0).cast("long")), radius)
-            return (own if edges is None else edges.unionByName(own)).select("a", "b")
-        cold = _wide_link(keys.join(hot, "k1", "left_anti").withColumn("k2", F.lit(0).cast("long")), radius)
-        edges = cold if edges is None else edges.unionByName(cold)
-        dealt = keys.join(hot.select("k1", "blocks"), "k1").withColumn("c", F.pmod(F.xxhash64("node", F.lit(total)), F.col("blocks")).cast("long"))
-        if past is not None and total > 0.9 * past:
-            other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("o")
-            pairs = dealt.select("*", other).withColumn("k2", F.least("c", "o") * F.col("blocks") + F.greatest("c", "o")).drop("c", "o", "blocks")
-            return edges.unionByName(_wide_link(pairs, radius)).select("a", "b")
-        found = materialize(_wide_link(dealt.withColumnRenamed("c", "k2"), radius), "block-trees")
-        alone = dealt.groupBy("k1", "c").count().filter("count = 1").select("k1", "c")  # a block of one gives no tree
-        edges = edges.unionByName(found)
-        roots = found.filter("a = b").select(F.col("a").alias("node"), "k1")
-        lone = dealt.join(alone, ["k1", "c"], "left_semi").select("node", "k1")
-        keys = materialize(roots.unionByName(lone).distinct().join(nodes.select("node", "fp"), "node").select("node", "fp", "k1"), "block-roots")
-        past = total
+    return _wide_link(_in_blocks(keys, block), radius)
+
+
+def _in_blocks(keys: DataFrame, block: int) -> DataFrame:
+    """``keys`` with k2: 0 in a bucket k1 of up to ``block`` rows, else a row for each pair of blocks that its own is in."""
+    sizes = keys.groupBy("k1").count().filter(F.col("count") > block)
+    hot = materialize(sizes.select("k1", F.ceil(F.col("count") / block).cast("long").alias("blocks")), "hot-buckets")
+    if not hot.take(1):
+        return keys.withColumn("k2", F.lit(0).cast("long"))
+    cold = keys.join(hot, "k1", "left_anti").withColumn("k2", F.lit(0).cast("long"))
+    dealt = keys.join(hot, "k1").withColumn("c", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    pairs = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter("c <> o")
+    return cold.unionByName(pairs.withColumn("k2", F.least("c", "o") * F.col("blocks") + F.greatest("c", "o")).drop("c", "o", "blocks"))
 
 
 def similar_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -133,3 +133,21 @@ def test_large_buckets_of_similar_texts(spark):
     whole = simhash._graph.components(simhash.similar_links(nodes)).collect()
     parts = simhash._graph.components(simhash.similar_links(nodes, block=8)).collect()
     assert sorted(whole) == sorted(parts)
+
+
+def test_links_of_members_that_no_other_block_stands_for(spark):
+    """Texts near one member of a large bucket, and not near most others of its group."""
+    rng = np.random.default_rng(7)
+    flip = lambda x, places: np.bitwise_xor(x, np.packbits(np.isin(np.arange(128), places)).view(np.uint64))
+    base = rng.integers(0, 2**63, 2).astype(np.uint64)
+    prints = [flip(base, rng.choice(128, 10, replace=False)) for _ in range(150)]
+    prints += [flip(prints[int(rng.integers(150))], rng.choice(128, 22, replace=False)) for _ in range(30)]
+    forest = brute.Forest()
+    for i, p in enumerate(prints):
+        forest.find(i)
+        for j in np.flatnonzero(np.bitwise_count(np.array(prints[:i] or [~p]) ^ p).sum(axis=1) <= simhash.RADIUS).tolist():
+            forest.join(i, j)
+    truth = {i: forest.find(i) for i in range(len(prints))}
+    nodes = spark.createDataFrame([(i, bytearray(p.tobytes()), [1]) for i, p in enumerate(prints)], "node long, fp binary, bands array<long>")
+    got = {r["node"]: r["root"] for r in simhash._graph.components(simhash.similar_links(nodes, simhash.RADIUS, block=8)).collect()}
+    assert {i: got.get(i, i) for i in truth} == truth and sum(r == 0 for r in truth.values()) > 160
