@@ -313,13 +313,20 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU) -> DataFrame:
 # At that similarity SimHash distances are about 15 % of the bits, where keys of the pigeonring
 # principle no longer select: a key short enough to be equal is shared by most unrelated pairs.
 # So candidates share one of BANDS keys of BAND_ROWS least hashes each (a pair at 0.8 shares one
-# with a probability of 0.995), and the Hamming check on 128 bits decides.
+# with a probability of 0.995) and differ in at most REACH of 128 bits (about 19 +- 4 do at 0.8, so
+# this keeps all but one in a million); what such pairs connect is a family. Within a family the
+# exact Jaccard similarity of the shingle sets decides.
 
 WIDE_SHINGLE = 5
+SIMILAR = (4, 5)
 RADIUS = 24
+#: Most bits in which a pair may differ that is compared exactly.
+REACH = 40
 BANDS, BAND_ROWS = 10, 4
 #: Most rows of a bucket that are compared in one task.
 BLOCK = 4096
+#: Most texts of a family in a block; two blocks are compared in one task.
+SET_BLOCK = 512
 
 _rng = np.random.default_rng(5)
 _A = _rng.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -370,16 +377,25 @@ def wide_prints(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return prints, keys
 
 
+def whole_print(text: bytes | None) -> bytes:
+    """A hash of all shingles of a text in order; other than the 128 bits, it tells near copies apart."""
+    out = xxhash.xxh3_64()
+    for digests in _wide_digests(text or b""):
+        out.update(digests)
+    return out.digest()
+
+
 def with_wide_print(docs: DataFrame, text: str = "text", name: str = "fp", bands: str | None = None) -> DataFrame:
-    """``docs`` without its text, with the 128 bits as one binary column and, if asked for, the band keys."""
+    """``docs`` without its text, with the 128 bits and the hash of the whole as one binary column and, if asked for, the band keys."""
     keep = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                prints, keys = wide_prints(_binary(part.column(part.num_columns - 1)))
-                own = [pa.array([x.tobytes() for x in prints], pa.binary())]
+                texts = _binary(part.column(part.num_columns - 1))
+                prints, keys = wide_prints(texts)
+                own = [pa.array([x.tobytes() + whole_print(t) for x, t in zip(prints, texts, strict=True)], pa.binary())]
                 own += [pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))] if bands else []
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *own], names=[*part.schema.names[:-1], name, *([bands] if bands else [])])
 
@@ -421,7 +437,7 @@ def _wide_link(rows: DataFrame, radius: int) -> DataFrame:
 
         rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.uint64)]
         for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, 2)
+            raw = np.frombuffer(b"".join(x[:16] for x in batch.column(3).to_pylist()), np.uint64).reshape(-1, 2)
             cols = [*[batch.column(i).to_numpy(False) for i in range(3)], raw]
             now = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             cut = int(np.argmax((now[0] == now[0][-1]) & (now[1] == now[1][-1])))
@@ -458,12 +474,93 @@ def _in_blocks(keys: DataFrame, block: int) -> DataFrame:
     return cold.unionByName(pairs.withColumn("k2", F.least("c", "o") * F.col("blocks") + F.greatest("c", "o")).drop("c", "o", "blocks"))
 
 
-def similar_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp (128 bits), component_id and root of every row, for five-word shingles at a similarity of 0.8."""
+def with_sets(docs: DataFrame) -> DataFrame:
+    """(fp, shingles) of ``docs`` (doc_id, text): the different hashes of the shingles, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                texts = _binary(b.column(0).slice(lo, 512))
+                prints, _ = wide_prints(texts)
+                fp = pa.array([x.tobytes() + whole_print(t) for x, t in zip(prints, texts, strict=True)], pa.binary())
+                sets = [np.unique(np.frombuffer(b"".join(_wide_digests(t or b"")), np.int64)[::2]) for t in texts]
+                yield pa.RecordBatch.from_arrays([fp, pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "fp binary, shingles array<long>")
+
+
+def _set_forest(nodes: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs of sets at ``SIMILAR`` or more; ``values`` has the sets one after the other."""
+    over, under = SIMILAR
+    _, values = np.unique(values, return_inverse=True)
+    mark = np.zeros(len(values), bool)
+    starts = np.cumsum(sizes) - sizes
+    edges = []
+    left = np.arange(len(nodes))
+    flat, size = values, sizes
+    while len(left) > 1:
+        todo, first = [int(left[0])], True
+        while todo and len(left):
+            one = todo.pop()
+            own = values[starts[one] : starts[one] + sizes[one]]
+            mark[own] = True
+            both = np.diff(np.r_[0, np.cumsum(mark[flat])][np.r_[0, np.cumsum(size)]])
+            mark[own] = False
+            near = under * both >= over * (size + sizes[one] - both)
+            if first:
+                near[0], first = True, False
+            if near.any():
+                found = left[near]
+                edges += [(nodes[one], x) for x in nodes[found] if x != nodes[one]]
+                todo += [x for x in found.tolist() if x != one]
+                flat, left, size = flat[np.repeat(~near, size)], left[~near], size[~near]
+    return edges
+
+
+def _set_link(rows: DataFrame) -> DataFrame:
+    """Forest edges (a, b) of each bucket (k1, k2), from (k1, k2, node, shingles); one bucket in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(k1: np.ndarray, k2: np.ndarray, node: np.ndarray, sets: pa.Array) -> pa.RecordBatch | None:
+            new = np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+            size = np.diff(np.r_[new, len(k1)])
+            out: list[tuple[int, int]] = []
+            for at, n in zip(new[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+                own = sets.slice(at, n)
+                out += _set_forest(node[at : at + n], own.flatten().to_numpy(False), own.value_lengths().to_numpy(False).astype(np.int64))
+            if not out:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*out, strict=True)], names=["a", "b"])
+
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = batch if rest is None else pa.concat_batches([rest, batch])
+            k1, k2, node = (now.column(i).to_numpy(False) for i in range(3))
+            cut = int(np.argmax((k1 == k1[-1]) & (k2 == k2[-1])))
+            if cut and (out := found(k1[:cut], k2[:cut], node[:cut], now.column(3).slice(0, cut))):
+                yield out
+            rest = now.slice(cut)
+        if rest is not None and (out := found(*(rest.column(i).to_numpy(False) for i in range(3)), rest.column(3))):
+            yield out
+
+    dealt = rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+    return dealt.select("k1", "k2", "node", "shingles").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, reach: int = REACH) -> DataFrame:
+    """doc_id, fp, component_id and root of every row, for five-word shingles at a similarity of 0.8."""
     prints = materialize(with_wide_print(docs.select("doc_id", "text"), bands="bands"), "wide-prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("bands").alias("bands"))
     nodes = materialize(nodes.withColumn("node", F.xxhash64("fp")), "wide-nodes")
-    roots = materialize(_graph.components(similar_links(nodes.select("node", "fp", "bands"), radius)), "wide-roots")
+    families = _graph.components(similar_links(nodes.select("node", "fp", "bands"), reach)).withColumnRenamed("root", "k1")
+    members = materialize(nodes.select("node", "fp", "low").join(families, "node"), "wide-families")
+    ids = small(materialize(members.select(F.col("low").alias("member")).distinct(), "family-ids"))
+    texts = with_sets(docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("member")), "left_semi"))
+    sets = texts.join(members.select("fp", "node", "k1"), "fp").groupBy("node").agg(F.first("k1").alias("k1"), F.first("shingles").alias("shingles"))
+    sets = materialize(sets, "family-sets")
+    roots = materialize(_graph.components(materialize(_set_link(_in_blocks(sets, SET_BLOCK)), "similar-pairs")), "wide-roots")
     named = nodes.select("node", "fp", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named, "wide-named")
     lows = materialize(named.groupBy("root").agg(F.min("low").alias("component_id")), "wide-lows")
@@ -471,9 +568,9 @@ def similar_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.select("doc_id", "fp").join(ids, "fp").select("doc_id", "fp", "component_id", "root")
 
 
-def dedup_similar(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def dedup_similar(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """The rows of ``docs`` but one of each group of :func:`similar_groups`."""
-    slim = materialize(similar_groups(docs, radius), "wide-groups")
+    slim = materialize(similar_groups(docs, reach), "wide-groups")
     return _keep_first(docs, slim, lambda rows, text, name: with_wide_print(rows, text, name))
 
 

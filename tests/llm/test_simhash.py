@@ -151,3 +151,27 @@ def test_links_of_members_that_no_other_block_stands_for(spark):
     nodes = spark.createDataFrame([(i, bytearray(p.tobytes()), [1]) for i, p in enumerate(prints)], "node long, fp binary, bands array<long>")
     got = {r["node"]: r["root"] for r in simhash._graph.components(simhash.similar_links(nodes, simhash.RADIUS, block=8)).collect()}
     assert {i: got.get(i, i) for i in truth} == truth and sum(r == 0 for r in truth.values()) > 160
+
+
+def test_groups_are_those_of_the_exact_similarity(spark):
+    """Pairs just above and just below 0.8, which distances of fingerprints do not tell apart."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for f in range(40):
+        words = [f"{w}{rng.integers(1000)}" for w in rng.choice(WORDS, 404)]
+        # Five shingles an edit: 400 shingles, at 8 edits 360 / 440 = 0.82, at 10 edits 350 / 450 = 0.78.
+        edited = [f"x{f}" if i in range(20, 20 + 40 * (8 if f % 2 else 10), 40) else w for i, w in enumerate(words)]
+        rows += [(2 * f, " ".join(words)), (2 * f + 1, " ".join(edited))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = [simhash.wide_prints([t.encode()])[1][0] for _, t in rows]
+    met = {f for f in range(40) if (keys[2 * f] == keys[2 * f + 1]).any()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert got == {i: i - i % 2 if i // 2 in met and i // 2 % 2 else i for i, _ in rows}
+    assert len(met) > 30
+
+
+def test_sets_link_at_the_threshold_and_not_below():
+    a = np.arange(10)
+    for other, linked in ((np.arange(8), True), (np.arange(7), False), (np.arange(1, 10), True)):
+        edges = simhash._set_forest(np.array([5, 6]), np.r_[a, other], np.array([len(a), len(other)]))
+        assert edges == ([(5, 6)] if linked else [])
