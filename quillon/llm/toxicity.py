@@ -69,7 +69,19 @@ class Automaton:
     edits: np.ndarray  # state -> edits of that match
     longest: int
     shortest: int
-    classes: np.ndarray  # code point -> class, for those below its length; 0 for others
+    classes: np.ndarray  # code point -> class, for those below its length
+    far: np.ndarray  # further code points with a class, sorted
+    far_classes: np.ndarray  # their classes; 0 for all others
+
+    def kinds(self, points: np.ndarray) -> np.ndarray:
+        out = self.classes[np.minimum(points, len(self.classes) - 1)]
+        high = np.flatnonzero(points >= len(self.classes))
+        at = np.searchsorted(self.far, points[high])
+        known = at < len(self.far)
+        known[known] = self.far[at[known]] == points[high[known]]
+        out[high] = 0
+        out[high[known]] = self.far_classes[at[known]]
+        return out
 
 
 def build(terms: list[str], edits: list[int]) -> Automaton:
@@ -78,6 +90,7 @@ def build(terms: list[str], edits: list[int]) -> Automaton:
     A subset holds (trie node, edits made, term or -1): the term is fixed from
     its first edit on, as the budget is the term's own.
     """
+    terms = [t.replace("ς", "σ") for t in terms]
     letters = sorted({c for t in terms for c in t})
     number = {c: i + 1 for i, c in enumerate(letters)}
     kids: list[dict[int, int]] = [{}]
@@ -135,22 +148,27 @@ def build(terms: list[str], edits: list[int]) -> Automaton:
     classes = np.zeros(0x250, np.int32)
     for point in range(len(classes)):
         classes[point] = number.get(chr(point).lower(), 0)
+    cases = {x: number[c] for c in letters for x in (c, c.upper(), c.title()) if len(x) == 1 and x.lower() == c}
+    cases |= {"ς": number["σ"]} if "σ" in number else {}
+    far = sorted(ord(x) for x in cases if ord(x) >= len(classes))
     sizes = [len(t) for t in terms] or [0]
     found = np.array(accept, np.int64)
-    return Automaton(step, found[:, 0], found[:, 1], max(sizes) + 1, max(1, min(sizes) - 1), classes)
+    return Automaton(step, found[:, 0], found[:, 1], max(sizes) + 1, max(1, min(sizes) - 1), classes, np.array(far, np.int64), np.array([cases[chr(p)] for p in far], np.int32))
 
 
-_WORDLIKE = np.array([chr(p).isalnum() for p in range(0x250)])
+#: Letters and digits of all scripts, as in what is learned; accents of their own and signs without width do not part a word.
+_WORDLIKE = np.array([chr(p).isalnum() for p in range(0x110000)])
+_WORDLIKE[[*range(0x300, 0x370), 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]] = True
 
 
 def _words_of(offsets: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    apart = (points < 0x250) & ~_WORDLIKE[np.minimum(points, 0x24F)]
+    apart = ~_WORDLIKE[points]
     return _words.bounds(offsets, apart.view(np.uint8), np.array([False, True] + [False] * 254))
 
 
 def run(machine: Automaton, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, term, edits) of all words that the automaton accepts, in order."""
-    kinds = np.where(points < 0x250, machine.classes[np.minimum(points, 0x24F)], 0)
+    kinds = machine.kinds(points)
     size = end - start
     live = np.flatnonzero((size >= machine.shortest) & (size <= machine.longest))
     state = np.ones(len(live), np.int64)

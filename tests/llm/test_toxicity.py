@@ -84,3 +84,11 @@ def test_scores_do_not_depend_on_batches():
     texts = ["you idiot", None, "", "scum\nscum", 'he said "scum"', "é idyot é"]
     whole = model.scores(pa.array(texts))
     assert np.allclose(whole, [model.scores(pa.array([t], pa.string()))[0] for t in texts])
+
+
+@pytest.mark.parametrize("text", ["“scum”", "‘scum’", "scum—you", "you…scum", "ДУРАК", "（дурак）", "λόγος", "ΛΌΓΟΣ", "「笨蛋蛋」", "مجنون؟"])
+def test_terms_in_all_scripts_and_beside_all_signs(text):
+    machine = X.build(["scum", "дурак", "λόγος", "笨蛋蛋", "مجنون"], [0] * 5)
+    hits, n = X.found_in(machine, pa.array([text]))
+    assert len(hits[0]) == 1 and {quoted for *_, quoted in hits[0]} == {text == "“scum”"}
+    assert n[0] == 1 + ("you" in text)
