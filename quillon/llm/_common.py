@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but U+0020 and U+0009..U+000D.
@@ -50,13 +50,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Most rows of a side that is broadcast (a few longs each); beyond, the join shuffles.
+#: Most rows and bytes of a side that is broadcast; beyond either, the join shuffles.
 SMALL = 500_000
-
-
-def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """``df``, which should be materialised, marked for broadcast if its rows, counted, are few."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+SMALL_BYTES = 64 << 20
+
+
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row's strings, binaries and arrays; all else counts as 8."""
+    size = F.lit(0)
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            size += F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith("array"):
+            size += 8 * F.greatest(F.size(c), F.lit(0))
+        else:
+            size += 8
+    return size
+
+
+def small(df: DataFrame, rows: int = SMALL, most: int = SMALL_BYTES) -> DataFrame:
+    """``df``, which should be materialised, marked for broadcast if its rows and bytes, counted, are few."""
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_width(df).cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= most else df
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, small
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,19 +17,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round is two aggregations and two joins on node ids, and cuts its
     lineage in shared storage; rounds grow with the logarithm of the longest
-    path.  Minima are pre-aggregated before the shuffle, so a hub's edges do
-    not meet in one task there.
+    path.  Minima are pre-aggregated before the shuffle and written before they
+    are joined: broadcast while few, and else joined from files, where AQE can
+    split a hub's rows.  So a hub's edges never have to meet in one task.
     """
     pair = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialize(pair, "edges")
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-lows")
+        large = both.filter("v > u").join(small(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, "large-stars")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "star-leasts")
+        rest = large.join(small(least), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = materialize(rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
         last, state = state, _state(now)
         if state == last:
             break

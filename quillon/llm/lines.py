@@ -18,13 +18,16 @@ Pairs of small buckets are verified by a banded bit-parallel edit distance on
 the part between their equal ends: one machine word for each number of edits
 holds the diagonals of the band, and a fold over the characters updates them.
 
-Lines are told apart by a 64-bit hash; among n lines about n**2 / 2**65 pairs
-collide, under 1e-5 up to ten million lines.
-
-Defined cases: a null, empty or blank text has no lines.  Rows that share a
-doc_id are one document, and a line of theirs at the same number is one
-occurrence; a null doc_id counts after all others.  Empty tables give empty
-results; extra columns are ignored.
+A line's number is a 64-bit hash.  Different lines that share one are found by
+an aggregate over all lines and given other numbers, so no two lines are ever
+taken for one.  Links without a distance check need 128 equal bits.
+
+Defined cases: a null, empty or blank text has no lines.  Every row is a
+document of its own, whether its doc_id is repeated or null: rows are told
+apart by doc_id and the MD5 of their text, and ordered by them, null ids last.
+Of rows equal in both, one counts as the first and all lines of the others
+repeat it.  Empty tables give empty results; extra columns are ignored by
+:func:`dedup_report` and kept, whatever their names, by :func:`dedup`.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _graph
-from ._common import materialize, small, table
+from ._common import materialize, small, table, unused
 
 LEAST_CHARS = 20
 BUCKET = 32
@@ -41,20 +44,51 @@ BUCKET = 32
 BLOCKS = 16
 
 
-def occurrences(docs: DataFrame, text: bool = False) -> DataFrame:
-    """(doc_id, pos, id) of every line that is not blank, with its characters if asked for."""
-    parts = docs.select("doc_id", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "raw"))
-    line = F.trim("raw")
-    found = parts.select("doc_id", "pos", line.alias("line")).filter("line <> ''")
-    return found.select("doc_id", "pos", F.xxhash64("line").alias("id"), *(["line"] if text else []))
+def _hash(line: Column, attempt: int = 0) -> Column:
+    return F.xxhash64(F.lit(attempt), line) if attempt else F.xxhash64(line)
+
+
+def row_key(text: Column) -> Column:
+    """What tells rows of one doc_id, or without any, apart."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def occurrences(docs: DataFrame, moved: DataFrame | None = None) -> DataFrame:
+    """(doc_id, row, pos, line, id) of every line that is not blank; ``moved`` has the ids of lines that may not have their hash."""
+    keyed = docs.select("doc_id", row_key(F.col("text")).alias("row"), F.split(F.col("text").cast("string"), "\n").alias("lines"))
+    parts = keyed.select("doc_id", "row", F.posexplode("lines").alias("pos", "raw"))
+    found = parts.select("doc_id", "row", "pos", F.trim("raw").alias("line")).filter("line <> ''").withColumn("id", _hash(F.col("line")))
+    if moved is None:
+        return found
+    other = F.broadcast(moved.select(F.col("line").alias("m_line"), F.col("id").alias("m_id")))
+    joined = found.join(other, F.col("line") == F.col("m_line"), "left")
+    return joined.select("doc_id", "row", "pos", "line", F.coalesce("m_id", "id").alias("id"))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """((id, line, n) of all different lines with an id of their own, the (line, id) whose id is not their hash)."""
+    lines = materialize(occurrences(docs).groupBy("id", "line").agg(F.count(F.lit(1)).alias("n")), "lines")
+    moved, attempt = None, 0
+    while True:
+        shared = lines.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min("line").alias("first")).filter("k > 1").select("id", "first")
+        shared = materialize(shared, "line-clashes")
+        if not shared.take(1):
+            return lines, moved
+        attempt += 1
+        # About n**2 / 2**65 pairs: none up to billions of lines, some hundreds among 1e11.
+        clash = lines.join(F.broadcast(shared), "id", "left")
+        other = F.when(F.col("first").isNotNull() & (F.col("line") != F.col("first")), _hash(F.col("line"), attempt)).otherwise(F.col("id"))
+        lines = materialize(clash.select(other.alias("id"), "line", "n"), "lines")
+        moved = materialize(lines.filter(F.col("id") != _hash(F.col("line"))).select("line", "id"), "lines-moved")
 
 
 # --- candidates -------------------------------------------------------------------------------
 
 
-def _key(line: Column, size: Column, a: Column, b: Column) -> Column:
-    """Length of the shorter line, characters fixed at the start and at the end, and their hash."""
-    return F.xxhash64(size, a, b, F.substring(line, F.lit(1), a), F.right(line, b))
+def _key(line: Column, size: Column, a: Column, b: Column, seed: int = 0) -> Column:
+    """A hash of the length of the shorter line and the characters fixed at the start and at the end."""
+    parts = (size, a, b, F.substring(line, F.lit(1), a), F.right(line, b))
+    return F.xxhash64(F.lit(seed), *parts) if seed else F.xxhash64(*parts)
 
 
 def first_keys(lines: DataFrame) -> DataFrame:
@@ -97,9 +131,10 @@ def candidates(lines: DataFrame, bucket: int = BUCKET) -> tuple[DataFrame, DataF
         # With at most one character left, lines of a key and length differ in it alone: links without a check.
         hot = kept.filter(F.col("rows") > bucket)
         left = F.col("n") - F.col("a") - F.col("b")
-        ended = hot.filter((left <= 1) & (F.col("long") == 0) | (left == 0))
-        low = ended.groupBy("key").agg(F.min("id").alias("low"))
-        star = ended.join(low, "key").select(F.col("id").alias("a"), F.col("low").alias("b"))
+        ended = hot.filter((left <= 1) & (F.col("long") == 0) | (left == 0)).join(lines.select("id", "line"), "id")
+        ended = materialize(ended.select("id", "key", _key(F.col("line"), F.col("n"), F.col("a"), F.col("b"), 1).alias("key2")), "line-ended")
+        low = small(materialize(ended.groupBy("key", "key2").agg(F.min("id").alias("low")), "line-lows"))
+        star = ended.join(low, ["key", "key2"]).select(F.col("id").alias("a"), F.col("low").alias("b"))
         sure = star if sure is None else sure.unionByName(star)
         # Longer lines beside a shorter one with one free character go on with it.
         more = hot.filter(left >= 1).select("id", "n", "long", "a", "b")
@@ -208,37 +243,76 @@ def classes(lines: DataFrame) -> DataFrame:
 
 
 def dropped(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, class_id) of every line that repeats an earlier one."""
-    lines = materialize(occurrences(docs, text=True).groupBy("id", "line").agg(F.count(F.lit(1)).alias("n")), "lines")
+    """(doc_id, row, pos, class_id) of every line that repeats an earlier one of another row, or of its own at another place."""
+    lines, moved = numbered(docs)
     roots = materialize(classes(lines), "line-roots")
     alone = lines.filter("n > 1").select("id").join(roots.select(F.col("node").alias("id")), "id", "left_anti").select("id", F.col("id").alias("class_id"))
     repeated = materialize(roots.select(F.col("node").alias("id"), F.col("root").alias("class_id")).unionByName(alone), "line-classes")
-    found = materialize(occurrences(docs).join(small(repeated), "id").select("doc_id", "pos", "class_id"), "line-repeats")
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("pos"))
+    found = materialize(occurrences(docs, moved).select("doc_id", "row", "pos", "id").join(small(repeated), "id").select("doc_id", "row", "pos", "class_id"), "line-repeats")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("row"), F.col("pos"))
     # Counted and broadcast if few, so that a class of very many lines stays spread.
     first = small(materialize(found.groupBy("class_id").agg(F.min(place).alias("first")), "line-first"))
     later = found.join(first, "class_id").filter(~place.eqNullSafe(F.col("first")))
-    return later.select("doc_id", "pos", "class_id").distinct()
+    return later.select("doc_id", "row", "pos", "class_id").distinct()
+
+
+def _lists(docs: DataFrame) -> DataFrame:
+    """(g_id, g_row, dropped): the sorted numbers of the dropped lines of each row that has any."""
+    gone = dropped(docs).groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    return gone.withColumnsRenamed({"doc_id": "g_id", "row": "g_row"})
+
+
+def _copies(rows: DataFrame, doc_id: str, row: str, uid: str) -> DataFrame | None:
+    """(c_id, c_row, first): the rows that come more than once, with the least ``uid``; None if there are none."""
+    many = rows.groupBy(F.col(doc_id).alias("c_id"), F.col(row).alias("c_row")).agg(F.count(F.lit(1)).alias("k"), F.min(uid).alias("first"))
+    many = materialize(many.filter("k > 1").select("c_id", "c_row", "first"), "line-copies")
+    return small(many) if many.take(1) else None
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, dropped (line numbers from 0, ascending) of every document."""
-    gone = dropped(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("dropped")).withColumnRenamed("doc_id", "gone_id")
-    n = F.coalesce(F.size(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x: F.trim(x) != "")), F.lit(0))
-    sizes = docs.select("doc_id", F.greatest(n, F.lit(0)).alias("n")).groupBy("doc_id").agg(F.max("n").cast("long").alias("n_lines"))
+    """doc_id, n_lines, n_dropped, dropped (line numbers from 0, ascending) of every row."""
+    parts = F.split(F.col("text").cast("string"), "\n")
+    solid = F.filter(F.transform(parts, lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
     none = F.array().cast("array<int>")
-    out = sizes.join(gone, sizes["doc_id"].eqNullSafe(gone["gone_id"]), "left").withColumn("dropped", F.coalesce("dropped", none))
+    slim = docs.select("doc_id", row_key(F.col("text")).alias("row"), F.coalesce(solid, none).alias("lines"), F.monotonically_increasing_id().alias("uid"))
+    slim = materialize(slim, "line-rows")
+    gone = _lists(docs)
+    out = slim.join(gone, slim["doc_id"].eqNullSafe(gone["g_id"]) & (slim["row"] == gone["g_row"]), "left")
+    drops = F.coalesce("dropped", none)
+    copies = _copies(slim, "doc_id", "row", "uid")
+    if copies is not None:
+        out = out.join(copies, out["doc_id"].eqNullSafe(copies["c_id"]) & (out["row"] == copies["c_row"]), "left")
+        drops = F.when(F.col("uid") != F.col("first"), F.col("lines")).otherwise(drops)
+    out = out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), drops.alias("dropped"))
     return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated lines taken out of the texts; other lines stay as they are."""
-    report = dedup_report(docs).filter("n_dropped > 0").select(F.col("doc_id").alias("gone_id"), "dropped")
-    gone = report.withColumnsRenamed({"gone_id": "__gone_id", "dropped": "__dropped"})
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone_id"]), "left")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__dropped"), i))
-    text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    """``docs`` with the repeated lines taken out of the texts; other lines, and all rows, stay as they are."""
+    row, uid, gid, grow, drops, cid, crow, first = unused(docs, "row", "uid", "g_id", "g_row", "dropped", "c_id", "c_row", "first")
+    gone = _lists(docs).withColumnsRenamed({"g_id": gid, "g_row": grow, "dropped": drops})
+    keyed = docs.withColumn(row, row_key(F.col("text")))
+    copies = _copies(docs.select("doc_id", row_key(F.col("text")).alias("row"), F.lit(0).alias("uid")), "doc_id", "row", "uid")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+
+    def cleaned(rows: DataFrame, all_of_it: Column) -> DataFrame:
+        joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone[gid]) & (rows[row] == gone[grow]), "left")
+        parts = F.split(F.col("text").cast("string"), "\n")
+        left = F.filter(parts, lambda x, i: ~F.array_contains(F.col(f"`{drops}`"), i))
+        blank = F.filter(parts, lambda x: F.trim(x) == "")
+        own = F.when(all_of_it, F.array_join(blank, "\n")).when(F.col(f"`{drops}`").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+        return joined.select(*[own.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+
+    if copies is None:
+        return cleaned(keyed, F.lit(False))
+    copies = copies.withColumnsRenamed({"c_id": cid, "c_row": crow}).drop("first")
+    same = keyed["doc_id"].eqNullSafe(copies[cid]) & (keyed[row] == copies[crow])
+    # Only rows that come more than once are written, with a number that tells them apart.
+    many = materialize(keyed.join(copies, same, "left_semi").withColumn(uid, F.monotonically_increasing_id()), "line-copied-rows")
+    firsts = _copies(many, "doc_id", row, uid).withColumnsRenamed({"c_id": cid, "c_row": crow, "first": first})
+    marked = many.join(firsts, many["doc_id"].eqNullSafe(firsts[cid]) & (many[row] == firsts[crow])).select(*columns, row, uid, first)
+    again = cleaned(marked, F.col(uid) != F.col(first))
+    return cleaned(keyed.join(copies, same, "left_anti"), F.lit(False)).unionByName(again)
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,8 +321,9 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Lines one edit apart agree once a character is left out of both at one place, or of the longer one.
 SQL = f"""
-WITH RECURSIVE p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-o AS (SELECT doc_id, pos, trim(raw, ' ') AS line FROM p WHERE trim(raw, ' ') <> ''),
+WITH RECURSIVE t AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id NULLS LAST, md5(coalesce(text, ''))) AS r FROM documents),
+p AS (SELECT r, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM t),
+o AS (SELECT r, pos, trim(raw, ' ') AS line FROM p WHERE trim(raw, ' ') <> ''),
 l AS (SELECT line, row_number() OVER (ORDER BY line) AS id, length(line) AS n FROM (SELECT DISTINCT line FROM o)),
 q AS (SELECT id, n, unnest(range(1, n + 1)) AS i, line FROM l WHERE n >= {LEAST_CHARS}),
 v AS (SELECT id, n, i, hash(substr(line, 1, i - 1) || substr(line, i + 1)) AS h, substr(line, 1, i - 1) || substr(line, i + 1) AS rest FROM q),
@@ -256,11 +331,11 @@ e AS (
   SELECT DISTINCT a.id AS a, b.id AS b FROM v a JOIN v b ON a.h = b.h AND a.n = b.n AND a.i = b.i AND a.rest = b.rest AND a.id <> b.id
   UNION SELECT DISTINCT a.id, b.id FROM v a JOIN l b ON a.rest = b.line AND b.n >= {LEAST_CHARS}
   UNION SELECT DISTINCT b.id, a.id FROM v a JOIN l b ON a.rest = b.line AND b.n >= {LEAST_CHARS}),
-r AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
-c AS (SELECT id, min(root) AS class FROM r GROUP BY id),
-m AS (SELECT doc_id, pos, coalesce(class, id) AS class FROM o JOIN l USING (line) LEFT JOIN c USING (id)),
-d AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY doc_id NULLS LAST, pos) AS k FROM m),
-g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k > 1) AS n_dropped, coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (k > 1), '') AS dropped FROM d GROUP BY doc_id)
-SELECT x.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, coalesce(dropped, '') AS dropped
-FROM (SELECT DISTINCT doc_id FROM documents) x LEFT JOIN g USING (doc_id)
+w AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.id),
+c AS (SELECT id, min(root) AS class FROM w GROUP BY id),
+m AS (SELECT r, pos, coalesce(class, id) AS class FROM o JOIN l USING (line) LEFT JOIN c USING (id)),
+d AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY r, pos) AS k FROM m),
+g AS (SELECT r, count(*) AS n_lines, count(*) FILTER (k > 1) AS n_dropped, coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (k > 1), '') AS dropped FROM d GROUP BY r)
+SELECT t.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, coalesce(dropped, '') AS dropped
+FROM t LEFT JOIN g USING (r)
 """
