@@ -33,8 +33,8 @@ def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[np.ndarray, n
     """(row numbers, offsets, bytes) of consecutive texts, about ``limit`` bytes at a time.
 
     A longer text comes in several pieces with the same row number, cut at
-    spaces; a run of over ``limit`` bytes without a space is cut anyway, and
-    counts as several words.
+    spaces; a run of over ``limit`` bytes without a space is cut anyway, before
+    the first byte of a character, and counts as several words.
     """
     if not len(column):
         return
@@ -49,6 +49,7 @@ def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[np.ndarray, n
                 if cut < end:
                     spaces = np.flatnonzero(SPACE[raw[cut : min(end, cut + limit)]])
                     cut = min(end, cut + (int(spaces[0]) if len(spaces) else limit))
+                    cut = head(raw, cut, end)
                 yield np.array([lo]), np.array([0, cut - start]), raw[start:cut]
                 start = cut
         else:
@@ -56,6 +57,37 @@ def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[np.ndarray, n
         lo = hi
 
 
+def head(raw: np.ndarray, at: int, end: int) -> int:
+    """The first place from ``at`` on where a character of the UTF-8 bytes begins, at most ``end``."""
+    while at < end and raw[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def overlapping(column: pa.Array, reach: int, limit: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
+    """Pieces as of :func:`pieces`, each with the bytes that are its own: (row numbers, offsets, bytes, first, end).
+
+    A long text's pieces show ``reach`` bytes more on either side, so that what
+    lies near a cut can be seen from both.
+    """
+    if not len(column):
+        return
+    offsets, raw = flat(column)
+    last, at = -1, 0
+    for rows, o, part in pieces(column, limit):
+        row = int(rows[0])
+        start = at if row == last and len(rows) == 1 else int(offsets[row])
+        at, last = start + len(part), row
+        lo, hi = int(offsets[row]), int(offsets[rows[-1] + 1])
+        if len(rows) > 1 or (start == lo and at == hi):
+            yield rows, o, part, 0, len(part)
+            continue
+        a = start - reach
+        a = lo if a <= lo else head(raw, a, start)
+        b = min(hi, head(raw, at + reach, hi)) if at + reach < hi else hi
+        yield rows, np.array([0, b - a]), raw[a:b], start - a, at - a
+
+
 def bounds(offsets: np.ndarray, raw: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, index of the text) of every word; no word crosses two texts."""
     if not len(raw):

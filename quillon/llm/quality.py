@@ -13,8 +13,10 @@ texts are scored by table lookups on whole Arrow batches, and the broadcast
 is about 2**(BITS + 1) float32 whatever the input.
 
 Training takes at most ``TRAIN_ROWS`` labelled rows, the first in the order of
-a hash of their id, from texts of at most ``TRAIN_BYTES`` bytes.  Everything
-else covers all rows and whole texts.
+a hash of their id, with their whole texts; of a text with more than
+``TRAIN_FEATURES`` different features it takes those first in the order of a
+hash, which bounds what the driver holds.  Scoring covers all rows and whole
+texts with all their features.
 
 Defined cases: a null, empty or blank text has no features and gets the score
 of the bias alone.  Rows with a null label teach nothing; repeated labels teach
@@ -46,7 +48,8 @@ DIM = 12
 EPOCHS = 8
 RATE = 0.5
 TRAIN_ROWS = 2000
-TRAIN_BYTES = 1 << 17
+#: Most different features of a text that training takes.
+TRAIN_FEATURES = 1 << 14
 FOLDS = 5
 THRESHOLD = 0.3
 
@@ -118,6 +121,18 @@ def sparse(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return [np.unique(np.concatenate(g), return_counts=True) if g else (np.empty(0, np.int64), np.empty(0, np.int64)) for g in got]
 
 
+def bounded(found: tuple[np.ndarray, np.ndarray], most: int = TRAIN_FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` features of a text that are first by a hash of their bucket."""
+    bucket, n = found
+    if len(bucket) <= most:
+        return found
+    with np.errstate(over="ignore"):
+        mixed = (bucket.astype(np.uint64) + np.uint64(1)) * _words._STEP
+        mixed = (mixed ^ mixed >> np.uint64(31)) * _words._MIX
+    some = np.sort(np.argsort(mixed, kind="stable")[:most])
+    return bucket[some], n[some]
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, dim: int = DIM, rate: float = RATE, seed: int = 7) -> Model:
     """rows: (buckets, counts, label 0 or 1) of each text, in a fixed order."""
     rows = [r for r in rows if len(r[0])] or rows
@@ -149,15 +164,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
     return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> DataFrame:
-    """(doc_id, y, text) of at most ``rows`` labelled documents that are not held out.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, y, text) of the documents of at most ``rows`` labels that are not held out.
 
     ``rows`` of labels are chosen first, so the join's small side has a bound.
     """
     order = F.xxhash64("doc_id")
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     some = known.select("doc_id", F.col(label).cast("int").alias("y")).orderBy(order, "doc_id", "y").limit(rows)
-    texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= most)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")
     return texts.join(F.broadcast(some), "doc_id").select("doc_id", "y", "text")
 
 
@@ -166,17 +181,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = sparse(b.column(2))
+            found = [bounded(f) for f in sparse(b.column(2))]
             lists = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["doc_id", "y", "bucket", "n"])
 
     sample = labelled(docs, labels, label, rows)
     schema = sample.select("doc_id", "y").schema.add("bucket", ArrayType(IntegerType())).add("n", ArrayType(IntegerType()))
-    got = sample.mapInArrow(run, schema).toArrow()
+    # Where doc_ids repeat, the rows are more than the labels: the bound holds for them, too.
+    got = sample.mapInArrow(run, schema).orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("bucket")).limit(rows).toArrow()
     ids, ys = got.column(0).to_pylist(), got.column(1).to_pylist()
     lists = [got.column(k).combine_chunks() for k in (2, 3)]
     order = sorted(range(len(ids)), key=lambda i: (ids[i], ys[i], len(lists[0][i])))
-    return train([(lists[0][i].values.to_numpy(False).astype(np.int64), lists[1][i].values.to_numpy(False).astype(np.float64), ys[i]) for i in order])
+    return train([(lists[0][i].values.to_numpy(False), lists[1][i].values.to_numpy(False), ys[i]) for i in order])
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -14,8 +14,8 @@ A logistic model over the sums of weighed and of quoted hits and their density
 gives the score.
 
 Learning takes at most ``TRAIN_ROWS`` labelled rows, the first in the order of
-a hash of their id, from texts of at most ``TRAIN_BYTES`` bytes, and at most
-``TERMS`` terms.  Scoring covers all rows and whole texts.
+a hash of their id and text; scoring covers all rows.  Texts are whole in both,
+and a score does not depend on how a long text is cut to be worked on.
 
 Defined cases: a null, empty or blank text has no hits and gets the score of
 the intercept.  Rows with a null label teach nothing.  A null ``doc_id`` counts
@@ -39,8 +39,6 @@ from .quality import held_out, labelled
 
 THRESHOLD = 0.5
 TRAIN_ROWS = 12000
-TRAIN_BYTES = 1 << 17
-TERMS = 400
 #: Least different families of toxic documents with a learned term, and least ratio of its shares among toxic and clean ones.
 LEAST_DOCS = 5
 LEAST_RATIO = 12.0
@@ -206,17 +204,23 @@ def context(left: str, right: str, near: int) -> tuple[float, bool]:
     return weight, quoted
 
 
-def found_in(machine: Automaton, column: pa.Array) -> tuple[list[dict[tuple[int, int, bool], float]], np.ndarray]:
-    """For each text {(term, edits, quoted): sum of window weights}, and its number of words."""
+def found_in(machine: Automaton, column: pa.Array, limit: int = _words.PIECE) -> tuple[list[dict[tuple[int, int, bool], float]], np.ndarray]:
+    """For each text {(term, edits, quoted): sum of window weights}, and its number of words.
+
+    A hit or word is counted in the piece that its first character lies in;
+    beyond it a piece shows two windows and the longest word that can hit.
+    """
     out: list[dict[tuple[int, int, bool], float]] = [{} for _ in range(len(column))]
     n = np.zeros(len(column))
-    for rows, offsets, raw in _words.pieces(column):
+    for rows, offsets, raw, first, last in _words.overlapping(column, 4 * (2 * WINDOW + machine.longest), limit):
         head = (raw & 0xC0) != 0x80
-        cut = np.r_[0, np.cumsum(head)][offsets]  # offsets in code points
+        places = np.r_[0, np.cumsum(head)]
+        cut, first, last = places[offsets], int(places[first]), int(places[last])  # in code points
         text = raw.tobytes().decode("utf-8")
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
         start, end, row = _words_of(cut, points)
-        np.add.at(n, rows, np.bincount(row, minlength=len(rows)))
+        own = (start >= first) & (start < last)
+        np.add.at(n, rows, np.bincount(row[own], minlength=len(rows)))
         word, term, edits = run(machine, points, start, end)
         if not len(word):
             continue
@@ -224,6 +228,8 @@ def found_in(machine: Automaton, column: pa.Array) -> tuple[list[dict[tuple[int,
         key = r * (len(points) + 2 * WINDOW) + a
         near = np.searchsorted(key, key + WINDOW, "right") - np.searchsorted(key, key - WINDOW, "left") - 1
         for i, (x, y, k) in enumerate(zip(a.tolist(), b.tolist(), r.tolist(), strict=True)):
+            if not first <= x < last:
+                continue
             left, right = text[max(int(cut[k]), x - WINDOW) : x], text[y : min(int(cut[k + 1]), y + WINDOW)]
             weight, quoted = context(left, right, int(near[i]))
             kind = (int(term[i]), int(edits[i]), quoted)
@@ -290,14 +296,14 @@ def learn_terms(sample: DataFrame) -> tuple[list[tuple[str, float]], int, int]:
     seen = bags.select("y", "family", F.explode("w").alias("term")).distinct().groupBy("term").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     ratio = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1))
     best = seen.withColumn("ratio", ratio).filter((F.col("t") >= LEAST_DOCS) & (F.col("ratio") >= LEAST_RATIO))
-    rows = best.orderBy(F.desc(F.col("t") * F.log("ratio")), "term").limit(TERMS).collect()
+    rows = best.orderBy("term").collect()  # a part of the vocabulary of the bounded sample
     return [(r["term"], float(np.log(r["ratio"]))) for r in rows], toxic, clean
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     from ._common import materialize
 
-    sample = materialize(labelled(docs, labels, label, TRAIN_ROWS, TRAIN_BYTES), "toxic-sample")
+    sample = materialize(labelled(docs, labels, label, TRAIN_ROWS), "toxic-sample")
     learned, _, _ = learn_terms(sample)
     value = {t: 2.5 for t in SEEDS} | dict(learned)
     terms = sorted(value)
@@ -312,7 +318,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[x for y in f for x in y] for f in flat], pa.list_(pa.int32())), pa.array([list(h.values()) for h in hits], pa.list_(pa.float64())), pa.array(n)], names=["doc_id", "y", "kind", "w", "n"])
 
     schema = f"doc_id {dict(sample.dtypes)['doc_id']}, y int, kind array<int>, w array<double>, n double"
-    got = sorted(sample.mapInArrow(collect, schema).toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["y"], r["n"]))
+    found = sample.mapInArrow(collect, schema).orderBy(F.xxhash64("doc_id"), "doc_id", "y", "n").limit(TRAIN_ROWS)  # where ids repeat, rows are more than labels
+    got = sorted(found.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["y"], r["n"]))
     y = np.array([r["y"] for r in got], float)
     hits = [{tuple(r["kind"][3 * i : 3 * i + 3]): w for i, w in enumerate(r["w"])} for r in got]
     hits = [{(t, e, bool(q)): w for (t, e, q), w in h.items()} for h in hits]

@@ -1,8 +1,11 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillon.llm import quality
+from quillon.llm import _words, quality
 from tests.oracle import DATA
 
 
@@ -62,8 +65,76 @@ def test_scores_do_not_depend_on_batches():
     assert whole[-1] == whole[-2] == pytest.approx(1 / (1 + np.exp(-0.1)))
 
 
-def test_features_equal_the_definition():
-    text = "Hello hello hello é"
-    offsets, raw = np.array([0, len(text.encode())]), np.frombuffer(text.encode(), np.uint8)
-    got = list(quality.features(offsets, raw))
-    assert [len(b) for b, _ in got] == [4, 1, 18 - 2 + 2, 13 - 1, 10 - 1] or sum(len(b) for b, _ in got[2:]) == sum(max(0, len(w.encode()) + 2 - n + 1) for w in text.split() for n in (3, 4, 5))
+def plain_features(text):
+    """Buckets of a text with repeats, word by word in whole numbers."""
+    out, last = [], None
+    for word in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()):
+        h = sum(int(_words._BYTE[b]) * pow(int(_words._STEP), i + 1, 1 << 64) for i, b in enumerate(word)) % (1 << 64)
+        h = (h ^ h >> 31) * int(_words._MIX) % (1 << 64)
+        out.append((h ^ h >> 29) >> 64 - quality.BITS)
+        if word == last:
+            out.append(2 << quality.BITS)
+        last, own = word, b"<" + word + b">"
+        for n in quality.GRAMS:
+            for i in range(len(own) - n + 1):
+                h = 0
+                for b in own[i : i + n]:
+                    h = (h * 0x01000193 + (int(_words._BYTE[b]) >> 32 | 1)) % (1 << 32)
+                h = (h + n) * 0x9E3779B1 % (1 << 32)
+                h = (h ^ h >> 15) * 0x85EBCA6B % (1 << 32)
+                out.append((h >> 32 - quality.BITS) + (1 << quality.BITS))
+    return out
+
+
+def plain_train(rows, epochs, dim, rate, seed):
+    """Gradient descent with a dict of vectors, number by number."""
+    rng = np.random.default_rng(seed)
+    start = (rng.random((quality.N_BUCKETS, dim), dtype=np.float32) - np.float32(0.5)) / dim
+    vectors = {b: [float(x) for x in start[b]] for bucket, *_ in rows for b in bucket.tolist()}
+    out, bias, done = [[0.0, 0.0] for _ in range(dim)], [0.0, 0.0], 0
+    for _ in range(epochs):
+        for i in rng.permutation(len(rows)):
+            bucket, count, y = rows[i]
+            lr = rate * (1 - done / (epochs * len(rows)))
+            done += 1
+            share = {b: n / count.sum() for b, n in zip(bucket.tolist(), count.tolist(), strict=True)}
+            hidden = [sum(s * vectors[b][d] for b, s in share.items()) for d in range(dim)]
+            logit = [sum(hidden[d] * out[d][k] for d in range(dim)) + bias[k] for k in (0, 1)]
+            p = [1 / (1 + np.exp(logit[1 - k] - logit[k])) - (k == y) for k in (0, 1)]
+            grad = [out[d][0] * p[0] + out[d][1] * p[1] for d in range(dim)]
+            for k in (0, 1):
+                bias[k] -= lr * p[k]
+                for d in range(dim):
+                    out[d][k] -= lr * hidden[d] * p[k]
+            for b, s in share.items():
+                vectors[b] = [v - lr * min(1, 50 * s) * g for v, g in zip(vectors[b], grad, strict=True)]
+    return {b: sum(v[d] * (out[d][1] - out[d][0]) for d in range(dim)) for b, v in vectors.items()}, bias[1] - bias[0]
+
+
+TEXTS = ["a fine and useful text about rivers", "BUY BUY now!!! cheap cheap", "", None, "one", "é ü 漢字 words", "more plain prose on rivers and hills", "WIN WIN cash now"]
+
+
+def test_features_scores_and_training_equal_plain_ones():
+    found = quality.sparse(pa.array(TEXTS))
+    for t, (bucket, n) in zip(TEXTS, found, strict=True):
+        assert Counter(plain_features(t)) == dict(zip(bucket.tolist(), n.tolist(), strict=True))
+    rows = [(*f, int(i % 2)) for i, f in enumerate(found) if len(f[0])]
+    model = quality.train(rows, epochs=3, dim=4, rate=0.5, seed=7)
+    weights, bias = plain_train(rows, 3, 4, 0.5, 7)
+    assert bias == pytest.approx(model.bias, abs=1e-5)
+    assert all(w == pytest.approx(model.weights[b], abs=1e-5) for b, w in weights.items())
+    own = model.scores(pa.array(TEXTS))
+    for t, s in zip(TEXTS, own, strict=True):
+        f = plain_features(t)
+        assert s == pytest.approx(1 / (1 + np.exp(-(sum(float(model.weights[b]) for b in f) / max(len(f), 1) + model.bias))), abs=1e-9)
+
+
+def test_training_takes_whole_texts_with_bounded_features(spark):
+    bucket, n = np.arange(50000), np.ones(50000, np.int64)
+    some, counts = quality.bounded((bucket, n), 1000)
+    assert len(some) == len(counts) == 1000 and abs(some.mean() - 25000) < 2500
+    long = " ".join(f"word{i}" for i in range(40000))
+    docs = spark.createDataFrame([(i, long if i % 2 else "short one") for i in range(1, 9)] + [(1, "again")] * 30, "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, quality int"), rows=20)
+    scores = {r["doc_id"]: r["score"] for r in quality.scored(docs.filter("text <> 'again'"), model).collect()}
+    assert scores[3] > scores[2]

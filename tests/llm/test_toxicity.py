@@ -92,3 +92,51 @@ def test_terms_in_all_scripts_and_beside_all_signs(text):
     hits, n = X.found_in(machine, pa.array([text]))
     assert len(hits[0]) == 1 and {quoted for *_, quoted in hits[0]} == {text == "“scum”"}
     assert n[0] == 1 + ("you" in text)
+
+
+def plain(model, terms, budget, text):
+    """The score of a text, word by word over all terms."""
+    text = text or ""
+    words, at = [], None
+    for i, c in enumerate(text + " "):
+        if X._WORDLIKE[ord(c)]:
+            at = i if at is None else at
+        elif at is not None:
+            words.append((at, i))
+            at = None
+    hits = []
+    for a, b in words:
+        near = [(brute.edits(text[a:b].lower(), t), i) for i, t in enumerate(terms) if brute.edits(text[a:b].lower(), t) <= budget[i]]
+        if near:
+            hits.append((a, b, *min(near)))
+    sums = [0.0, 0.0]
+    for a, b, e, t in hits:
+        around = sum(abs(a - x) <= X.WINDOW for x, *_ in hits) - 1
+        weight, quoted = X.context(text[max(0, a - X.WINDOW) : a], text[b : b + X.WINDOW], around)
+        sums[quoted] += model.value[t] * weight * (X.MISSPELLED if e else 1)
+    x = np.log1p([*sums, 100 * sums[0] / max(len(words), 20)])
+    return 1 / (1 + np.exp(-np.clip(model.coefficients[0] + x @ model.coefficients[1:], -30, 30)))
+
+
+TERMS, BUDGET = ["idiot", "scum", "дурак", "moron"], [1, 0, 1, 1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "idjot", "idiots", "scum", "scums", "дурак", "дурок", "you", "said", '"', "“", "”", "\n", " ", " ", ", ", "fine", "漢字", "é", "x" * 40]), max_size=60))
+def test_score_equals_the_plain_one_however_it_is_cut(parts):
+    text = "".join(parts)
+    model = X.Model(X.build(TERMS, BUDGET), np.array([2.0, 1.0, 1.5, 0.7]), X.DEFAULT)
+    want = plain(model, TERMS, BUDGET, text)
+    assert model.scores(pa.array([text]))[0] == pytest.approx(want)
+    whole, n = X.found_in(model.machine, pa.array(["", text, text]))
+    for limit in (16, 50, 333):
+        cut, m = X.found_in(model.machine, pa.array(["", text, text]), limit)
+        assert list(m) == list(n) and [x.keys() for x in cut] == [x.keys() for x in whole]
+        assert all(c[k] == pytest.approx(w[k]) for c, w in zip(cut, whole, strict=True) for k in w)
+
+
+@pytest.mark.parametrize("text", ["a" + "é" * 700000, "漢" * 400000, "é" * 600000 + " idiot", "😀" * 200000 + "idiot"])
+def test_long_texts_without_spaces(text):
+    model = X.Model(X.build(TERMS, BUDGET), np.ones(4), X.DEFAULT)
+    none = 1 / (1 + np.exp(-X.DEFAULT[0]))
+    assert (model.scores(pa.array([text]))[0] > none) == text.endswith("idiot")
