@@ -15,15 +15,19 @@ from quillon.functions import text as T
 SHORT_WORD, LONG_WORD, SHORT_SENTENCE, LONG_SENTENCE = 3, 7, 5, 30
 
 
-def prepare(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), tagger=None) -> DataFrame:
-    """Columns ``keep``, text, t (tokens), f (words), s (sentences), lens, slens and, if asked for, tags.
+def prepare(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), tagger=None, counted: bool = False) -> DataFrame:
+    """Columns ``keep``, text, t (tokens), f (words), s (sentences), lens, slens and, if asked for, tags and counts.
 
     ``tagger`` maps the column of tokens to a column of part-of-speech tags;
-    :func:`rule_tags` is the default of the grammar group.
+    :func:`rule_tags` is the default of the grammar group.  ``counts`` are the
+    :func:`frequencies` of the words, behind a generator of one row, so that
+    measures that name several of its fields share one sort and fold.
     """
     own = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = docs.select(*keep, own.alias("text"), T.tokens(own).alias("t"), T.sentences(own).alias("s"))
     base = base.withColumns({"f": T.words(F.col("t")), "lens": F.transform("t", F.length), "slens": F.transform("s", T.sentence_words)})
+    if counted:
+        base = base.select("*", F.explode(F.array(frequencies(F.col("f")))).alias("counts"))
     return base.withColumn("tags", tagger(F.col("t"))) if tagger else base
 
 
@@ -96,7 +100,7 @@ def frequencies(array: Column) -> Column:
 
 def _lexical(easy: Column) -> dict[str, Column]:
     n_t, n_w, _, n_v = _sizes()
-    counts = frequencies(F.col("f"))
+    counts = F.col("counts")
     ttr = T.ratio(n_v, n_w)
     types = counts["types"].cast("double")
     return {
@@ -199,13 +203,14 @@ def tree_height(heads: Column) -> Column:
     return F.when(n > 0, F.array_max(F.transform(F.sequence(F.lit(1), n), depth))).otherwise(F.lit(0))
 
 
-def _grammar() -> dict[str, Column]:
+def _grammar(heads: str | None = None) -> dict[str, Column]:
+    """``heads`` names a column with an array of head positions for each sentence, as a parser gives them."""
     _, n_w, n_s, _ = _sizes()
     words = F.array_distinct(F.filter("tags", lambda t: ~F.contains(F.lit(T.PUNCTUATION), t)))
     out = {
         "numberOfDifferentPosTags": F.size(words) / F.lit(float(N_TAGS)),
         # Without a parser, sentences hang together as chains to the next word: the height is the number of pieces.
-        "sentenceStructureTreeHeight": T.ratio(T.total(F.col("slens"), lambda n: n), n_s),
+        "sentenceStructureTreeHeight": T.ratio(T.total(F.col(heads), tree_height), F.size(heads)) if heads else T.ratio(T.total(F.col("slens"), lambda n: n), n_s),
         "correctVerbForm": T.ratio(_tags("VB", "VBD", "VBG", "VBN", "VBP", "VBZ"), n_w),
     }
     # The count of possessive wh-pronouns is the one kept under pos_WP.
@@ -247,14 +252,28 @@ def spelling_errors(prepared: DataFrame, lexicon: DataFrame) -> DataFrame:
 GROUPS = ("basic", "readability", "lexical", "grammar")
 
 
-def group(name: str, stopwords: list[str] | None = None, easy: list[str] | None = None) -> dict[str, Column]:
+def group(name: str, stopwords: list[str] | None = None, easy: list[str] | None = None, heads: str | None = None) -> dict[str, Column]:
     """Columns of a group in their fixed order."""
     stop, simple = T.literal_words(stopwords or T.STOPWORDS), T.literal_words(easy or T.EASY_WORDS)
-    return {"basic": lambda: _basic(stop), "readability": lambda: _readability(simple), "lexical": lambda: _lexical(simple), "grammar": _grammar}[name]()
+    return {"basic": lambda: _basic(stop), "readability": lambda: _readability(simple), "lexical": lambda: _lexical(simple), "grammar": lambda: _grammar(heads)}[name]()
 
 
 def measures(docs: DataFrame, groups: tuple[str, ...] = GROUPS, names: list[str] | None = None, tagger=rule_tags, **lists) -> DataFrame:
     """doc_id and the measures of ``groups`` in their order, as doubles; ``names`` selects some."""
-    prepared = prepare(docs, tagger=tagger if {"grammar", "readability"} & set(groups) else None)
+    keep = ("doc_id", *([lists["heads"]] if lists.get("heads") else []))
+    prepared = prepare(docs, keep=keep, tagger=tagger if {"grammar", "readability"} & set(groups) else None, counted="lexical" in groups and (names is None or bool({"yulesK", "hapaxLegomena"} & set(names))))
     columns = {k: c for g in groups for k, c in group(g, **lists).items() if names is None or k in names}
     return prepared.select("doc_id", *[c.cast("double").alias(k) for k, c in columns.items()])
+
+
+def dictionary_syllables(docs: DataFrame, pronunciations: DataFrame) -> DataFrame:
+    """(doc_id, syllables): words of ``pronunciations`` (word, syllables) have the least number listed, others that of the rules.
+
+    Texts give (doc_id, word, n) with repeats already summed; each different
+    word is looked up, or scored by the rules, once.
+    """
+    words = prepare(docs).select("doc_id", F.explode_outer("f").alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    listed = pronunciations.groupBy("word").agg(F.min("syllables").alias("listed"))
+    scored = words.select("word").distinct().join(listed, "word", "left").select("word", F.coalesce("listed", T.syllables(F.col("word"))).alias("k"))
+    joined = words.join(scored, "word", "left")
+    return joined.groupBy("doc_id").agg(F.coalesce(F.sum(F.col("n") * F.col("k")), F.lit(0)).cast("long").alias("syllables"))

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from quillon.functions import text as T
-
-DEPTH = 200
+from quillon.sources.staging import materialize
 
 #: Subject, verb and object of a plain sentence.
 CLAUSE = r"(?i)^((?:(?:a|an|the) )?[\p{L}']+)\s+((?:does not|doesn't|do not|don't|is not|isn't|can not|cannot)\s+)?([\p{L}]+)\s+(.+?)[.!?]*$"
@@ -54,21 +53,23 @@ def parse_extractor(lines: DataFrame, line: str = "value") -> DataFrame:
     return usable(out)
 
 
-def closure(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(child, parent, steps): all ancestors over edges (child, parent), fewest steps; cycles end by the depth and by distinct pairs.
+def closure(edges: DataFrame) -> DataFrame:
+    """(child, parent, steps): all ancestors over edges (child, parent), fewest steps.
 
-    Each round joins the newest pairs with the edges; it ends with the longest path.
+    Each round joins pairs with pairs, so rounds grow with the logarithm of the
+    longest path, and is written, so no round is made twice.  It ends when no
+    pair is new or shorter; cycles give no pair of a node with itself.
     """
-    base = edges.select("child", "parent").filter("child <> parent").distinct()
-    found = base.withColumn("steps", F.lit(1)).cache()
-    newest = found
-    for step in range(2, depth + 1):
-        more = newest.select("child", F.col("parent").alias("mid")).join(base.select(F.col("child").alias("mid"), "parent"), "mid").select("child", "parent").filter("child <> parent").distinct()
-        newest = more.join(found, ["child", "parent"], "left_anti").withColumn("steps", F.lit(step)).cache()
-        if not newest.take(1):
-            break
-        found = found.unionByName(newest).cache()
-    return found
+    now = materialize(edges.select("child", "parent").filter("child <> parent").distinct().withColumn("steps", F.lit(1)), "closure")
+    measure = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum("steps")).first())
+    last, state = None, measure(now)
+    while state != last and state[0]:
+        far = now.select(F.col("child").alias("mid"), "parent", F.col("steps").alias("more"))
+        longer = now.select("child", F.col("parent").alias("mid"), "steps").join(far, "mid").select("child", "parent", (F.col("steps") + F.col("more")).alias("steps"))
+        every = now.unionByName(longer.filter("child <> parent")).groupBy("child", "parent").agg(F.min("steps").alias("steps"))
+        now = materialize(every, "closure")
+        last, state = state, measure(now)
+    return now
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:

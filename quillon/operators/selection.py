@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import evaluation
+from quillon.sources.staging import materialize
 
 #: Ranges of a hash-free key order that are numbered apart before their counts are added.
 RANGES = 64
@@ -19,15 +20,18 @@ RANGES = 64
 def row_index(df: DataFrame, key: str) -> DataFrame:
     """``df`` with ``idx``, its place (from 0) by ``key``: ranges are numbered apart, then shifted by the counts before them.
 
-    No window runs over the whole table.
+    The ranged rows are written once with the number of their range: a range
+    exchange draws its bounds from a sample, so made twice it would deal rows
+    out in two ways.  No window runs over the whole table.
     """
-    ranged = df.repartitionByRange(RANGES, key).withColumn("__part", F.spark_partition_id())
-    part = Window.partitionBy("__part").orderBy(key)
-    local = ranged.withColumn("__rn", F.row_number().over(part))
-    order = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # one row a range
-    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__start"))
-    return local.join(F.broadcast(starts), "__part").withColumn("idx", F.col("__start") + F.col("__rn") - 1).drop("__part", "__rn", "__start")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    part, place, n, start = (name + "_" * max(map(len, df.columns)) for name in ("part", "place", "n", "start"))  # longer than any column's name
+    ranged = materialize(df.repartitionByRange(RANGES, key).withColumn(part, F.spark_partition_id()), "ranged")
+    local = ranged.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy(key)))
+    order = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias(n))  # at most RANGES rows
+    starts = sizes.select(part, F.coalesce(F.sum(n).over(order), F.lit(0)).alias(start))
+    return local.join(F.broadcast(starts), part).select(*columns, (F.col(start) + F.col(place) - 1).alias("idx"))
 
 
 def folds(df: DataFrame, key: str, k: int = 10, even: bool = False) -> DataFrame:
