@@ -21,6 +21,7 @@ results; extra columns are kept by :func:`redacted`.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -43,8 +44,9 @@ PRECISION = 0.98
 
 Span = tuple[int, int, int]  # start, number of the kind, end
 
-_SOME = re.compile(rb"[0-9@]|[\[(]at[\])]")
+_SOME = re.compile(rb"[0-9@]|[\[(]at[\])]|::|[A-Za-z0-9_+/=-]{16}")
 _DIGITS = re.compile(r"[0-9]+")
+_LETTERS = re.compile(r"[A-Za-z]+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _PHONE = re.compile(r"[\x20().0-9-]+")
@@ -58,6 +60,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """Whether a number, however many zeros lead it, is at most 255."""
+    short = digits.lstrip("0")
+    return len(short) <= 3 and int(short or "0") <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     out: list[Span] = []
     at, free = text.find("@"), 0
@@ -74,7 +82,7 @@ def base_spans(text: str) -> list[Span]:
     while i + 3 < len(groups):
         four = groups[i : i + 4]
         if all(b[0] - a[1] == 1 and text[a[1]] == "." for a, b in zip(four, four[1:], strict=False)):
-            if all(e - s < 400 and int(text[s:e]) <= 255 for s, e in four):
+            if all(_octet(text[s:e]) for s, e in four):
                 out.append((four[0][0], 1, four[3][1]))
             i += 4
         else:
@@ -102,69 +110,68 @@ def base_spans(text: str) -> list[Span]:
 
 # --- candidates -------------------------------------------------------------------------------
 
-_TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=-")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}")
+_SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?")
+#: Keys that name themselves.
+_PREFIX = re.compile(r"AKIA|ASIA|sk-|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abps]-|AIza|eyJ|npm_|hf_")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])")
-_HEXES = frozenset("0123456789abcdefABCDEF:")
+_COLONS = re.compile(r"(?<![A-Za-z0-9:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![A-Za-z0-9:])")
 _SPELLED = re.compile(r"[A-Za-z0-9._-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]{1,63}){1,4}")
-_LONGEST = 512
-_GROUPS = 8
+#: Most groups of digits in a telephone number.
+_GROUPS = 5
+_BETWEEN = frozenset(" ().-/")
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of sixteen or more token characters, of any length, but for plain words; after the last ``=`` inside."""
+    for m in _TOKEN.finditer(text):
+        a, b = m.span()
+        token = m.group()
+        if "=" in token[:-2]:
+            a += token.rindex("=", 0, -2) + 1
+            token = text[a:b]
+        some = any(c in "0123456789" for c in token)
+        if len(token) >= 16 and any(c.isalpha() for c in token) and (some or not (token.islower() or token.isupper() or token.istitle())):
+            yield a, b
+    for m in _SIGNED.finditer(text):
+        yield m.span()
 
 
-def candidates(text: str) -> list[Span]:
-    """Proposed spans of the added kinds; they may overlap."""
-    found: set[Span] = set()
+def _numbers(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, kind, end) of windows of digit groups with up to two separators between: all that may be a number of a person."""
     groups = [m.span() for m in _DIGITS.finditer(text)]
-    i = 0
-    done = -1
-    while i < len(groups):
-        s, e = groups[i]
-        if s >= done:
-            a, b = s, e
-            while a > 0 and s - a <= _LONGEST and text[a - 1] in _TOKEN:
-                a -= 1
-            while b < len(text) and b - a <= _LONGEST and text[b] in _TOKEN:
-                b += 1
-            done = b
-            token = text[a:b]
-            if "=" in token[:-2]:
-                a += token.rindex("=", 0, -2) + 1
-                token = text[a:b]
-            if 16 <= b - a <= _LONGEST and any(c.isalpha() for c in token) and a <= s:
-                found.add((a, KINDS.index("secret"), b))
-        # Chains of groups with up to two separators between them; a long one is a list of numbers.
-        j = i
-        while j + 1 < len(groups) and groups[j + 1][0] - groups[j][1] <= 2 and all(c in " ().-/" for c in text[groups[j][1] : groups[j + 1][0]]):
-            j += 1
-        if j - i >= _GROUPS:
-            i = j + 1
+    ssn, tel = KINDS.index("ssn"), KINDS.index("tel")
+    solid = lambda c: c.isalnum() or c == "_"
+    for i, (s, e) in enumerate(groups):
+        if solid(text[s - 1 : s]) or e - s > 15:
             continue
-        sizes = [y - x for x, y in groups[i : j + 1]]
-        before, after = text[s - 1 : s], text[groups[j][1] : groups[j][1] + 1]
-        clear = not (before.isalnum() or before == "_" or after.isalnum() or after == "_")
-        if clear:
-            end = groups[j][1]
-            start = s - 1 if before == "(" and ")" in text[s:end] else s
-            if sizes == [3, 2, 4] and text[s + 3] == "-" == text[s + 6]:
-                found.add((s, KINDS.index("ssn"), end))
-            if 7 <= sum(sizes) <= 15 and (len(sizes) > 1 or sum(sizes) >= 9):
-                found.add((start, KINDS.index("tel"), end))
-        i = j + 1
+        total, j = 0, i
+        while True:
+            x, y = groups[j]
+            total += y - x
+            if total > 15:
+                break
+            if not solid(text[y : y + 1]):
+                if j - i == 2 and y - s == 11 and (e - s, y - x) == (3, 4) and text[e] == "-" == text[x - 1]:
+                    yield s, ssn, y
+                if total >= 7 and (j > i or total >= 9):
+                    yield (s - 1 if text[s - 1 : s] == "(" and ")" in text[s:y] else s), tel, y
+            j += 1
+            if j - i == _GROUPS or j == len(groups) or groups[j][0] - y > 2 or not all(c in _BETWEEN for c in text[y : groups[j][0]]):
+                break
+
+
+def candidates(text: str) -> list[Span]:
+    """Proposed spans of the added kinds, in texts of any length; they may overlap."""
+    found: set[Span] = {(a, KINDS.index("secret"), b) for a, b in _secrets(text)}
+    found.update(_numbers(text))
     for m in _IBAN.finditer(text):
         if m.start() == 0 or not text[m.start() - 1].isalnum():
             found.add((m.start(), KINDS.index("iban"), m.end()))
-    at = text.find(":")
-    done = -1
-    while at >= 0:
-        if at >= done:
-            a, b = at, at
-            while a > 0 and at - a <= 45 and text[a - 1] in _HEXES:
-                a -= 1
-            while b < len(text) and b - a <= 46 and text[b] in _HEXES:
-                b += 1
-            done = b
-            if b - a <= 45 and text[a:b].count(":") >= 3 and any(c in "0123456789abcdefABCDEF" for c in text[a:b]):
-                found.add((a, KINDS.index("ipv6"), b))
-        at = text.find(":", at + 1)
+    if ":" in text:
+        for m in _COLONS.finditer(text):
+            if sum(c != ":" for c in m.group()) >= 4:
+                found.add((m.start(), KINDS.index("ipv6"), m.end()))
     if "[at]" in text or "(at)" in text:
         for m in re.finditer(r"[\[(]at[\])]", text):
             lo = max(0, m.start() - 66)
@@ -173,6 +180,30 @@ def candidates(text: str) -> list[Span]:
     return sorted(found)
 
 
+def _is_address(own: str) -> bool:
+    try:
+        ipaddress.IPv6Address(own)
+    except ValueError:
+        return False
+    return True
+
+
+def _turns(own: str) -> int:
+    """How often small letters, capitals, digits and signs take turns."""
+    kinds = [c.islower() + 2 * c.isupper() + 3 * c.isdigit() for c in own]
+    return sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+
+
+def _goes_on(side: str) -> bool:
+    """Whether digits follow after at most two separators."""
+    for c in side[:3]:
+        if c in "0123456789":
+            return True
+        if c not in _BETWEEN:
+            return False
+    return False
+
+
 _CUES = (
     re.compile(r"(?i)phone|tel\b|tel\.|call|mobile|fax|contact|numéro|telefon|anruf|llama|appel"),
     re.compile(r"(?i)ssn|social|security|taxpayer"),
@@ -196,6 +227,8 @@ def describe(text: str, span: Span) -> list[float]:
     if KINDS[kind] == "iban":
         plain = own.replace(" ", "")
         valid = float(int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1)
+    elif KINDS[kind] == "ipv6":
+        valid = float(_is_address(own))
     return [
         *[float(kind == KINDS.index(k)) for k in ADDED],
         digits, upper, lower, end - start, len(own) - digits - upper - lower, entropy,
@@ -204,7 +237,9 @@ def describe(text: str, span: Span) -> list[float]:
         *[float(bool(c.search(left))) for c in _CUES],
         float(left[-1:] in ("\"", "'") and right[:1] == left[-1:]), float(left.rstrip()[-1:] in ("=", ":")), float(left[-1:].isspace() or not left),
         float(left.rstrip()[-1:] in ("$", "€", "£", "#", "v")), float("-" in own), float("." in own), float("/" in own), float("(" in own),
-        float(groups[0] == 4 and own[:2] in ("19", "20")), float(own.count(":")),
+        float(groups[0] == 4 and own[:2] in ("19", "20")), float(own.count(":")), float(bool(_PREFIX.match(own))),
+        float(_goes_on(left[::-1])), float(_goes_on(right)), float(own[:1] == "0"), float(own[:1] == "("), len(max(_LETTERS.findall(own), key=len, default="")),
+        _turns(own) / len(own), float("://" in left[-30:]), float("_" in own),
     ]
 
 
@@ -231,10 +266,12 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, ridge: float = 1.0, bins: int = 32) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.2, ridge: float = 1.0, bins: int = 32) -> Trees:
     """Second-order boosting of the logistic loss with histogram splits."""
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for f in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], axis=1)
+    # Bins of all features side by side, so that one count serves them all; the last bin of a feature ends no split.
+    binned = np.stack([np.searchsorted(c, x[:, f], "left") + f * bins for f, c in enumerate(cuts)], axis=1)
+    ends = np.array([[i < len(c) for i in range(bins)] for c in cuts])
     share = y.mean()
     bias = float(np.log(share / (1 - share)))
     margin = np.full(len(x), bias)
@@ -251,12 +288,12 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: f
                 best = 1e-6
                 if len(own) > 8:
                     gs, hs = g[own].sum(), h[own].sum()
-                    for f, c in enumerate(cuts):
-                        gl = np.cumsum(np.bincount(binned[own, f], g[own], len(c) + 1))[:-1]
-                        hl = np.cumsum(np.bincount(binned[own, f], h[own], len(c) + 1))[:-1]
-                        gain = gl**2 / (hl + ridge) + (gs - gl) ** 2 / (hs - hl + ridge) - gs**2 / (hs + ridge)
-                        if len(gain) and gain.max() > best:
-                            best, feature[k], cut[k] = gain.max(), f, c[gain.argmax()]
+                    cells = binned[own].ravel()
+                    gl, hl = (np.cumsum(np.bincount(cells, np.repeat(v[own], len(cuts)), ends.size).reshape(ends.shape), axis=1) for v in (g, h))
+                    gain = np.where(ends, gl**2 / (hl + ridge) + (gs - gl) ** 2 / (hs - hl + ridge) - gs**2 / (hs + ridge), 0)
+                    if gain.max() > best:
+                        f, at = divmod(int(gain.argmax()), bins)
+                        feature[k], cut[k] = f, cuts[f][at]
                 node[own] = 2 * k + 1 + (x[own, feature[k]] > cut[k])
         at = node - inner
         leaf = -rate * np.bincount(at, g, inner + 1) / (np.bincount(at, h, inner + 1) + ridge)
@@ -268,15 +305,20 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: f
 # --- examples from public formats ---------------------------------------------------------------
 
 
-def _examples(n: int, seed: int) -> Iterator[tuple[str, str, bool]]:
-    """(text, kind, whether personal) with the example where the generators propose it."""
+def _examples(n: int, seed: int) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
+    """(text, kind, where the personal parts are); negatives, without any, are look-alikes of the same kind.
+
+    Keys that name themselves by a prefix are personal whatever stands before
+    them; other random tokens only if a word before them says so.
+    """
     rng = np.random.default_rng(seed)
     pick = lambda *a: a[rng.integers(len(a))]
     digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     chars = lambda k, abc: "".join(abc[i] for i in rng.integers(0, len(abc), k))
     word = lambda: chars(int(rng.integers(2, 10)), "etaoinshrdlucmfwyp")
     prose = lambda: " ".join(word() for _ in range(rng.integers(0, 6)))
-    hexes, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    hexes, letters = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    mixed = letters + "0123456789"
 
     def iban() -> str:
         body = pick("DE", "FR", "ES", "GB", "NL"), digits(18)
@@ -284,42 +326,72 @@ def _examples(n: int, seed: int) -> Iterator[tuple[str, str, bool]]:
         plain = f"{body[0]}{check:02d}{body[1]}"
         return plain if rng.random() < 0.5 else " ".join(plain[i : i + 4] for i in range(0, len(plain), 4))
 
+    def named() -> str:
+        return pick(
+            "AKIA" + chars(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "sk-" + chars(int(rng.integers(24, 48)), mixed), "ghp_" + chars(36, mixed), "glpat-" + chars(20, mixed),
+            f"xoxb-{digits(11)}-{chars(24, mixed)}", "AIza" + chars(35, mixed), f"eyJ{chars(30, mixed)}.eyJ{chars(40, mixed)}.{chars(43, mixed)}",
+        )
+
+    def number() -> str:
+        return pick(
+            f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}",
+            f"0{digits(2)} {digits(4)} {digits(4)}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}",
+        )
+
+    def compressed() -> str:
+        parts = [chars(int(rng.integers(1, 5)), hexes) for _ in range(int(rng.integers(3, 7)))]
+        at = int(rng.integers(1, len(parts)))
+        return ":".join(parts[:at]) + "::" + ":".join(parts[at:])
+
     for _ in range(n):
         kind = pick(*ADDED)
         good = rng.random() < 0.5
-        lead, own = "", ""
+        lead, own, gap, tail = "", "", "", ""
         if kind == "secret":
-            own = pick(chars(40, hexes), chars(32, hexes), chars(64, hexes), chars(int(rng.integers(20, 44)), mixed), "AKIA" + chars(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "sk-" + chars(32, mixed), "ghp_" + chars(36, mixed))
-            if not re.search(r"\d", own) or not re.search("[A-Za-z]", own):
-                own += "a7"
-            if good:
+            if good and rng.random() < 0.5:
+                lead, own = pick("", "", "", "key ", "use ", "leaked: ", "found "), named()
+            elif good:
                 lead = pick("token = ", "token: ", "api_key = ", "secret = ", "password: ", "key=", "Authorization: Bearer ", "AUTH_TOKEN=")
-                own = pick(f'"{own}"', own, f"'{own}'")
+                own = pick(chars(40, hexes), chars(32, hexes), chars(64, hexes), chars(int(rng.integers(20, 44)), mixed), chars(int(rng.integers(20, 44)), letters), chars(int(rng.integers(100, 700)), mixed))
             else:
                 lead = pick("commit ", "sha256: ", "md5 ", "checksum = ", "build ", "revision ", "etag ", "digest: ", "uuid ", "")
-                own = pick(own, f"{chars(8, hexes)}-{chars(4, hexes)}-4{chars(3, hexes)}-{chars(4, hexes)}-{chars(12, hexes)}", f"{word()}-{word()}-{digits(2)}-{word()}", f"{word()}_{word()}_{word()}{digits(1)}")
+                own = pick(
+                    chars(40, hexes), chars(32, hexes), chars(64, hexes), f"{chars(8, hexes)}-{chars(4, hexes)}-4{chars(3, hexes)}-{chars(4, hexes)}-{chars(12, hexes)}",
+                    f"{word()}-{word()}-{digits(2)}-{word()}-{word()}", f"{word()}_{word()}_{word()}_{word()}{digits(1)}", "/".join(word() for _ in range(6)) + digits(1),
+                    f"{word()}{word().title()}{word().title()}{word().title()}", f"{word().title()}-{word()}-{word().title()}-{word()}", "-".join(word() for _ in range(5)) + f"-20{digits(2)}",
+                    f"https://{word()}.com/{word()}/{word()}/{word()}-{word()}-{word()}-20{digits(2)}/{word()}", f"http://www.{word()}.org/20{digits(2)}/{digits(2)}/{word()}-{word()}-{word()}.html",
+                )
         elif kind == "tel":
             if good:
-                lead = pick("phone: ", "tel. ", "call ", "mobile ", "fax ", "contact: ", "Telefon ", "phone ", "my number, call ", "")
-                own = pick(f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{digits(2)} {digits(4)} {digits(4)}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}")
+                lead, own = pick("phone: ", "tel. ", "call ", "mobile ", "fax ", "contact: ", "Telefon ", "phone ", "my number, call ", ""), number()
                 if not lead and not own.startswith("("):
                     lead = "call "
+                gap, tail = pick(("", ""), ("", ""), (f" 20{digits(2)}-{digits(2)}-{digits(2)}", ""), ("/", number()), (" ", number()), (", ", number()))
             else:
                 lead = pick("order ", "invoice ", "date ", "version ", "total ", "page ", "ticket #", "ISBN ", "", "part no. ")
-                own = pick(f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}/{digits(2)}/19{digits(2)}", f"{digits(9)}", f"{digits(12)}", f"978-{digits(1)}-{digits(3)}-{digits(5)}", f"{digits(4)} {digits(4)}", f"19{digits(2)}-20{digits(2)}", f"{digits(1)}.{digits(2)}.{digits(4)}", f"{digits(3)} {digits(3)} {digits(3)}", f"{digits(16)}"[:15], " ".join(digits(8)), " ".join(digits(2) for _ in range(4)))
+                own = pick(
+                    f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}/{digits(2)}/19{digits(2)}", digits(9), digits(12), f"978-{digits(1)}-{digits(3)}-{digits(5)}", f"{digits(4)} {digits(4)}",
+                    f"19{digits(2)}-20{digits(2)}", f"{digits(1)}.{digits(2)}.{digits(4)}", f"{digits(3)} {digits(3)} {digits(3)}", digits(15), " ".join(digits(8)),
+                    " ".join(digits(2) for _ in range(4)), " ".join(digits(int(rng.integers(1, 5))) for _ in range(12)), "-".join(digits(3) for _ in range(6)),
+                )
         elif kind == "ssn":
             own = f"{digits(3)}-{digits(2)}-{digits(4)}"
-            lead = pick("SSN ", "SSN: ", "social security number ", "taxpayer id ") if good else pick("part no. ", "model ", "order ", "item ", "")
+            lead = pick("SSN ", "SSN: ", "social security number ", "taxpayer id ", "social security numbers ") if good else pick("part no. ", "model ", "order ", "item ", "")
+            gap = pick("", " ", ", ")
+            tail = f"{digits(3)}-{digits(2)}-{digits(4)}" if gap else ""
         elif kind == "iban":
             own = iban() if good else pick("AB", "XK", "MD") + digits(20)
             lead = pick("IBAN ", "IBAN: ", "account ", "bank transfer to ", "") if good else pick("serial ", "model ", "part ", "")
         elif kind == "ipv6":
-            own = ":".join(chars(4, hexes) for _ in range(8)) if good else pick(f"{digits(2)}:{digits(2)}:{digits(2)}:{digits(2)}", f"1:2:{digits(1)}:{digits(1)}", f"{digits(1)}:{digits(1)}:{digits(1)}:{digits(1)}")
-            lead = pick("host ", "from ", "address ", "") if good else pick("time ", "ratio ", "verse ")
+            own = pick(":".join(chars(4, hexes) for _ in range(8)), compressed()) if good else pick(f"{digits(2)}:{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", ":".join(chars(2, hexes) for _ in range(6)), f"{digits(1)}:{digits(1)}:{digits(1)}:{digits(1)}")
+            lead = pick("host ", "from ", "address ", "") if good else pick("time ", "ratio ", "verse ", "mac ", "at ")
         else:
             own = f"{word()}.{word()} [at] {word()} [dot] com" if good else f"{word()} (at) {word()} . {word()}"
             lead = pick("mail ", "contact ", "")
-        yield f"{prose()} {lead}{own}{pick(' ', ', ', '. ', '; ')}{prose()}", kind, good
+        quote = pick('"', "", "'") if kind == "secret" and good else ""
+        before = f"{pick('', prose() + ' ')}{lead}{quote}"
+        places = [(len(before), len(before) + len(own)), (len(before + own + gap), len(before + own + gap + tail))]
+        yield f"{before}{own}{quote}{gap}{tail}{pick(' ', ', ', '. ', '; ')}{prose()}", kind, places if good else []
 
 
 @dataclass
@@ -341,16 +413,16 @@ class Judge:
 
 def _labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x, y, kinds = [], [], []
-    for text, kind, good in _examples(n, seed):
+    for text, kind, places in _examples(n, seed):
         for span in candidates(text):
             x.append(describe(text, span))
-            y.append(float(good and KINDS[span[1]] == kind))
+            y.append(float(KINDS[span[1]] == kind and (span[0], span[2]) in places))
             kinds.append(span[1])
     return np.array(x, float), np.array(y), np.array(kinds)
 
 
 @cache
-def judge(examples: int = 4000, precision: float = PRECISION) -> Judge:
+def judge(examples: int = 6000, precision: float = PRECISION) -> Judge:
     """Trees from one set of examples; calibration and thresholds from another."""
     x, y, _ = _labelled(examples, 11)
     trees = boost(x, y)
