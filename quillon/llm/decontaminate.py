@@ -36,9 +36,10 @@ from . import _words
 from ._common import materialize, table
 
 SEED = 3
-LEAST_WORDS = 8
+#: Items of fewer words are found verbatim only.
+SHORT = 8
 THRESHOLD = 0.5
-WAVE_BYTES = 1 << 22
+WAVE_BYTES = 1 << 24
 MATCH, MISMATCH, GAP = 2, 1, 1
 
 #: Anything in ASCII but letters and digits parts words.
@@ -62,18 +63,23 @@ def _hashed(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _words.hashes(raw, start, end), row
 
 
-def _overlapping(column: pa.Array, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pieces as of :func:`_words.pieces`; those of one long text share ``overlap`` bytes or a little more."""
-    last, tail = -1, np.empty(0, np.uint8)
+def _overlapping(column: pa.Array, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Pieces as of :func:`_words.pieces`, with the number of words before them; those of one long text share ``overlap`` bytes or a little more."""
+    last, tail, done, shared = -1, np.empty(0, np.uint8), 0, 0
     for rows, offsets, raw in _words.pieces(column):
         if len(rows) == 1 and rows[0] == last:
             raw = np.concatenate([tail, raw])
             offsets = np.array([0, len(raw)])
+        else:
+            done = shared = 0
         last = int(rows[-1])
-        tail = raw[max(0, len(raw) - overlap) :] if len(rows) == 1 else np.empty(0, np.uint8)
-        cut = np.flatnonzero(_APART[tail]) if len(tail) < len(raw) else np.zeros(1, np.int64)
-        tail = tail[int(cut[0]) :] if len(cut) else tail
-        yield rows, offsets, raw
+        yield rows, offsets, raw, done - shared
+        if len(rows) == 1:
+            tail = raw[max(0, len(raw) - overlap) :]
+            cut = np.flatnonzero(_APART[tail]) if len(tail) < len(raw) else np.zeros(1, np.int64)
+            tail = tail[int(cut[0]) :] if len(cut) else tail
+            count = lambda x: len(_words.bounds(np.array([0, len(x)]), x, _APART)[0])
+            done, shared = done - shared + count(raw), count(tail)
 
 
 @dataclass
@@ -84,25 +90,26 @@ class Items:
     words: list[np.ndarray]
     reach: int = 0
     seed: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # sorted, repeats kept
-    item: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    place: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    filter: np.ndarray = field(default_factory=lambda: np.zeros(1 << 22, bool))
+    item: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
+    place: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
+    filter: np.ndarray = field(default_factory=lambda: np.zeros(1 << 20, bool))  # by the first bits of a seed
+    sizes: tuple[int, ...] = ()  # numbers of words of the seeds there are
 
     @classmethod
-    def of(cls, rows: list[tuple[int | None, str]]) -> Items:
+    def of(cls, rows: list[tuple[int | None, str]], least: int = 1) -> Items:
         ids, words, seeds = [], [], []
         reach = 0
         for item_id, text in rows:
             raw = np.frombuffer(text.encode(), np.uint8)
             h, row = _hashed(np.array([0, len(raw)]), raw)
-            if len(h) < LEAST_WORDS:
+            if len(h) < max(1, least):
                 continue
-            grams, at = _words.chained(h, row, SEED)
-            seeds.append((grams, np.full(len(at), len(ids)), at))
+            grams, at = _words.chained(h, row, min(SEED, len(h)))
+            seeds.append((grams, np.full(len(at), len(ids), np.int32), at.astype(np.int32)))
             ids.append(item_id)
             words.append(h)
             reach = max(reach, 3 * len(raw))
-        out = cls(ids, words, reach)
+        out = cls(ids, words, reach, sizes=tuple(sorted({min(SEED, len(w)) for w in words})))
         if seeds:
             out._set(*(np.concatenate(x) for x in zip(*seeds, strict=True)))
         return out
@@ -110,12 +117,15 @@ class Items:
     def _set(self, seed: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
         order = np.argsort(seed, kind="stable")
         self.seed, self.item, self.place = seed[order], item[order], place[order]
-        self.filter[:] = False
-        self.filter[(self.seed >> np.uint64(42)).astype(np.int64)] = True
+        self.filter = np.zeros(1 << min(25, max(20, (8 * len(seed)).bit_length())), bool)
+        self.filter[self._cells(self.seed)] = True
+
+    def _cells(self, grams: np.ndarray) -> np.ndarray:
+        return (grams >> np.uint64(65 - len(self.filter).bit_length())).astype(np.int64)
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into grams, first index into seeds) where a gram is a seed."""
-        some = np.flatnonzero(self.filter[(grams >> np.uint64(42)).astype(np.int64)])
+        some = np.flatnonzero(self.filter[self._cells(grams)])
         at = np.searchsorted(self.seed, grams[some], "left")
         ok = at < len(self.seed)
         ok[ok] = self.seed[at[ok]] == grams[some[ok]]
@@ -148,11 +158,13 @@ def _may_score(item: np.ndarray, windows: np.ndarray, threshold: float) -> np.nd
 
 
 def _found(items: Items, column: pa.Array, threshold: float) -> dict[tuple[int, int], tuple[float, int, int]]:
-    """{(row, item): (score, first word, end word)} of a batch; words count within the piece that holds the copy."""
+    """{(row, item): (score, first word, end word)} of a batch."""
     out: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for rows, offsets, raw in _overlapping(column, items.reach):
+    for rows, offsets, raw, before in _overlapping(column, items.reach):
         h, text = _hashed(offsets, raw)
-        grams, at = _words.chained(h, text, SEED)
+        # A seed's hash depends on its number of words, so those of all sizes are looked up together.
+        parts = [_words.chained(h, text, n) for n in items.sizes]
+        grams, at = (np.concatenate(x) for x in zip(*parts, strict=True))
         gi, first = items.hits(grams)
         if not len(gi):
             continue
@@ -172,7 +184,8 @@ def _found(items: Items, column: pa.Array, threshold: float) -> dict[tuple[int,
         for k in np.unique(item).tolist():
             own = np.flatnonzero(item == k)
             m = int(sizes[k])
-            spare = max(0, math.ceil(2 * m * (1 - threshold)))  # most words that a copy may have too many
+            least = threshold if m >= SHORT else 1.0
+            spare = max(0, math.ceil(2 * m * (1 - least)))  # most words that a copy may have too many
             step = max(1, min(256, (1 << 20) // m))
             for cut in range(0, len(own), step):
                 part = own[cut : cut + step]
@@ -182,18 +195,18 @@ def _found(items: Items, column: pa.Array, threshold: float) -> dict[tuple[int,
                 where = begin[:, None] + np.arange(width)
                 inside = where < stop[:, None]
                 windows = np.where(inside, h[np.minimum(where, len(h) - 1)], np.uint64(0))
-                likely = _may_score(items.words[k], windows, threshold)
+                likely = _may_score(items.words[k], windows, least)
                 if not likely.any():
                     continue
                 part, begin, windows = part[likely], begin[likely], windows[likely]
                 best, end = align(items.words[k], windows)
-                good = np.flatnonzero(best >= threshold * MATCH * m)
+                good = np.flatnonzero(best >= least * MATCH * m)
                 if not len(good):
                     continue
                 _, back = align(items.words[k][::-1], windows[good][:, ::-1])
                 for g, tail in zip(good.tolist(), back.tolist(), strict=True):
                     r = int(of[part[g]])
-                    here = int(begin[g] - low[r])
+                    here = before + int(begin[g] - low[r])
                     value = (float(best[g]) / (MATCH * m), here + width - 1 - tail, here + int(end[g]) + 1)
                     pair = (int(rows[r]), k)
                     out[pair] = max(out.get(pair, (0.0, 0, 0)), value)
@@ -207,12 +220,12 @@ def _waves(benchmark: DataFrame) -> tuple[DataFrame, int]:
     return rows.withColumn("wave", F.pmod(F.xxhash64("item_id", "text"), F.lit(waves))), waves
 
 
-def _seeded(benchmark: DataFrame) -> Iterator[Items]:
-    """Items of each wave with all their seeds."""
+def _seeded(benchmark: DataFrame, least: int = 1) -> Iterator[Items]:
+    """Items of each wave with all their seeds; those of fewer than ``least`` words are left out."""
     rows, waves = _waves(benchmark)
     for w in range(waves):
         own = rows.filter(F.col("wave") == w).drop("wave").toArrow()
-        items = Items.of(sorted(zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+        items = Items.of(sorted(zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1])), least)
         if items.ids:
             yield items
 
@@ -241,10 +254,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that align with no item; a filter in place, row by row."""
+    """The rows of ``docs`` that align with no item of ``SEED`` or more words; a filter in place, row by row."""
     spark = docs.sparkSession
     at = docs.columns.index("text")
-    for items in _seeded(benchmark):
+    for items in _seeded(benchmark, SEED):
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -101,7 +101,23 @@ def test_copy_across_pieces_of_a_long_text(spark):
     cut = filler.index(" ", (1 << 19) - 100)
     docs = [(1, filler[:cut] + " " + item + filler[cut:]), (2, filler)]
     got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string"))
-    assert [(r["doc_id"], r["score"]) for r in got.collect()] == [(1, 1.0)]
+    before = len(docs[0][1][:cut].split())
+    assert [tuple(r) for r in got.collect()] == [(1, 5, 1.0, before, before + 40)]
+
+
+def test_words_are_counted_from_the_start_of_long_texts(spark):
+    filler = "some other words, " * 150_000
+    docs = [(1, filler + "what is the capital of France? " + filler), (2, filler)]
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, "What is the capital of France?")], "item_id long, text string"))
+    assert [tuple(r) for r in got.collect()] == [(1, 5, 1.0, 450_000, 450_006)]
+
+
+def test_short_items_are_found_verbatim(spark):
+    docs = [(1, "Q: What is the capital of France? A: Paris."), (2, "What is the capital of Spain, then?"), (3, "paris, texas"), (4, "nothing here"), (5, "to be or not")]
+    items = [(1, "What is the capital of France?"), (2, "Paris"), (3, "Paris, Texas"), (4, "to be or not to be"), (5, "!!")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in D.leaks(df, bench).collect()) == [(1, 1), (1, 2), (3, 2), (3, 3)]
+    assert sorted(r["doc_id"] for r in D.remove(df, bench).collect()) == [2, 3, 4, 5]
 
 
 def test_defined_cases(spark):
