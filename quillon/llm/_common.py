@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.staging import materialize, new_path, remove, scope, shared_dir
+
+__all__ = ["WORD_RE", "materialize", "new_path", "own_numbers", "remove", "scope", "shared_dir", "small", "table", "unused"]
+
 #: A word is a maximal run of anything but U+0020 and U+0009..U+000D.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
@@ -15,41 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
-
-    Only a single-machine session may go without that setting; there the
-    checkpoint folder of the context, or a new temporary one, serves.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="quillon-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/quillon/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage and survives lost executors: the rows are files in shared
-    storage, not blocks of one executor.  The schema is passed on, so an empty
-    result reads back too.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Most rows and bytes of a side that is broadcast; beyond either, the join shuffles.
 SMALL = 500_000
 SMALL_BYTES = 64 << 20
@@ -75,6 +42,20 @@ def small(df: DataFrame, rows: int = SMALL, most: int = SMALL_BYTES) -> DataFram
     return F.broadcast(df) if n <= rows and size <= most else df
 
 
+def own_numbers(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df``, which should be materialised, with the hash ``name`` changed where different ``key`` share it, so that each has its own."""
+    attempt = 0
+    while True:
+        shared = df.groupBy(name).agg(F.count(F.lit(1)).alias("k"), F.min(key).alias("first")).filter("k > 1").select(name, "first")
+        shared = materialize(shared, "clashes")
+        if not shared.take(1):
+            return df
+        attempt += 1
+        joined = df.join(F.broadcast(shared), name, "left")
+        other = F.when(F.col("first").isNotNull() & (F.col(key) != F.col("first")), F.xxhash64(F.lit(attempt), key)).otherwise(F.col(name))
+        df = materialize(joined.withColumn(name, other).select(*df.columns), "numbered")
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores appended until no column of ``df`` has it (columns compare without case)."""
     taken = {c.lower() for c in df.columns}

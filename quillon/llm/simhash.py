@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _graph
-from ._common import materialize, small, table, unused
+from ._common import materialize, own_numbers, small, table, unused
 
 TAU = 3
 SHINGLE = 3
@@ -312,21 +312,24 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU) -> DataFrame:
 #
 # At that similarity SimHash distances are about 15 % of the bits, where keys of the pigeonring
 # principle no longer select: a key short enough to be equal is shared by most unrelated pairs.
-# So candidates share one of BANDS keys of BAND_ROWS least hashes each (a pair at 0.8 shares one
-# with a probability of 0.995) and differ in at most REACH of 128 bits (about 19 +- 4 do at 0.8, so
-# this keeps all but one in a million); what such pairs connect is a family. Within a family the
-# exact Jaccard similarity of the shingle sets decides.
+# So pairs meet on one of BANDS keys of BAND_ROWS least hashes each (a pair at 0.8 shares one
+# with a probability of 0.995). Pigeonring prunes those: from some of SEGMENTS segments on, the
+# differences of every run of segments must stay within their share of REACH, before all 128 bits
+# are compared (about 19 +- 4 differ at 0.8, so REACH keeps all but one in a million). What the
+# pairs that are left connect is a family. Within a family the exact Jaccard similarity of the
+# shingle sets decides.
 
 WIDE_SHINGLE = 5
 SIMILAR = (4, 5)
-RADIUS = 24
+SEGMENTS = 8
 #: Most bits in which a pair may differ that is compared exactly.
 REACH = 40
 BANDS, BAND_ROWS = 10, 4
-#: Most rows of a bucket that are compared in one task.
+#: Most rows of a bucket, and most texts of a family, that are compared as a whole.
 BLOCK = 4096
-#: Most texts of a family in a block; two blocks are compared in one task.
 SET_BLOCK = 512
+#: About as many rows of a larger one are compared with all others first.
+PIVOTS = 32
 
 _rng = np.random.default_rng(5)
 _A = _rng.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -404,6 +407,26 @@ def with_wide_print(docs: DataFrame, text: str = "text", name: str = "fp", bands
     return slim.mapInArrow(run, (shape.withColumn(bands, F.array(F.lit(0).cast("long"))) if bands else shape).schema)
 
 
+def within_ring(diff: np.ndarray, radius: int) -> np.ndarray:
+    """Rows of ``diff`` ([n, 2] words of differing bits) with at most ``radius`` bits, most others pruned by chains of segments."""
+    bits = np.bitwise_count(np.ascontiguousarray(diff).view(np.uint16))
+    at = np.arange(len(bits))
+    sums = np.zeros((len(bits), SEGMENTS), np.int64)
+    alive = np.ones((len(bits), SEGMENTS), bool)
+    for length in range(1, SEGMENTS):
+        # Column r holds the differences of the chain that starts at segment r.
+        sums += np.roll(bits, 1 - length, axis=1)
+        alive &= sums <= length * radius // SEGMENTS
+        some = alive.any(axis=1)
+        if not some.all():
+            at, bits, sums, alive = at[some], bits[some], sums[some], alive[some]
+        if not len(at):
+            break
+    out = np.zeros(len(diff), bool)
+    out[at[bits.sum(axis=1) <= radius]] = True
+    return out
+
+
 def _wide_forest(nodes: np.ndarray, prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links."""
     edges = []
@@ -412,7 +435,7 @@ def _wide_forest(nodes: np.ndarray, prints: np.ndarray, radius: int) -> list[tup
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             one = todo.pop()
-            near = np.bitwise_count(prints[left] ^ prints[one]).sum(axis=1) <= radius
+            near = within_ring(prints[left] ^ prints[one], radius)
             if near.any():
                 found = left[near]
                 edges += [(nodes[one], x) for x in nodes[found]]
@@ -451,27 +474,51 @@ def _wide_link(rows: DataFrame, radius: int) -> DataFrame:
     return dealt.select("k1", "k2", "node", "fp").mapInArrow(run, "a long, b long")
 
 
-def similar_links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) among ``nodes`` (node, fp, bands), which should be materialised.
+def similar_links(nodes: DataFrame, radius: int = REACH, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that connect what is within ``radius`` bits in a band's bucket, from ``nodes`` (node, fp, bands), which should be materialised."""
+    keys = materialize(nodes.select("node", "fp", F.explode("bands").alias("k1")), "wide-keys")
+    return _connected(keys, lambda rows: _wide_link(rows, radius), block)
 
-    Buckets of more than ``block`` rows are dealt into blocks, and every two
-    blocks are compared on all their members: a link has no stand-in, as being
-    near is not transitive.
-    """
-    keys = nodes.select("node", "fp", F.explode("bands").alias("k1"))
-    return _wide_link(_in_blocks(keys, block), radius)
 
+def _connected(keys: DataFrame, link: Callable[[DataFrame], DataFrame], block: int) -> DataFrame:
+    """Edges that connect the links in each bucket k1 of ``keys`` (k1, node, ...), which should be materialised.
 
-def _in_blocks(keys: DataFrame, block: int) -> DataFrame:
-    """``keys`` with k2: 0 in a bucket k1 of up to ``block`` rows, else a row for each pair of blocks that its own is in."""
-    sizes = keys.groupBy("k1").count().filter(F.col("count") > block)
-    hot = materialize(sizes.select("k1", F.ceil(F.col("count") / block).cast("long").alias("blocks")), "hot-buckets")
+    ``link`` compares all rows of a bucket (k1, k2).  A bucket of more than
+    ``block`` rows is dealt into blocks, each with the same few pivots, which
+    joins what is near a pivot over all blocks.  Near is not transitive, so
+    every row that is not in the bucket's largest component is then compared
+    with all rows of the bucket: no link is lost, and a group of copies, however
+    large, costs its size.  Only what is far from most others costs a pass each
+    ``block`` rows.
+    """
+    zero = F.lit(0).cast("long")
+    sizes = keys.groupBy("k1").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > block)
+    hot = materialize(sizes.select("k1", F.ceil(F.col("rows") / block).cast("long").alias("blocks"), F.ceil(F.col("rows") / PIVOTS).cast("long").alias("apart")), "hot-buckets")
     if not hot.take(1):
-        return keys.withColumn("k2", F.lit(0).cast("long"))
-    cold = keys.join(hot, "k1", "left_anti").withColumn("k2", F.lit(0).cast("long"))
-    dealt = keys.join(hot, "k1").withColumn("c", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    pairs = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter("c <> o")
-    return cold.unionByName(pairs.withColumn("k2", F.least("c", "o") * F.col("blocks") + F.greatest("c", "o")).drop("c", "o", "blocks"))
+        return link(keys.withColumn("k2", zero))
+    payload = [c for c in keys.columns if c not in ("k1", "node")]
+    shape = ["k1", "k2", "node", *payload]
+    cold = keys.join(small(hot.select("k1")), "k1", "left_anti").withColumn("k2", zero)
+    warm = keys.join(small(hot), "k1").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    every = F.sequence(zero, F.col("blocks") - 1)
+    pivots = warm.filter(F.pmod(F.xxhash64(F.lit(7), "node"), F.col("apart")) == 0).withColumn("k2", F.explode(every)).filter("k2 <> own")
+    first = cold.select(*shape).unionByName(warm.withColumn("k2", F.col("own")).select(*shape)).unionByName(pivots.select(*shape))
+    edges = materialize(link(first), "near-pairs")
+    roots = materialize(_graph.components(edges), "near-roots")
+    # By component; a node without any link is one of its own.
+    placed = warm.select("k1", "node").join(roots, "node", "left").select("k1", "node", F.coalesce("root", "node").alias("root"))
+    placed = materialize(placed, "near-placed")
+    largest = placed.groupBy("k1", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("k1").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    rest = materialize(placed.join(small(materialize(largest, "near-largest")), "k1").filter("root <> main").select("k1", "node"), "near-rest")
+    if not rest.take(1):
+        return edges
+    half = max(1, block // 2)
+    counts = materialize(rest.groupBy("k1").agg(F.ceil(F.count(F.lit(1)) / half).cast("long").alias("parts")), "near-counts")
+    again = warm.join(small(counts), "k1")
+    aside = again.join(small(rest), ["k1", "node"], "left_semi").withColumn("part", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("parts")))
+    aside = aside.withColumn("c", F.explode(every)).withColumn("k2", F.col("part") * F.col("blocks") + F.col("c"))
+    whole = again.withColumn("part", F.explode(F.sequence(zero, F.col("parts") - 1))).withColumn("k2", F.col("part") * F.col("blocks") + F.col("own"))
+    return edges.unionByName(link(aside.select(*shape).unionByName(whole.select(*shape))))
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
@@ -553,23 +600,29 @@ def similar_groups(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """doc_id, fp, component_id and root of every row, for five-word shingles at a similarity of 0.8."""
     prints = materialize(with_wide_print(docs.select("doc_id", "text"), bands="bands"), "wide-prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("bands").alias("bands"))
-    nodes = materialize(nodes.withColumn("node", F.xxhash64("fp")), "wide-nodes")
+    nodes = own_numbers(materialize(nodes.withColumn("node", F.xxhash64("fp")), "wide-nodes"), "fp", "node")
     families = _graph.components(similar_links(nodes.select("node", "fp", "bands"), reach)).withColumnRenamed("root", "k1")
     members = materialize(nodes.select("node", "fp", "low").join(families, "node"), "wide-families")
     ids = small(materialize(members.select(F.col("low").alias("member")).distinct(), "family-ids"))
     texts = with_sets(docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("member")), "left_semi"))
     sets = texts.join(members.select("fp", "node", "k1"), "fp").groupBy("node").agg(F.first("k1").alias("k1"), F.first("shingles").alias("shingles"))
     sets = materialize(sets, "family-sets")
-    roots = materialize(_graph.components(materialize(_set_link(_in_blocks(sets, SET_BLOCK)), "similar-pairs")), "wide-roots")
+    roots = materialize(_graph.components(_connected(sets, _set_link, SET_BLOCK)), "wide-roots")
     named = nodes.select("node", "fp", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named, "wide-named")
     lows = materialize(named.groupBy("root").agg(F.min("low").alias("component_id")), "wide-lows")
-    ids = materialize(named.join(lows, "root").select("fp", "component_id", "root"), "wide-components")
+    ids = materialize(named.join(small(lows), "root").select("fp", "component_id", "root"), "wide-components")
     return prints.select("doc_id", "fp").join(ids, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def dedup_similar(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """The rows of ``docs`` but one of each group of :func:`similar_groups`."""
+    """The rows of ``docs`` but one of each group of :func:`similar_groups`: that with the least doc_id.
+
+    Texts that are null, empty or of spaces alone are copies of each other; a
+    text of fewer than five words is one shingle.  Repeated ids are told apart
+    by their texts, rows equal in both are copies, and null ids come last.  An
+    empty table stays empty; all columns are kept, whatever their names.
+    """
     slim = materialize(similar_groups(docs, reach), "wide-groups")
     return _keep_first(docs, slim, lambda rows, text, name: with_wide_print(rows, text, name))
 

@@ -1,11 +1,10 @@
 """The pipeline against a plain version of each stage on the rows that the stage before it left."""
 
-import numpy as np
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from quillon.llm import decontaminate, quality, simhash
+from quillon.llm import decontaminate, quality
 from quillon.llm._common import materialize, table
 from tests.llm import brute
 from tests.llm.test_decontaminate import score
@@ -42,14 +41,20 @@ def test_quality(spark, steps):
 
 
 def test_near_dedup(steps):
+    """Groups of the true shingle sets, by all pairs."""
     rows = sorted(steps["quality"][1], key=lambda r: r["doc_id"])
-    prints, _ = simhash.wide_prints([(r["text"] or "").encode() for r in rows])
+    sets = []
+    for r in rows:
+        words = (r["text"] or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
     forest = brute.Forest()
-    for i in range(len(rows)):
+    for i, a in enumerate(sets):
         forest.find(i)
-        for j in np.flatnonzero(np.bitwise_count(prints[:i] ^ prints[i]).sum(axis=1) <= simhash.RADIUS).tolist():
-            forest.join(i, j)
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                forest.join(i, j)
     assert ids(steps["near_dedup"][1]) == [r["doc_id"] for i, r in enumerate(rows) if forest.find(i) == i]
+    assert len(steps["near_dedup"][1]) < len(rows)
 
 
 def test_decontamination(spark, steps):

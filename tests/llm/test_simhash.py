@@ -103,6 +103,55 @@ def test_repeated_and_missing_ids(spark):
     assert len(kept) == len({brute.fingerprint(t) for t in kept}) == len(set(brute.groups({i: p for i, p in enumerate(prints)}).values()))
 
 
+RADIUS = 24
+
+
+def test_ring_filter_loses_nothing():
+    rng = np.random.default_rng(3)
+    for radius in (0, 3, 24, 40):
+        diff = np.packbits(rng.random((4000, 128)) < rng.uniform(0, 2 * (radius + 4) / 128, (4000, 1)), axis=1).view(np.uint64)
+        assert (simhash.within_ring(diff, radius) == (np.bitwise_count(diff).sum(axis=1) <= radius)).all()
+
+
+@pytest.mark.parametrize("block", [4, 16])
+def test_chain_is_one_group_whatever_the_block(spark, block):
+    """Sixty prints, each within reach of the next alone."""
+    rng = np.random.default_rng(60)
+    p, chain = rng.integers(0, 2**63, 2).astype(np.uint64), []
+    for _ in range(60):
+        chain.append(p)
+        p = p ^ np.packbits(np.isin(np.arange(128), rng.choice(128, 20, replace=False))).view(np.uint64)
+    nodes = spark.createDataFrame([(i, bytearray(p.tobytes()), [1]) for i, p in enumerate(chain)], "node long, fp binary, bands array<long>")
+    got = simhash._graph.components(simhash.similar_links(nodes, RADIUS, block)).collect()
+    assert len(got) == 60 and {r["root"] for r in got} == {0}
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_recall_at_the_threshold(spark):
+    """Of pairs at a true similarity of 0.80 to 0.82 at least 95 % are found, and none below 0.8."""
+    rng = np.random.default_rng(80)
+    rows, near = [], set()
+    for f in range(400):
+        words = [f"{w}{rng.integers(1000)}" for w in rng.choice(WORDS, int(rng.integers(150, 500)))]
+        edited = list(words)
+        while True:
+            edited[int(rng.integers(len(edited)))] = f"x{rng.integers(10**6)}"
+            a, b = shingles(" ".join(words)), shingles(" ".join(edited))
+            if len(a & b) / len(a | b) < (0.82 if f % 4 else 0.79):
+                break
+        if 5 * len(a & b) >= 4 * len(a | b):
+            near.add(f)
+        rows += [(2 * f, " ".join(words)), (2 * f + 1, " ".join(edited))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {f for f in range(400) if got[2 * f + 1] == 2 * f}
+    assert all(got[2 * f] == 2 * f for f in range(400)) and found <= near
+    assert len(near) > 200 and len(found) >= 0.95 * len(near)
+
+
 def test_similar_copies_meet_and_others_do_not(spark):
     rng = np.random.default_rng(5)
     rows, families = [], 25
@@ -130,8 +179,8 @@ def test_large_buckets_of_similar_texts(spark):
     from pyspark.sql import functions as F
 
     nodes = simhash.materialize(prints.select(F.xxhash64("fp").alias("node"), "fp", "bands").dropDuplicates(["node"]), "test-nodes")
-    whole = simhash._graph.components(simhash.similar_links(nodes)).collect()
-    parts = simhash._graph.components(simhash.similar_links(nodes, block=8)).collect()
+    whole = simhash._graph.components(simhash.similar_links(nodes, RADIUS)).collect()
+    parts = simhash._graph.components(simhash.similar_links(nodes, RADIUS, block=8)).collect()
     assert sorted(whole) == sorted(parts)
 
 
@@ -145,11 +194,11 @@ def test_links_of_members_that_no_other_block_stands_for(spark):
     forest = brute.Forest()
     for i, p in enumerate(prints):
         forest.find(i)
-        for j in np.flatnonzero(np.bitwise_count(np.array(prints[:i] or [~p]) ^ p).sum(axis=1) <= simhash.RADIUS).tolist():
+        for j in np.flatnonzero(np.bitwise_count(np.array(prints[:i] or [~p]) ^ p).sum(axis=1) <= RADIUS).tolist():
             forest.join(i, j)
     truth = {i: forest.find(i) for i in range(len(prints))}
     nodes = spark.createDataFrame([(i, bytearray(p.tobytes()), [1]) for i, p in enumerate(prints)], "node long, fp binary, bands array<long>")
-    got = {r["node"]: r["root"] for r in simhash._graph.components(simhash.similar_links(nodes, simhash.RADIUS, block=8)).collect()}
+    got = {r["node"]: r["root"] for r in simhash._graph.components(simhash.similar_links(nodes, RADIUS, block=8)).collect()}
     assert {i: got.get(i, i) for i in truth} == truth and sum(r == 0 for r in truth.values()) > 160
 
 
@@ -175,3 +224,9 @@ def test_sets_link_at_the_threshold_and_not_below():
     for other, linked in ((np.arange(8), True), (np.arange(7), False), (np.arange(1, 10), True)):
         edges = simhash._set_forest(np.array([5, 6]), np.r_[a, other], np.array([len(a), len(other)]))
         assert edges == ([(5, 6)] if linked else [])
+
+
+def test_nodes_that_share_a_number(spark):
+    df = spark.createDataFrame([(f"k{i}", i % 3) for i in range(30)], "key string, node long")
+    out = simhash.own_numbers(df, "key", "node").collect()
+    assert len({r["node"] for r in out}) == 30 and sorted(r["key"] for r in out) == sorted(f"k{i}" for i in range(30))
