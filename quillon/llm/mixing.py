@@ -12,8 +12,9 @@ never shuffle.
 
 Defined cases: a null text has size 0 and is taken 0 times.  A null source is
 a source of its own, after all others.  Rows equal in id share a key and are
-ordered by size, then arbitrarily among equals (they are interchangeable).  An
-empty table, or one without words, gives targets of 0.
+ordered by size; rows equal in both are interchangeable, and counted as a group
+before anything is ordered, so that an id that very many rows share does not
+meet in a task.  An empty table, or one without words, gives targets of 0.
 """
 
 from __future__ import annotations
@@ -87,15 +88,39 @@ def plan(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int =
     info = small(materialize(info, "mix-info"))  # one row a source, so that a source with many rows stays spread
     rows = keyed.join(info, keyed["source"].eqNullSafe(F.col("i_source"))).drop("i_source")
     at_cut = F.col("bucket") == F.col("c_bucket")
+    edge = rows.filter(at_cut)
+    # Equal rows are summed before they are ordered; of their group the cut takes ``room`` words.
+    groups = edge.groupBy("source", "key", "size", "c_start", "rest").agg(F.count(F.lit(1)).alias("n"))
     inner = Window.partitionBy("source").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (
-        rows.filter(at_cut)
-        .withColumn("prefix", F.col("c_start") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
-        .withColumn("part", F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("prefix"))))
-        .drop("prefix")
-    )
+    prefix = F.col("c_start") + F.coalesce(F.sum(F.col("n") * F.col("size")).over(inner), F.lit(0))
+    room = F.least(F.col("n") * F.col("size"), F.greatest(F.lit(0), F.col("rest") - prefix))
+    groups = materialize(groups.select(F.col("source").alias("g_source"), F.col("key").alias("g_key"), F.col("size").alias("g_size"), "n", room.alias("room")), "mix-edges")
+    edge = edge.join(small(groups), F.col("source").eqNullSafe(F.col("g_source")) & (F.col("key") == F.col("g_key")) & (F.col("size") == F.col("g_size")))
+    divided = (F.col("n") > 1) & (F.col("room") > 0) & (F.col("room") < F.col("n") * F.col("size"))
+    full = F.when(F.col("size") > 0, F.expr("room div size")).otherwise(F.lit(0))
+    share = F.when(divided, full / F.col("n")).otherwise(F.lit(1.0))
+    if groups.filter((F.col("n") > 1) & (F.col("room") > 0) & (F.col("room") < F.col("n") * F.col("g_size"))).take(1):
+        edge = edge.withColumn("place", F.lit(0).cast("long"))
+        edge = edge.filter(~divided).unionByName(_places(edge.filter(divided).drop("place")))
+        part = F.when(~divided, F.least("size", "room")).when(F.col("place") < full, F.col("size")).when(F.col("place") == full, F.col("room") - full * F.col("size")).otherwise(F.lit(0))
+    else:
+        part = F.when(F.col("n") > 1, F.when(F.col("room") > 0, F.col("size")).otherwise(F.lit(0))).otherwise(F.col("room"))
+    columns = [*rows.columns, "part", "share"]
+    edge = edge.withColumn("part", part).withColumn("share", share).select(*columns)
     whole = rows.filter(~F.coalesce(at_cut, F.lit(False))).withColumn("part", F.when(F.col("bucket") < F.col("c_bucket"), F.col("size")).otherwise(F.lit(0)))
-    return whole.unionByName(edge).withColumn("taken", (F.col("epochs") * F.col("size") + F.col("part")).cast("long"))
+    planned = whole.withColumn("share", F.lit(1.0)).select(*columns).unionByName(edge)
+    return planned.withColumn("taken", (F.col("epochs") * F.col("size") + F.col("part")).cast("long"))
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """``rows``, all those of a source equal, with ``place``: 0, 1, ... within the source, numbered where they lie and shifted by the counts before."""
+    lying = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "mix-equal").withColumn("lot", F.shiftright("uid", 33))
+    counts = lying.groupBy("source", "lot").agg(F.count(F.lit(1)).alias("k"))
+    before = Window.partitionBy("source").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(counts.select(F.col("source").alias("l_source"), F.col("lot").alias("l_lot"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start")), "mix-lots")
+    own = F.row_number().over(Window.partitionBy("source", "lot").orderBy("uid")) - 1
+    numbered = lying.withColumn("own", own).join(small(starts), F.col("source").eqNullSafe(F.col("l_source")) & (F.col("lot") == F.col("l_lot")))
+    return numbered.withColumn("place", (F.col("start") + F.col("own")).cast("long")).drop("uid", "lot", "own", "l_source", "l_lot", "start")
 
 
 def mix_table(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -109,7 +134,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
 
     A row comes once for each full epoch, and once more if the cut of the last
     epoch leaves it at least half (rows without words: once for each epoch, at
-    least once).  Rows keep their place: the plan needs no join with the texts,
+    least once).  Of rows equal in id and size across the cut, about their share
+    comes.  Rows keep their place: the plan needs no join with the texts,
     as a row's share follows from its key and its source's cut; only cuts (one
     row a source and, for the bucket across the cut, its last whole row) are joined.
     """
@@ -117,14 +143,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     planned = plan(slim, weights, max_repeat)
     half = (F.col("size") > 0) & (2 * F.col("part") >= F.col("size"))
     last = planned.groupBy("source").agg(
-        F.max("epochs").alias("epochs"), F.max(F.when(half, F.struct("key", "size"))).alias("last")
+        F.max("epochs").alias("epochs"), F.max(F.when(half, F.struct("key", "size", "share"))).alias("last")
     )
-    source, key, size, epochs, edge = unused(docs, "m_source", "m_key", "m_size", "m_epochs", "m_last")
+    source, key, size, epochs, edge, lot = unused(docs, "m_source", "m_key", "m_size", "m_epochs", "m_last", "m_lot")
     # One row a source: the texts stay where they are unless there are more sources than may be broadcast.
     cuts = small(materialize(last.select(F.col("source").alias(source), F.col("epochs").alias(epochs), F.col("last").alias(edge)), "mix-cuts"))
-    base = docs.withColumns({key: random_key(F.col("doc_id")), size: n_words(F.col("text"))})
+    base = docs.withColumns({key: random_key(F.col("doc_id")), size: n_words(F.col("text")), lot: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) / (1 << 20)})
     joined = base.join(cuts, base["source"].cast("string").eqNullSafe(cuts[source]), "left")
-    inside = F.coalesce(F.struct(F.col(key), F.col(size)) <= F.col(edge), F.lit(False)).cast("int")
+    # Of equal rows that the cut divides, a share is drawn: they can't be told apart.
+    own, end = F.struct(F.col(key), F.col(size)), F.struct(F.col(edge)["key"], F.col(edge)["size"])
+    inside = F.coalesce((own < end) | ((own == end) & (F.col(lot) < F.col(edge)["share"])), F.lit(False)).cast("int")
     copies = F.when(F.col(size) > 0, F.col(epochs) + inside).otherwise(F.greatest(F.lit(1), F.col(epochs)))
     times = F.explode(F.sequence(F.lit(1), copies.cast("int")))
     return joined.filter(copies > 0).select(*[F.col(f"`{c}`") for c in docs.columns], times.alias(size)).drop(size)

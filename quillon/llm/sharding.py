@@ -10,7 +10,9 @@ the scan reduces each row to id, size, checksum and slot.
 
 Defined cases: a null text has size 1 and checksum 0.  A null ``doc_id`` hashes
 by its text's checksum, so that many of them spread.  Repeated rows stay
-separate rows, next to each other in one slot.  Empty tables give empty
+separate rows, next to each other in one slot; only where a slot gets far more
+rows than others, its records of over ``COPIES`` rows are spread over all
+slots, so that no slot is a hot group.  Empty tables give empty
 results.  Extra columns are kept by :func:`assign` and ignored elsewhere.
 """
 
@@ -19,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, new_path, unused
+from ._common import materialize, new_path, small, unused
 
 N_SLOTS = 8192
 N_SHARDS = 16
+#: Most rows of one record (doc_id and text) in a slot that has far more rows than the mean.
+COPIES = 1000
 #: Given to the reader, as the map of an empty table has no files.
 MAP = "vslot int, shard int, bytes long, n_rows long, version int"
 
@@ -50,6 +54,26 @@ def slot_bytes(slim: DataFrame) -> DataFrame:
     return slim.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def hot_records(slim: DataFrame, weights: DataFrame, n_slots: int, copies: int) -> DataFrame | None:
+    """(h_id, h_crc) of the records with over ``copies`` rows in slots of over ``copies`` rows and four times the mean; None if there are none."""
+    total = weights.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    heavy = weights.filter(F.col("n_rows") > copies + 4 * total / n_slots).select("vslot")  # at most a quarter of the slots
+    if not heavy.take(1):
+        return None
+    rows = slim.join(F.broadcast(heavy), "vslot").groupBy(F.col("doc_id").alias("h_id"), F.col("text_crc32").alias("h_crc")).agg(F.count(F.lit(1)).alias("n"))
+    found = materialize(rows.filter(F.col("n") > copies).select("h_id", "h_crc"), "hot-records")
+    return small(found) if found.take(1) else None
+
+
+def spread(rows: DataFrame, hot: DataFrame, n_slots: int, doc_id: str = "doc_id", crc: str = "text_crc32", vslot: str = "vslot") -> DataFrame:
+    """``rows`` with the slots of ``hot`` records drawn anew for each row, by the row's place in its file."""
+    names = unused(rows, "h_id", "h_crc", "h_any")
+    marked = hot.withColumnsRenamed(dict(zip(("h_id", "h_crc"), names[:2], strict=True))).withColumn(names[2], F.lit(True))
+    joined = rows.join(marked, rows[doc_id].eqNullSafe(marked[names[0]]) & (rows[crc] == marked[names[1]]), "left")
+    anew = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_slots)).cast("int")
+    return joined.withColumn(vslot, F.when(F.col(names[2]), anew).otherwise(F.col(vslot))).drop(*names)
+
+
 def _place(slots: Column, loads: Column) -> Column:
     """Greedy placement by one fold over slots in falling weight: array of (vslot, bytes, n_rows, shard).
 
@@ -96,9 +120,9 @@ def rebalance(current: DataFrame, n_shards: int, weights: DataFrame | None = Non
             F.coalesce("b", F.lit(0)).alias("bytes"), F.coalesce("n", F.lit(0)).alias("n_rows"),
         )
     run = Window.partitionBy("shard").orderBy(F.desc("bytes"), "vslot").rowsBetween(Window.unboundedPreceding, 0)
-    total = cur.agg(F.sum("bytes").alias("t"), F.max("version").alias("v"))
-    marked = cur.crossJoin(F.broadcast(total)).withColumn(  # one row
-        "keep", F.coalesce((F.col("shard") < n_shards) & (F.sum("bytes").over(run) <= F.ceil(F.col("t") / n_shards)), F.lit(False))
+    total, last = cur.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("version"), F.lit(0))).first()
+    marked = cur.withColumn("v", F.lit(last)).withColumn(
+        "keep", F.coalesce((F.col("shard") < n_shards) & (F.sum("bytes").over(run) <= -(-total // n_shards)), F.lit(False))
     )
     item = F.struct((-F.col("bytes")).alias("w"), F.col("vslot"), F.col("bytes"), F.col("n_rows"))
     loads = F.array(*[F.coalesce(F.sum(F.when(F.col("keep") & (F.col("shard") == k), F.col("bytes"))), F.lit(0)).cast("long") for k in range(n_shards)])
@@ -143,24 +167,45 @@ def place(slim: DataFrame, slot_map: DataFrame) -> DataFrame:
     )
 
 
-def shard_table(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
+def shard_table(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map_path: str | None = None, copies: int = COPIES) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot, vslot of every row; the map is stored as version 1 at ``map_path``."""
     spark = docs.sparkSession
     slim = materialize(weigh(docs, n_slots), "shard-slim")
+    weights = materialize(slot_bytes(slim), "slot-weights")
+    hot = hot_records(slim, weights, n_slots, copies)
+    if hot is not None:
+        slim = materialize(spread(slim, hot, n_slots), "shard-spread")
+        weights = slot_bytes(slim)
     path = map_path or new_path(spark, "slot-map")
-    save_map(build_map(slot_bytes(slim), n_shards), path)
+    save_map(build_map(weights, n_shards), path)
     return place(slim, load_map(spark, path))
 
 
-def assign(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
-    """``docs`` with a ``shard`` column: rows stay in place, only the map (bounded by ``n_slots``) is joined."""
+def assign(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map_path: str | None = None, copies: int = COPIES) -> DataFrame:
+    """``docs`` with a ``shard`` column: rows stay in place, only the map (bounded by ``n_slots``) is joined.
+
+    A text counts as in the module's defined cases; an empty table stays empty,
+    and a column that is called ``shard`` already makes the new one ``shard_``.
+    """
     spark = docs.sparkSession
     path = map_path or new_path(spark, "slot-map")
-    save_map(build_map(slot_bytes(weigh(docs, n_slots)), n_shards), path)
-    slot, shard = unused(docs, "vslot", "shard")
-    at = slot_of(F.col("doc_id"), sizes(F.col("text"))[1], n_slots)
-    small = load_map(spark, path).select(F.col("vslot").alias(slot), F.col("shard").alias(shard))
-    return docs.withColumn(slot, at).join(F.broadcast(small), slot).select(*[F.col(f"`{c}`") for c in docs.columns], shard)
+    slim = weigh(docs, n_slots)
+    weights = materialize(slot_bytes(slim), "slot-weights")
+    hot = hot_records(slim, weights, n_slots, copies)
+    slot, shard, crc = unused(docs, "vslot", "shard", "crc")
+    every = F.sequence(F.lit(0), F.lit(n_slots - 1))
+    if hot is not None:
+        # Rows are drawn to slots anew where they lie, so every slot needs a place in the map.
+        weights = slot_bytes(spread(slim, hot, n_slots))
+        all_slots = spark.range(1).select(F.explode(every).alias("vslot"))
+        weights = all_slots.join(F.broadcast(weights), "vslot", "left").na.fill(0)
+    save_map(build_map(weights, n_shards), path)
+    full = docs.withColumn(crc, sizes(F.col("text"))[1])
+    full = full.withColumn(slot, slot_of(F.col("doc_id"), F.col(crc), n_slots))
+    if hot is not None:
+        full = spread(full, hot, n_slots, crc=crc, vslot=slot)
+    where = load_map(spark, path).select(F.col("vslot").alias(slot), F.col("shard").alias(shard))
+    return full.join(F.broadcast(where), slot).select(*[F.col(f"`{c}`") for c in docs.columns], shard)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,20 @@ def test_equals_exact_prefix_sums(spark, seed):
     assert abs(words - sum(r[1] for r in got)) <= len(names) + 1
 
 
+def test_one_id_on_a_third_of_all_rows(spark):
+    """The cut of its source falls among rows that can't be told apart."""
+    rows = [(5, "a b c", "a")] * 300 + [(None, "x y", "b")] * 200 + [(i, "w " * (i % 9), "abc"[i % 3]) for i in range(400, 800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in M.mix_table(docs).collect())
+    assert got == mixture(rows)
+    assert len({r[4] for r in got if r[0] == 5}) > 1
+    words = {}
+    for r in M.mix(docs).collect():
+        words[r["source"]] = words.get(r["source"], 0) + len(WORD.findall(r["text"]))
+    target = {r["source"]: r["target"] for r in M.mix_table(docs).select("source", "target").distinct().collect()}
+    assert all(abs(words[s] - t) <= 0.1 * t for s, t in target.items())
+
+
 def test_mixed_corpus_follows_the_plan(spark):
     rng = np.random.default_rng(9)
     rows = [(i, " ".join(["w"] * int(rng.integers(1, 20))), "abc"[min(2, i // 150)]) for i in range(400)] + [(500, None, "a"), (501, "", None)]

@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon.llm import decontaminate, quality
@@ -82,8 +83,6 @@ def test_mixing(steps):
 def test_sharding(spark, steps):
     rows = steps["sharding"][1]
     assert ids(rows) == ids(steps["mixing"][1])
-    from pyspark.sql import functions as F
-
     from quillon.llm import sharding
 
     slots = {r["doc_id"]: r["s"] for r in table(spark, SF, "documents").select("doc_id", sharding.slot_of(F.col("doc_id"), F.lit(0)).alias("s")).collect()}
@@ -98,3 +97,36 @@ def test_sharding(spark, steps):
 def test_run_gives_the_last_stage(spark, steps):
     out = corpus_pipeline.run(spark, SF)
     assert sorted(map(str, out.select("doc_id", "shard").collect())) == sorted(str(r) for r in [type(x)(doc_id=x["doc_id"], shard=x["shard"]) for x in steps["sharding"][1]])
+
+
+def test_nothing_but_the_result_is_left(spark):
+    import os
+
+    root = f"{spark.conf.get('spark.checkpoint.dir')}/quillon"
+    before = set(os.listdir(root))
+    out = corpus_pipeline.run(spark, SF)
+    assert {x.rpartition("-")[0] for x in set(os.listdir(root)) - before} == {"sharding"} and out.count() > 0
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_on_odd_tables(spark, tmp_path, name, stage):
+    """Nulls in any column, empty, blank and long texts, repeated rows, extra columns with clashing names, empty tables."""
+    base = table(spark, SF, "documents").limit(20)
+    for t in ("labels", "benchmark"):
+        table(spark, SF, t).write.parquet(f"{tmp_path}/{t}.parquet")
+    odd = [(1, None), (None, None), (None, "no id here, but five words and more"), (2, ""), (2, " \n"), (3, "one"), (3, "one"), (4, "é" * 700_000), (5, "long words " * 60_000)]
+    rows = spark.createDataFrame(odd, "doc_id long, text string")
+    docs = base.unionByName(rows, allowMissingColumns=True)
+    extra = {c: F.lit(1) for c in ("fp", "Shard", "m_key", "bucket", "root", "component_id", "quality_score", "vslot", "size")}
+    docs = materialize(docs.withColumns(extra), "odd")
+    out = stage(spark, docs, str(tmp_path))
+    rows = out.collect()
+    assert out.columns[: len(docs.columns)] == docs.columns and len(out.columns) - len(docs.columns) == (name == "sharding")
+    texts = [r["text"] for r in rows]
+    if name == "near_dedup":
+        assert texts.count("one") == 1 and sum(not (t or "").strip() for t in texts) == 1
+    elif name in ("decontaminate", "sharding"):
+        assert all(texts.count(t) == [x for _, x in odd].count(t) for _, t in odd)
+    else:
+        assert rows
+    assert stage(spark, spark.createDataFrame([], docs.schema), str(tmp_path)).count() == 0

@@ -57,6 +57,21 @@ def test_rebalancing_moves_few_slots(spark, tmp_path):
     assert {r["shard"] for r in fewer} <= {0, 1, 2} and len(fewer) == 200
 
 
+def test_one_record_on_a_third_of_all_rows(spark):
+    docs = spark.range(9000).select(F.when(F.col("id") < 3000, 7).when(F.col("id") < 3600, None).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 3600, "same text").otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    docs = docs.repartition(5).withColumns({"h_id": F.lit(1), "vslot": F.lit(2), "crc": F.lit(3)})
+    out = S.shard_table(docs, 4, 512, copies=50)
+    assert out.groupBy("vslot").count().agg(F.max("count")).first()[0] <= 60
+    loads = {r["shard"]: (r["rows"], r["bytes"], r["top"]) for r in out.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), F.max("slot").alias("top")).collect()}
+    assert sum(n for n, *_ in loads.values()) == 9000 and all(top == n - 1 for n, _, top in loads.values())
+    sizes = [b for _, b, _ in loads.values()]
+    assert max(sizes) - min(sizes) <= 600
+    kept = S.assign(docs, 4, 512, copies=50)
+    assert kept.columns == [*docs.columns, "shard"]
+    own = [r["bytes"] for r in kept.groupBy("shard").agg(F.sum(F.length("text")).alias("bytes")).collect()]
+    assert kept.count() == 9000 and len(own) == 4 and max(own) - min(own) <= 0.02 * sum(own)
+
+
 def test_defined_cases(spark):
     rows = [(1, None), (2, ""), (None, "a"), (None, "b"), (3, "é" * 100000), (3, "é" * 100000), (3, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"shard": F.lit("s"), "vslot": F.lit("v")})
