@@ -46,10 +46,10 @@ def own_numbers(df: DataFrame, key: str, name: str) -> DataFrame:
     """``df``, which should be materialised, with the hash ``name`` changed where different ``key`` share it, so that each has its own."""
     attempt = 0
     while True:
-        shared = df.groupBy(name).agg(F.count(F.lit(1)).alias("k"), F.min(key).alias("first")).filter("k > 1").select(name, "first")
-        shared = materialize(shared, "clashes")
+        shared = materialize(df.groupBy(name).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(name), "clashes")
         if not shared.take(1):
             return df
+        shared = df.join(F.broadcast(shared), name).groupBy(name).agg(F.min(key).alias("first"))
         attempt += 1
         joined = df.join(F.broadcast(shared), name, "left")
         other = F.when(F.col("first").isNotNull() & (F.col(key) != F.col("first")), F.xxhash64(F.lit(attempt), key)).otherwise(F.col(name))

@@ -48,14 +48,19 @@ def _hash(line: Column, attempt: int = 0) -> Column:
     return F.xxhash64(F.lit(attempt), line) if attempt else F.xxhash64(line)
 
 
-def row_key(text: Column) -> Column:
-    """What tells rows of one doc_id, or without any, apart."""
-    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+def ids_tell(docs: DataFrame) -> bool:
+    """Whether doc_id alone tells the rows apart."""
+    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 or doc_id is null").take(1)
 
 
-def occurrences(docs: DataFrame, moved: DataFrame | None = None) -> DataFrame:
+def row_key(text: Column, told: bool) -> Column:
+    """What tells rows of one doc_id, or without any, apart; the same for all if there are none such."""
+    return F.lit("") if told else F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def occurrences(docs: DataFrame, told: bool, moved: DataFrame | None = None) -> DataFrame:
     """(doc_id, row, pos, line, id) of every line that is not blank; ``moved`` has the ids of lines that may not have their hash."""
-    keyed = docs.select("doc_id", row_key(F.col("text")).alias("row"), F.split(F.col("text").cast("string"), "\n").alias("lines"))
+    keyed = docs.select("doc_id", row_key(F.col("text"), told).alias("row"), F.split(F.col("text").cast("string"), "\n").alias("lines"))
     parts = keyed.select("doc_id", "row", F.posexplode("lines").alias("pos", "raw"))
     found = parts.select("doc_id", "row", "pos", F.trim("raw").alias("line")).filter("line <> ''").withColumn("id", _hash(F.col("line")))
     if moved is None:
@@ -67,13 +72,13 @@ def occurrences(docs: DataFrame, moved: DataFrame | None = None) -> DataFrame:
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """((id, line, n) of all different lines with an id of their own, the (line, id) whose id is not their hash)."""
-    lines = materialize(occurrences(docs).groupBy("id", "line").agg(F.count(F.lit(1)).alias("n")), "lines")
+    lines = materialize(occurrences(docs, True).groupBy("id", "line").agg(F.count(F.lit(1)).alias("n")), "lines")
     moved, attempt = None, 0
     while True:
-        shared = lines.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min("line").alias("first")).filter("k > 1").select("id", "first")
-        shared = materialize(shared, "line-clashes")
+        shared = materialize(lines.groupBy("id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("id"), "line-clashes")
         if not shared.take(1):
             return lines, moved
+        shared = lines.join(F.broadcast(shared), "id").groupBy("id").agg(F.min("line").alias("first"))
         attempt += 1
         # About n**2 / 2**65 pairs: none up to billions of lines, some hundreds among 1e11.
         clash = lines.join(F.broadcast(shared), "id", "left")
@@ -92,26 +97,28 @@ def _key(line: Column, size: Column, a: Column, b: Column, seed: int = 0) -> Col
 
 
 def first_keys(lines: DataFrame) -> DataFrame:
-    """(id, n, long, a, b, key): a row for each key of a line; ``n`` is the shorter length, ``long`` whether the line has one more."""
+    """(id, n, long, a, b, key, key2): a row for each key of a line; ``n`` is the shorter length, ``long`` whether the line has one more."""
     own = F.length("line")
     specs = []
     for long in (0, 1):
         n = own - long
         head = F.floor(n / 2).cast("int")
         zero = F.lit(0)
-        specs += [F.struct(n.alias("n"), F.lit(long).alias("long"), a.alias("a"), b.alias("b"), _key(F.col("line"), n, a, b).alias("key")) for a, b in ((head, zero), (zero, n - head))]
+        specs += [F.struct(n.alias("n"), F.lit(long).alias("long"), a.alias("a"), b.alias("b"), _key(F.col("line"), n, a, b).alias("key"), F.lit(None).cast("long").alias("key2")) for a, b in ((head, zero), (zero, n - head))]
     rows = lines.select("id", F.explode(F.array(*specs)).alias("k")).select("id", "k.*")
     return rows.filter(F.col("n") >= LEAST_CHARS)
 
 
 def _halved(rows: DataFrame) -> DataFrame:
-    """Keys of rows (with their line) that fix half of what is left as well."""
+    """Keys of rows (with their line) that fix half of what is left as well; ``key2`` is a second hash where at most one character is left then."""
     left = F.col("n") - F.col("a") - F.col("b")
     half = F.floor(left / 2).cast("int")
     # Of one character left, a longer line has two, and the shorter one's is the first or the last of them.
     head, tail = F.greatest(half, F.lit(1)), F.greatest(left - half, F.lit(1))
     pairs = ((F.col("a") + head, F.col("b")), (F.col("a"), F.col("b") + tail))
-    specs = [F.struct(F.col("n"), F.col("long"), a.alias("a"), b.alias("b"), _key(F.col("line"), F.col("n"), a, b).alias("key")) for a, b in pairs]
+    n, line = F.col("n"), F.col("line")
+    check = lambda a, b: F.when(n - a - b <= 1, _key(line, n, a, b, 1)).alias("key2")
+    specs = [F.struct(n, F.col("long"), a.alias("a"), b.alias("b"), _key(line, n, a, b).alias("key"), check(a, b)) for a, b in pairs]
     return rows.select("id", F.explode(F.array(*specs)).alias("k")).select("id", "k.*")
 
 
@@ -131,8 +138,8 @@ def candidates(lines: DataFrame, bucket: int = BUCKET) -> tuple[DataFrame, DataF
         # With at most one character left, lines of a key and length differ in it alone: links without a check.
         hot = kept.filter(F.col("rows") > bucket)
         left = F.col("n") - F.col("a") - F.col("b")
-        ended = hot.filter((left <= 1) & (F.col("long") == 0) | (left == 0)).join(lines.select("id", "line"), "id")
-        ended = materialize(ended.select("id", "key", _key(F.col("line"), F.col("n"), F.col("a"), F.col("b"), 1).alias("key2")), "line-ended")
+        ended = hot.filter((left <= 1) & (F.col("long") == 0) | (left == 0))
+        ended = materialize(ended.select("id", "key", "key2"), "line-ended")
         low = small(materialize(ended.groupBy("key", "key2").agg(F.min("id").alias("low")), "line-lows"))
         star = ended.join(low, ["key", "key2"]).select(F.col("id").alias("a"), F.col("low").alias("b"))
         sure = star if sure is None else sure.unionByName(star)
@@ -242,23 +249,25 @@ def classes(lines: DataFrame) -> DataFrame:
     return _graph.components(linked.unionByName(sure))
 
 
-def dropped(docs: DataFrame) -> DataFrame:
+def dropped(docs: DataFrame, told: bool | None = None) -> DataFrame:
     """(doc_id, row, pos, class_id) of every line that repeats an earlier one of another row, or of its own at another place."""
+    told = ids_tell(docs) if told is None else told
     lines, moved = numbered(docs)
     roots = materialize(classes(lines), "line-roots")
     alone = lines.filter("n > 1").select("id").join(roots.select(F.col("node").alias("id")), "id", "left_anti").select("id", F.col("id").alias("class_id"))
     repeated = materialize(roots.select(F.col("node").alias("id"), F.col("root").alias("class_id")).unionByName(alone), "line-classes")
-    found = materialize(occurrences(docs, moved).select("doc_id", "row", "pos", "id").join(small(repeated), "id").select("doc_id", "row", "pos", "class_id"), "line-repeats")
+    found = occurrences(docs, told, moved).select("doc_id", "row", "pos", "id").join(small(repeated), "id")
+    found = materialize(found.select("doc_id", "row", "pos", "class_id"), "line-repeats")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("row"), F.col("pos"))
     # Counted and broadcast if few, so that a class of very many lines stays spread.
     first = small(materialize(found.groupBy("class_id").agg(F.min(place).alias("first")), "line-first"))
-    later = found.join(first, "class_id").filter(~place.eqNullSafe(F.col("first")))
-    return later.select("doc_id", "row", "pos", "class_id").distinct()
+    later = found.join(first, "class_id").filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "row", "pos", "class_id")
+    return later if told else later.distinct()
 
 
-def _lists(docs: DataFrame) -> DataFrame:
+def _lists(docs: DataFrame, told: bool) -> DataFrame:
     """(g_id, g_row, dropped): the sorted numbers of the dropped lines of each row that has any."""
-    gone = dropped(docs).groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    gone = dropped(docs, told).groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     return gone.withColumnsRenamed({"doc_id": "g_id", "row": "g_row"})
 
 
@@ -272,11 +281,18 @@ def _copies(rows: DataFrame, doc_id: str, row: str, uid: str) -> DataFrame | Non
 def dedup_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped (line numbers from 0, ascending) of every row."""
     parts = F.split(F.col("text").cast("string"), "\n")
-    solid = F.filter(F.transform(parts, lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
     none = F.array().cast("array<int>")
-    slim = docs.select("doc_id", row_key(F.col("text")).alias("row"), F.coalesce(solid, none).alias("lines"), F.monotonically_increasing_id().alias("uid"))
+    told = ids_tell(docs)
+    if told:
+        n = F.coalesce(F.size(F.filter(parts, lambda x: F.trim(x) != "")), F.lit(0))
+        slim = docs.select("doc_id", F.greatest(n, F.lit(0)).cast("long").alias("n_lines"))
+        gone = _lists(docs, told)
+        out = slim.join(gone, slim["doc_id"] == gone["g_id"], "left").select("doc_id", "n_lines", F.coalesce("dropped", none).alias("dropped"))
+        return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped")
+    solid = F.filter(F.transform(parts, lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
+    slim = docs.select("doc_id", row_key(F.col("text"), told).alias("row"), F.coalesce(solid, none).alias("lines"), F.monotonically_increasing_id().alias("uid"))
     slim = materialize(slim, "line-rows")
-    gone = _lists(docs)
+    gone = _lists(docs, told)
     out = slim.join(gone, slim["doc_id"].eqNullSafe(gone["g_id"]) & (slim["row"] == gone["g_row"]), "left")
     drops = F.coalesce("dropped", none)
     copies = _copies(slim, "doc_id", "row", "uid")
@@ -290,9 +306,10 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated lines taken out of the texts; other lines, and all rows, stay as they are."""
     row, uid, gid, grow, drops, cid, crow, first = unused(docs, "row", "uid", "g_id", "g_row", "dropped", "c_id", "c_row", "first")
-    gone = _lists(docs).withColumnsRenamed({"g_id": gid, "g_row": grow, "dropped": drops})
-    keyed = docs.withColumn(row, row_key(F.col("text")))
-    copies = _copies(docs.select("doc_id", row_key(F.col("text")).alias("row"), F.lit(0).alias("uid")), "doc_id", "row", "uid")
+    told = ids_tell(docs)
+    gone = _lists(docs, told).withColumnsRenamed({"g_id": gid, "g_row": grow, "dropped": drops})
+    keyed = docs.withColumn(row, row_key(F.col("text"), told))
+    copies = None if told else _copies(docs.select("doc_id", row_key(F.col("text"), told).alias("row"), F.lit(0).alias("uid")), "doc_id", "row", "uid")
     columns = [F.col(f"`{c}`") for c in docs.columns]
 
     def cleaned(rows: DataFrame, all_of_it: Column) -> DataFrame:
