@@ -95,14 +95,24 @@ def entity_links(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def fuzzy_links(mentions: DataFrame, nodes: DataFrame, least: float = 0.7) -> DataFrame:
-    """(text, uri, similarity): the first node (by ord) whose words overlap at least ``least``; they meet on a shared word.
+    """(text, uri, similarity): the first node (by ord) whose words overlap at least ``least``.
 
     2 * (words of the mention, repeats counted, that the node has) / (words of both).
+    Of n words at least ``least * (n + 1) / 2`` must be in the node, so at least
+    one of the rarest others plus one is: mentions meet nodes on those alone,
+    and words that many nodes share are probed only where nothing rarer is left.
     """
     own = mentions.select("text").distinct().withColumn("a", F.split("text", " "))
-    far = nodes.select("uri", "ord", F.split("text", " ").alias("b"))
-    words = own.select("text", "a", F.explode(F.array_distinct("a")).alias("word"))
-    pairs = words.join(far.select("uri", "ord", "b", F.explode(F.array_distinct("b")).alias("word")), "word").select("text", "a", "uri", "ord", "b").distinct()
+    far = nodes.select("uri", "ord", F.split("text", " ").alias("b")).select("uri", "ord", "b", F.explode(F.array_distinct("b")).alias("word"))
+    often = far.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    words = own.select("text", "a", F.explode("a").alias("word")).join(often, "word", "left").groupBy("text", "a")
+    rare = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")))
+    # A little is taken off so that rounding never makes the prefix too short.
+    needed = F.ceil(F.lit(least / 2) * (F.size("a") + 1) - F.lit(1e-9))
+    probes = words.agg(rare.alias("r")).select("text", "a", F.explode(F.array_distinct(F.slice("r", F.lit(1), F.greatest(F.size("a") - needed + 1, F.lit(0)).cast("int")))).alias("p"))
+    probes = probes.filter("p.df > 0").select("text", "a", F.col("p.word").alias("word"))
+    short = F.size("b") <= (2 / least - 1) * F.size("a") + 1e-9
+    pairs = probes.join(far, "word").filter(short).select("text", "a", "uri", "ord", "b").distinct()
     hit = F.size(F.filter("a", lambda w: F.array_contains("b", w)))
     scored = pairs.withColumn("similarity", 2.0 * hit / (F.size("a") + F.size("b"))).filter(F.col("similarity") >= least)
     return scored.groupBy("text").agg(F.min_by("uri", "ord").alias("uri"), F.min_by("similarity", "ord").alias("similarity"))

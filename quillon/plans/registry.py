@@ -13,7 +13,7 @@ from quillon.functions import text as T
 from quillon.operators import attributes as A
 from quillon.operators import coherence as C
 from quillon.operators import content as V
-from quillon.operators import evaluation, graph, selection
+from quillon.operators import consistency, evaluation, graph, selection
 from quillon.streaming import streams
 
 QUERIES: dict = {}
@@ -537,16 +537,96 @@ def propagated(spark, sf_dir):
     return graph.propagate(rows, edges_of(spark, sf_dir))
 
 
-@query()
+_CLAUSE = graph.CLAUSE.replace("'", "''")
+TRIPLES = f"""{T.SQL_PREP},
+parts AS (SELECT doc_id, generate_subscripts(s, 1)::INT - 1 AS sent, unnest(s) AS x FROM prep),
+matched AS (SELECT doc_id, sent, regexp_extract(x, '{_CLAUSE}', ['a', 'n', 'p', 'o']) AS m FROM parts WHERE regexp_matches(x, '{_CLAUSE}')),
+named AS (SELECT doc_id, sent, regexp_replace(lower(m.a), '^(a|an|the) ', '') AS subject, CASE WHEN m.n <> '' THEN 'not ' ELSE '' END || lower(m.p) AS predicate,
+  regexp_replace(lower(m.o), '^(a|an|the) ', '') AS object FROM matched),
+said AS (SELECT * FROM named WHERE trim(subject) <> '' AND trim(predicate) <> '' AND trim(object) <> '' AND lower(subject) <> lower(object))"""
+
+
+@query(f"WITH {TRIPLES} SELECT * FROM said")
 def triples(spark, sf_dir):
     return graph.triples(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(f"""WITH {TRIPLES}, wrong AS (SELECT a.doc_id, a.sent, a.subject, a.predicate, a.object, min(b.sent) AS at, arg_min(b.predicate, b.sent) AS other
+  FROM said a JOIN said b ON a.doc_id = b.doc_id AND a.subject = b.subject AND a.object = b.object AND b.sent < a.sent AND (a.predicate = 'not ' || b.predicate OR b.predicate = 'not ' || a.predicate) GROUP BY ALL),
+told AS (SELECT doc_id, count(*) AS n, string_agg('''' || concat_ws(' ', subject, predicate, object) || ''' contradicts ''' || concat_ws(' ', subject, other, object) || '''', '; ' ORDER BY sent) AS detail FROM wrong GROUP BY doc_id),
+every AS (SELECT DISTINCT doc_id FROM documents)
+SELECT doc_id AS "essayId", 0.0::DOUBLE AS "consistencyErrors", coalesce(n, 0)::DOUBLE AS "semanticErrors", coalesce(n, 0)::DOUBLE AS sum,
+  CASE WHEN n > 0 THEN 'The text contradicts itself in ' || n || ' place(s).' ELSE '' END AS feedback, coalesce(detail, '') AS feedback_detail FROM every LEFT JOIN told USING (doc_id)""")
 def feedback(spark, sf_dir):
     return graph.check_consistency(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("""WITH m AS (SELECT DISTINCT p_name AS text, string_split(p_name, ' ') AS a FROM part), n AS (SELECT 'part' || p_partkey AS uri, p_partkey AS ord, string_split(lower(p_name || ' ' || p_type), ' ') AS b FROM part),
+k AS (SELECT text, uri, ord, 2.0::DOUBLE * len(list_filter(a, lambda w: list_contains(b, w))) / (len(a) + len(b)) AS similarity FROM m, n)
+SELECT text, arg_min(uri, ord) AS uri, round(arg_min(similarity, ord), 6) AS similarity FROM k WHERE similarity >= 0.7 GROUP BY text""")
+def near_nodes(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    nodes = part.select(F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("uri"), F.col("p_partkey").alias("ord"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("text"))
+    return rounded(graph.fuzzy_links(part.select(F.col("p_name").alias("text")), nodes), "text", "uri")
+
+
+BORDERS = "d AS (SELECT 'region' || r_regionkey AS a, 'region' || (r_regionkey + 1) AS b FROM region)"
+
+
+def borders_of(spark, sf_dir) -> DataFrame:
+    """Regions with neighbouring keys are disjoint."""
+    region = lambda k: F.concat(F.lit("region"), F.col("r_regionkey") + k)
+    return table(spark, sf_dir, "region").select(region(0).alias("a"), region(1).alias("b"))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {BORDERS}, c AS (SELECT child, parent FROM e UNION SELECT c.child, e.parent FROM c JOIN e ON c.parent = e.child),
+t AS (SELECT DISTINCT o_custkey AS doc_id, 'buyer' AS entity, 'nation' || (o_orderkey % 25) AS class FROM orders),
+u AS (SELECT doc_id, entity, class AS k FROM t UNION SELECT doc_id, entity, parent FROM t JOIN c ON c.child = t.class)
+SELECT DISTINCT x.doc_id, x.entity, d.a, d.b FROM u x JOIN d ON x.k = d.a JOIN u y ON y.doc_id = x.doc_id AND y.entity = x.entity AND y.k = d.b""")
+def class_conflicts(spark, sf_dir):
+    types = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.lit("buyer").alias("entity"), F.concat(F.lit("nation"), F.col("o_orderkey") % 25).alias("class"))
+    return graph.class_conflicts(types.distinct(), edges_of(spark, sf_dir), borders_of(spark, sf_dir))
+
+
+TRADES = """t AS (SELECT o_custkey AS doc_id, o_orderkey::INT AS sent, 'buyer' AS subject, CASE o_orderkey % 3 WHEN 0 THEN 'likes' WHEN 1 THEN 'not likes' ELSE 'sees' END AS predicate,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'region' || (o_orderkey % 5) ELSE 'nation' || (o_orderkey % 25) END AS object FROM orders)"""
+
+
+def trades_of(spark, sf_dir) -> DataFrame:
+    """Orders as statements of liking, disliking or seeing a nation or a region."""
+    key = F.col("o_orderkey")
+    what = F.when(key % 4 == 0, F.concat(F.lit("region"), key % 5)).otherwise(F.concat(F.lit("nation"), key % 25))
+    said = F.when(key % 3 == 0, "likes").when(key % 3 == 1, "not likes").otherwise("sees")
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), key.cast("int").alias("sent"), F.lit("buyer").alias("subject"), said.alias("predicate"), what.alias("object"))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {TRADES}, c AS (SELECT child, parent FROM e UNION SELECT c.child, e.parent FROM c JOIN e ON c.parent = e.child),
+n AS (SELECT child AS a, parent AS b FROM c UNION SELECT parent, child FROM c UNION SELECT object, object FROM t),
+w AS (SELECT x.doc_id, x.sent, x.subject, x.predicate, x.object, min({{'s': y.sent, 'p': y.predicate, 'o': y.object}}) AS w
+  FROM t x JOIN n ON n.a = x.object JOIN t y ON y.doc_id = x.doc_id AND y.subject = x.subject AND y.object = n.b AND y.sent < x.sent
+  WHERE (x.predicate, y.predicate) IN (('likes', 'not likes'), ('not likes', 'likes')) GROUP BY ALL)
+SELECT doc_id, sent, subject, predicate, object, w.s AS with_sent, w.p AS with_predicate, w.o AS with_object FROM w""")
+def inherited_conflicts(spark, sf_dir):
+    rows = trades_of(spark, sf_dir)
+    return graph.inherited_conflicts(rows, graph.negations(rows), edges_of(spark, sf_dir))
+
+
+@query(f"""WITH {TRADES} SELECT q.doc_id, q.subject, 'likes' AS predicate, q.object, min(t.sent) AS sent FROM (SELECT DISTINCT doc_id, subject, object FROM t) q
+LEFT JOIN t ON t.doc_id = q.doc_id AND t.subject = q.subject AND t.object = q.object AND t.predicate = 'likes' GROUP BY ALL""")
+def statement_index(spark, sf_dir):
+    rows = trades_of(spark, sf_dir)
+    return consistency.statement_index(rows.withColumn("predicate", F.lit("likes")), rows)
+
+
+@query()
+def guarded_insertion(spark, sf_dir):
+    """Orders as statements, each with the addition of a class of the buyer."""
+    rows = trades_of(spark, sf_dir)
+    said = rows.withColumns({"step": F.lit(1), "kind": F.lit("triple")})
+    added = rows.withColumns({"step": F.lit(0), "kind": F.lit("axiom"), "predicate": F.lit("type")})
+    return consistency.guarded(said.unionByName(added), edges_of(spark, sf_dir), borders_of(spark, sf_dir), graph.negations(rows))
+
+
 # --- event time ---------------------------------------------------------------------------------
 
 
