@@ -121,6 +121,11 @@ def best(scores: DataFrame, k: int = 65, value: str = "f") -> DataFrame:
     return scores.orderBy(F.desc_nulls_last(value), "name").limit(k)
 
 
+def mean_ranks(ranks: DataFrame) -> DataFrame:
+    """(name, rank): the mean over folds of :func:`average_ranks`, from the best on."""
+    return ranks.groupBy("name").agg(F.avg("rank").alias("rank")).orderBy("rank", "name")
+
+
 def average_ranks(weights: DataFrame, value: str = "weight", by: str = "fold") -> DataFrame:
     """(fold, name, rank): 1 for the largest weight, ties share the mean of their ranks. One row a measure and fold."""
     w = Window.partitionBy(by)

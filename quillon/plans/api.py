@@ -40,12 +40,15 @@ def content_measures(essays: DataFrame, grades: DataFrame | None = None, graded:
         if graded is not None:
             rows = rows.unionByName(graded.select("doc_id", "text"))
         if source is not None:
-            key = F.lit(-1).cast(dict(rows.dtypes)["doc_id"])
-            rows = rows.unionByName(source.limit(1).select(key.alias("doc_id"), "text"))
+            # A number below all ids stands for the source text.
+            kind, key = dict(rows.dtypes)["doc_id"], -1
+            if kind != "string":
+                key = min(key, (rows.agg(F.min("doc_id")).first()[0] or 0) - 1)
+            rows = rows.unionByName(source.limit(1).select(F.lit(key).cast(kind).alias("doc_id"), "text"))
         weights = V.tfidf(V.terms(rows)).cache()
         if source is not None:
-            out = out.join(V.cosine_with(weights, -1).withColumnRenamed("cosine", "cosineWithSourceText"), "doc_id", "left")
-        own = weights.filter(F.col("doc_id") != -1) if source is not None else weights
+            out = out.join(V.cosine_with(weights, key).withColumnRenamed("cosine", "cosineWithSourceText"), "doc_id", "left")
+        own = weights.filter(F.col("doc_id") != key) if source is not None else weights
         if "scoreCosineSimilarityMax" in similar:
             out = out.join(V.nearest(own, grades).select("doc_id", "scoreCosineSimilarityMax"), "doc_id", "left")
         if "cosineTopEssaySimilarityAverage" in similar:
@@ -79,6 +82,14 @@ def attributes(essays: DataFrame, groups: tuple[str, ...] = GROUPS, grades: Data
     return out.select("doc_id", *columns)
 
 
+def table_attributes(essays: DataFrame, key: str, text: str, **options) -> DataFrame:
+    """:func:`attributes` of a table as read: the grade is the column that :func:`evaluation.detect_grade` finds, if it finds one."""
+    own = essays.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    grade = evaluation.detect_grade(essays, key)
+    grades = essays.select(F.col(key).alias("doc_id"), F.col(grade).alias("grade")) if grade else None
+    return attributes(own, grades=grades, **options)
+
+
 def score_predictions(df: DataFrame, true: str = "score", predicted: str | None = None, fold: str = "fold") -> DataFrame:
     return evaluation.score_predictions(df, true, evaluation.choose_columns(df, predicted), fold)
 
@@ -102,6 +113,6 @@ def register_sql(spark: SparkSession) -> list[str]:
 
 
 def lemmatized(token_array: Column, lemmas: dict[str, str]) -> Column:
-    """Tokens replaced by a table of lemmas (a plug-in; without one tokens stay)."""
+    """Tokens replaced by a table of lemmas (a plug-in; without one tokens stay); the table becomes part of the plan, so it must be short."""
     table = F.create_map(*[F.lit(x) for pair in sorted(lemmas.items()) for x in pair])
     return F.transform(token_array, lambda t: F.coalesce(F.element_at(table, t), t))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -46,13 +46,20 @@ def word_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.lower(F.trim("value")).alias("word")).filter("word <> ''").distinct()
 
 
+def _unescaped(literal: Column) -> Column:
+    """A literal without its escapes of backslashes, quotes and line ends."""
+    out = F.replace(literal, F.lit("\\\\"), F.lit("\x01"))
+    out = F.replace(F.replace(out, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
+    return F.replace(out, F.lit("\x01"), F.lit("\\"))
+
+
 def triples_file(spark: SparkSession, path: str) -> DataFrame:
     """(s, p, o, kind) of N-Triples; ``kind`` tells URI objects from literals. Comments and blank nodes go."""
     m = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)")\S*\s*\.\s*$'
     rows = spark.read.text(path).filter(F.col("value").rlike(m))
     part = lambda i: F.regexp_extract("value", m, i)
     uri = part(3) != ""
-    return rows.select(part(1).alias("s"), part(2).alias("p"), F.when(uri, part(3)).otherwise(part(4)).alias("o"), F.when(uri, "uri").otherwise("literal").alias("kind"))
+    return rows.select(part(1).alias("s"), part(2).alias("p"), F.when(uri, part(3)).otherwise(_unescaped(part(4))).alias("o"), F.when(uri, "uri").otherwise("literal").alias("kind"))
 
 
 def ontology_xml(spark: SparkSession, path: str, row_tag: str = "owl:Class") -> DataFrame:
@@ -74,6 +81,13 @@ def ontology_names(triples: DataFrame, comments: bool = False) -> DataFrame:
     return both.withColumn("kind", F.lit("SubObj")).unionByName(rows.select(F.col("p").alias("uri")).withColumn("kind", F.lit("Pred"))).distinct().select("kind", "uri")
 
 
+def write_ontology(triples: DataFrame, path: str) -> None:
+    """Triples (s, p, o, kind) as N-Triples, one file a partition; :func:`triples_file` reads them back."""
+    literal = F.regexp_replace(F.regexp_replace("o", r"([\\\"])", r"\\$1"), r"\n", r"\\n")
+    last = F.when(F.col("kind") == "uri", F.concat(F.lit("<"), F.col("o"), F.lit(">"))).otherwise(F.concat(F.lit('"'), literal, F.lit('"')))
+    triples.select(F.concat(F.lit("<"), F.col("s"), F.lit("> <"), F.col("p"), F.lit("> "), last, F.lit(" .")).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_measures(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

@@ -67,3 +67,37 @@ def test_agreement_by_event_time(spark, tmp_path):
     # The watermark closes the first hour only.
     assert [(r["n"], r["agreement"]) for r in spark.table("agreed").collect()] == [(2, 0.5)]
     assert streams.windowed_agreement(rows).count() == 2
+
+
+def test_the_source_text_takes_no_id_of_an_essay(spark):
+    docs = spark.createDataFrame([(-1, "Cats chase mice."), (-2, "Birds sing songs.")], "doc_id long, text string")
+    source = spark.createDataFrame([("Cats chase mice.",)], "text string")
+    rows = {r["doc_id"]: r["cosineWithSourceText"] for r in api.content_measures(docs, source=source, names=("cosineWithSourceText",)).collect()}
+    assert round(rows[-1], 9) == 1 and rows[-2] == 0
+
+
+def test_ontology_comes_back(spark, tmp_path):
+    rows = [("http://x#A", "http://x#p", "http://x#B", "uri"), ("http://x#A", "http://x#c", "one \"word\"\nand a \\n", "literal")]
+    tables.write_ontology(spark.createDataFrame(rows, "s string, p string, o string, kind string"), str(tmp_path / "o"))
+    assert {tuple(r) for r in tables.triples_file(spark, str(tmp_path / "o")).collect()} == set(rows)
+
+
+def test_lemmas_of_sentences(spark):
+    from quillon.functions import text as T
+
+    lemmas = F.create_map(F.lit("dogs"), F.lit("dog"), F.lit("bark"), F.lit("bark"))
+    row = spark.range(1).select(T.lemmatized_sentences(F.array(F.lit("dogs barking."), F.lit("No.")), lemmas).alias("a"), T.lemmatized_sentences(F.array(F.lit("dogs barking.")), lemmas, strip_ing=True).alias("b")).first()
+    assert row["a"] == ["dog barking ."] and row["b"] == ["dog bark ."]
+
+
+def test_grade_of_a_table_is_found(spark):
+    table = spark.createDataFrame([(1, "A b c.", 3.5, None), (2, "D e.", 4.0, 5.0)], "id int, essay string, grade double, more double")
+    out = api.table_attributes(table, "id", "essay", groups=("BasicMeasures",))
+    assert {r["doc_id"]: r["score"] for r in out.collect()} == {1: 3.5, 2: 4.0} and len(out.columns) == 16
+
+
+def test_mean_ranks_over_folds(spark):
+    from quillon.operators import selection
+
+    rows = [(0, "a", 1.0), (1, "a", 4.0), (0, "b", 2.0), (1, "b", 1.0)]
+    assert [tuple(r) for r in selection.mean_ranks(spark.createDataFrame(rows, "fold int, name string, rank double")).collect()] == [("b", 1.5), ("a", 2.5)]
