@@ -15,7 +15,7 @@ is about 2**(BITS + 1) float32 whatever the input.
 Training takes at most ``TRAIN_ROWS`` labelled rows, the first in the order of
 a hash of their id, with their whole texts; of a text with more than
 ``TRAIN_FEATURES`` different features it takes those first in the order of a
-hash, which bounds what the driver holds.  Scoring covers all rows and whole
+hash, which bounds what the task that trains holds.  Scoring covers all rows and whole
 texts with all their features.
 
 Defined cases: a null, empty or blank text has no features and gets the score
@@ -177,7 +177,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_R
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
-    """Features are made on the executors; the driver receives the sparse rows of the bounded sample."""
+    """Features are made on the executors; one task trains on the sparse rows of the bounded sample, and the driver receives the model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,12 +187,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
     sample = labelled(docs, labels, label, rows)
     schema = sample.select("doc_id", "y").schema.add("bucket", ArrayType(IntegerType())).add("n", ArrayType(IntegerType()))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(i, y, *(b.column(k)[at].values.to_numpy(False) for k in (2, 3))) for b in batches for at, (i, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))]
+        got.sort(key=lambda r: (r[0], r[1], len(r[2])))
+        model = train([(bucket, n, y) for _, y, bucket, n in got])
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
+
     # Where doc_ids repeat, the rows are more than the labels: the bound holds for them, too.
-    got = sample.mapInArrow(run, schema).orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("bucket")).limit(rows).toArrow()
-    ids, ys = got.column(0).to_pylist(), got.column(1).to_pylist()
-    lists = [got.column(k).combine_chunks() for k in (2, 3)]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], ys[i], len(lists[0][i])))
-    return train([(lists[0][i].values.to_numpy(False), lists[1][i].values.to_numpy(False), ys[i]) for i in order])
+    some = sample.mapInArrow(run, schema).orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("bucket")).limit(rows)
+    model = some.mapInArrow(learn, "weights binary, bias double").first()
+    return Model(np.frombuffer(bytes(model["weights"]), np.float32), model["bias"]) if model else train([])
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

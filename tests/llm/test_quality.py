@@ -1,3 +1,4 @@
+import os
 import re
 from collections import Counter
 
@@ -138,3 +139,10 @@ def test_training_takes_whole_texts_with_bounded_features(spark):
     model = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, quality int"), rows=20)
     scores = {r["doc_id"]: r["score"] for r in quality.scored(docs.filter("text <> 'again'"), model).collect()}
     assert scores[3] > scores[2]
+
+
+def test_training_is_not_in_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(quality, "train", lambda rows: quality.Model(np.zeros(quality.N_BUCKETS, np.float32), float(os.getpid())))
+    docs = spark.createDataFrame([(i, f"words number {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    assert quality.fit(docs, labels).bias not in (0, os.getpid())
