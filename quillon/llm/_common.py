@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.sources.staging import materialize, new_path, remove, scope, shared_dir
+from quillon.sources.staging import SMALL, materialize, new_path, remove, scope, shared_dir, small
 
-__all__ = ["WORD_RE", "materialize", "new_path", "own_numbers", "remove", "scope", "shared_dir", "small", "table", "unused"]
+__all__ = ["SMALL", "WORD_RE", "materialize", "new_path", "own_numbers", "remove", "scope", "shared_dir", "small", "table", "unused"]
 
 #: A word is a maximal run of anything but U+0020 and U+0009..U+000D.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -17,31 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Most rows and bytes of a side that is broadcast; beyond either, the join shuffles.
-SMALL = 500_000
-SMALL_BYTES = 64 << 20
-
-
-def _width(df: DataFrame) -> Column:
-    """Bytes of a row's strings, binaries and arrays; all else counts as 8."""
-    size = F.lit(0)
-    for name, kind in df.dtypes:
-        c = F.col(f"`{name}`")
-        if kind in ("string", "binary"):
-            size += F.coalesce(F.octet_length(c), F.lit(0))
-        elif kind.startswith("array"):
-            size += 8 * F.greatest(F.size(c), F.lit(0))
-        else:
-            size += 8
-    return size
-
-
-def small(df: DataFrame, rows: int = SMALL, most: int = SMALL_BYTES) -> DataFrame:
-    """``df``, which should be materialised, marked for broadcast if its rows and bytes, counted, are few."""
-    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_width(df).cast("long")), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and size <= most else df
-
-
 def own_numbers(df: DataFrame, key: str, name: str) -> DataFrame:
     """``df``, which should be materialised, with the hash ``name`` changed where different ``key`` share it, so that each has its own."""
     attempt = 0

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from quillon.functions import text as T
-from quillon.sources.staging import materialize
+from quillon.sources.staging import materialize, small
 
 #: Subject, verb and object of a plain sentence.
 CLAUSE = r"(?i)^((?:(?:a|an|the) )?[\p{L}']+)\s+((?:does not|doesn't|do not|don't|is not|isn't|can not|cannot)\s+)?([\p{L}]+)\s+(.+?)[.!?]*$"
@@ -53,14 +53,22 @@ def parse_extractor(lines: DataFrame, line: str = "value") -> DataFrame:
     return usable(out)
 
 
-def closure(edges: DataFrame) -> DataFrame:
+def closure(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(child, parent, steps): all ancestors over edges (child, parent), fewest steps.
 
     Each round joins pairs with pairs, so rounds grow with the logarithm of the
     longest path, and is written, so no round is made twice.  It ends when no
     pair is new or shorter; cycles give no pair of a node with itself.
+
+    With ``of`` (one column of names) the ancestors of those are all there,
+    those of other names may be missing: a name that is neither asked for nor
+    above another one is on nobody's way up.
     """
-    now = materialize(edges.select("child", "parent").filter("child <> parent").distinct().withColumn("steps", F.lit(1)), "closure")
+    edges = edges.select("child", "parent")
+    if of is not None:
+        way = of.select(F.col(of.columns[0]).alias("child")).unionByName(edges.select(F.col("parent").alias("child"))).distinct()
+        edges = edges.join(way, "child", "left_semi")
+    now = materialize(edges.filter("child <> parent").distinct().withColumn("steps", F.lit(1)), "closure")
     measure = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum("steps")).first())
     last, state = None, measure(now)
     while state != last and state[0]:
@@ -133,15 +141,27 @@ def property_conflicts(rows: DataFrame, disjoint: DataFrame) -> DataFrame:
 
 
 def inherited_conflicts(rows: DataFrame, disjoint: DataFrame, subclass: DataFrame) -> DataFrame:
-    """As :func:`property_conflicts`, where an earlier statement about a class also speaks of its subclasses, and the other way round."""
-    near = closure(subclass).select(F.col("parent").alias("a"), F.col("child").alias("b"))
-    same = rows.select(F.col("object").alias("a"), F.col("object").alias("b")).distinct()
-    reach = symmetric(near).unionByName(same).distinct().select(F.col("a").alias("object"), F.col("b").alias("with_object"))
-    earlier = rows.select("doc_id", "subject", F.col("object").alias("with_object"), F.col("predicate").alias("with_predicate"), F.col("sent").alias("with_sent"))
-    pairs = symmetric(disjoint).select(F.col("a").alias("predicate"), F.col("b").alias("with_predicate"))
-    joined = rows.join(pairs, "predicate").join(reach, "object").join(earlier, ["doc_id", "subject", "with_object", "with_predicate"]).filter("with_sent < sent")
-    first = joined.groupBy("doc_id", "sent", "subject", "predicate", "object").agg(F.min(F.struct("with_sent", "with_predicate", "with_object")).alias("w"))
-    return first.select("doc_id", "sent", "subject", "predicate", "object", "w.*")
+    """As :func:`property_conflicts`, where an earlier statement about a class also speaks of its subclasses, and the other way round.
+
+    Statements only go up: they are met under their own object by those about it
+    or below it, and under each ancestor of it by those about that one.  Of each
+    such place the earliest statement decides, so the cost is a document's
+    statements times the height of the ontology, whatever lies below a class.
+    """
+    up = small(closure(subclass, rows.select("object")).select(F.col("child").alias("object"), F.col("parent").alias("about")))
+    pairs = small(materialize(symmetric(disjoint).select(F.col("a").alias("predicate"), F.col("b").alias("with_predicate")), "rivals"))
+    keys = ["doc_id", "sent", "subject", "predicate", "object"]
+    said = rows.select(*keys)
+    here = lambda df, side: df.withColumns({"about": F.col("object"), "side": F.lit(side)})
+    above = lambda df, side: df.join(up, "object").withColumn("side", F.lit(side))
+    place = ["doc_id", "subject", "with_predicate", "side", "about"]
+    known = here(said, 0).unionByName(above(said, 1)).withColumnRenamed("predicate", "with_predicate")
+    known = known.groupBy(*place).agg(F.min(F.struct(F.col("sent").alias("with_sent"), F.col("object").alias("with_object"))).alias("k"))
+    asked = said.distinct().join(pairs, "predicate")
+    asked = here(asked, 0).unionByName(above(asked, 0)).unionByName(here(asked, 1))
+    met = asked.join(known, place).filter("k.with_sent < sent")
+    first = met.groupBy(*keys).agg(F.min(F.struct("k.with_sent", "with_predicate", "k.with_object")).alias("w"))
+    return first.select(*keys, "w.*")
 
 
 def insert_in_order(rows: DataFrame, disjoint: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
+import random
+
 from quillon.operators import graph
+from tests.plans import most_rows
 
 
 def docs(spark, *texts):
@@ -81,3 +84,44 @@ def test_lexicon(spark):
     assert [tuple(r) for r in same.collect()] == [("hound", "u#dog")]
     assert [tuple(r) for r in above.collect()] == [("poodle", "u#dog")]
     assert {tuple(r) for r in against.collect()} == {("slow", "u#fast"), ("u#fast", "slow")}
+
+
+def _related(edges):
+    """Pairs of names of which one is above the other."""
+    up = {}
+    for c, p in edges:
+        up.setdefault(c, set()).add(p)
+    out = set()
+    for start in up:
+        todo, seen = list(up[start]), set()
+        while todo:
+            if (one := todo.pop()) not in seen:
+                seen.add(one)
+                todo += up.get(one, ())
+        out |= {(start, p) for p in seen} | {(p, start) for p in seen}
+    return out
+
+
+def test_inherited_conflicts_equal_all_pairs(spark):
+    rng = random.Random(2)
+    edges = [("a", "b"), ("b", "c"), ("x", "c"), ("y", "x"), ("p", "q"), ("q", "p")]
+    rows = sorted({(rng.randint(0, 3), rng.randint(0, 30), "s", rng.choice(["likes", "not likes", "sees"]), rng.choice("abcxypqz")) for _ in range(160)})
+    near = _related(edges)
+    expected = {}
+    for d, n, s, p, o in rows:
+        met = [(m, q, r) for e, m, t, q, r in rows if (e, t) == (d, s) and m < n and {p, q} == {"likes", "not likes"} and (o == r or (o, r) in near)]
+        if met:
+            expected[d, n, s, p, o] = min(met)
+    df = spark.createDataFrame(rows, "doc_id long, sent int, subject string, predicate string, object string")
+    got = graph.inherited_conflicts(df, graph.negations(df), spark.createDataFrame(edges, "child string, parent string"))
+    assert {tuple(r)[:5]: tuple(r)[5:] for r in got.collect()} == expected
+
+
+def test_what_lies_below_a_class_is_not_met(spark):
+    edges = spark.range(2000).select(graph.F.concat(graph.F.lit("leaf"), "id").alias("child"), graph.F.lit("top").alias("parent"))
+    names = spark.createDataFrame([("top",), ("leaf7",)], "name string")
+    assert {(r["child"], r["parent"]) for r in graph.closure(edges, names).collect()} == {("leaf7", "top")}
+    rows = [(d, n, "s", p, o) for d in range(50) for n, (p, o) in enumerate([("likes", "top"), ("not likes", "leaf7")])]
+    df = spark.createDataFrame(rows, "doc_id long, sent int, subject string, predicate string, object string")
+    wrong = graph.inherited_conflicts(df, graph.negations(df), edges)
+    assert wrong.count() == 50 and most_rows(wrong) <= 4 * len(rows)
