@@ -109,9 +109,11 @@ def fuzzy_links(mentions: DataFrame, nodes: DataFrame, least: float = 0.7) -> Da
     Of n words at least ``least * (n + 1) / 2`` must be in the node, so at least
     one of the rarest others plus one is: mentions meet nodes on those alone,
     and words that many nodes share are probed only where nothing rarer is left.
+    Of nodes with the same text only the first can be found, so texts meet texts.
     """
     own = mentions.select("text").distinct().withColumn("a", F.split("text", " "))
-    far = nodes.select("uri", "ord", F.split("text", " ").alias("b")).select("uri", "ord", "b", F.explode(F.array_distinct("b")).alias("word"))
+    named = nodes.groupBy(F.col("text").alias("name")).agg(F.min("ord").alias("ord"))
+    far = named.select("name", "ord", F.split("name", " ").alias("b")).select("name", "ord", "b", F.explode(F.array_distinct("b")).alias("word"))
     often = far.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     words = own.select("text", "a", F.explode("a").alias("word")).join(often, "word", "left").groupBy("text", "a")
     rare = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")))
@@ -120,10 +122,12 @@ def fuzzy_links(mentions: DataFrame, nodes: DataFrame, least: float = 0.7) -> Da
     probes = words.agg(rare.alias("r")).select("text", "a", F.explode(F.array_distinct(F.slice("r", F.lit(1), F.greatest(F.size("a") - needed + 1, F.lit(0)).cast("int")))).alias("p"))
     probes = probes.filter("p.df > 0").select("text", "a", F.col("p.word").alias("word"))
     short = F.size("b") <= (2 / least - 1) * F.size("a") + 1e-9
-    pairs = probes.join(far, "word").filter(short).select("text", "a", "uri", "ord", "b").distinct()
     hit = F.size(F.filter("a", lambda w: F.array_contains("b", w)))
-    scored = pairs.withColumn("similarity", 2.0 * hit / (F.size("a") + F.size("b"))).filter(F.col("similarity") >= least)
-    return scored.groupBy("text").agg(F.min_by("uri", "ord").alias("uri"), F.min_by("similarity", "ord").alias("similarity"))
+    scored = probes.join(far, "word").filter(short).withColumn("similarity", 2.0 * hit / (F.size("a") + F.size("b"))).filter(F.col("similarity") >= least)
+    # A pair that meets on several words is the same each time.
+    best = scored.groupBy("text").agg(F.min(F.struct("ord", "name", "similarity")).alias("m")).select("text", "m.*")
+    uris = nodes.select("ord", F.col("text").alias("name"), "uri").join(small(materialize(best, "near")), ["ord", "name"])
+    return uris.groupBy("text").agg(F.min("uri").alias("uri"), F.min("similarity").alias("similarity"))
 
 
 def property_conflicts(rows: DataFrame, disjoint: DataFrame) -> DataFrame:

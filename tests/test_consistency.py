@@ -4,6 +4,7 @@ import random
 
 from quillon.operators import consistency as K
 from quillon.operators import graph
+from tests.plans import most_rows
 
 NODES = "kind string, uri string, text string, stem string, ord int"
 ROWS = "doc_id long, sent int, subject string, predicate string, object string"
@@ -135,3 +136,11 @@ def test_the_whole_flow(spark):
     text = {r["doc_id"]: r["feedback"] for r in said.collect()}
     assert text[1] == "Relation 'Lisa does not likes tennis.' is inconsistent with a relation in ontology: 'Lisa likes tennis.'."
     assert text[2].endswith("'Kim is a boy.'.") and text[3].endswith("'Lisa likes golf.' (from source text).")
+
+
+def test_nodes_of_one_text_are_met_once(spark):
+    nodes = spark.range(4000).selectExpr("concat('u', id) AS uri", "cast(4000 - id AS int) AS ord", "if(id % 2 = 0, 'red car', 'blue boat') AS text")
+    asked = spark.createDataFrame([("red cars car",), ("red car",), ("boat",)], "text string")
+    near = graph.fuzzy_links(asked, nodes, 0.6)
+    assert {r["text"]: (r["uri"], round(r["similarity"], 6)) for r in near.collect()} == {"red cars car": ("u3998", 0.8), "red car": ("u3998", 1.0), "boat": ("u3999", 0.666667)}
+    assert most_rows(near) <= 4000
