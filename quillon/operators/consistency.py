@@ -8,16 +8,19 @@ of properties; ``lexicon`` (word, relation, other) as in
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.functions.stem import clean_phrase, stemmed
 from quillon.operators import attributes, graph
-from quillon.sources.staging import materialize
+from quillon.sources.staging import materialize, small
 
 NOUN_TAGS = ("NN", "NNS", "NNP", "NNPS", "JJ", "JJR", "JJS", "CD", "PRP$")
 VERB_TAGS = ("VB", "VBD", "VBG", "VBN", "VBP", "VBZ", "MD", "RB")
@@ -246,64 +249,115 @@ def guarded(rows: DataFrame, subclass: DataFrame, classes: DataFrame, properties
     that passes has added unchecked stays, and never counts against a later
     one by itself.
 
-    A document is a group, and its statements bound what a task holds; the
-    ontology is joined to the statements, so none of it is broadcast.
+    Documents follow each other in sorted partitions, a sentence at a time, so a
+    document's state, and not its rows, is what a task holds.  What the ontology
+    says of a name is one string next to the row, read once for each name.
     """
-    up = graph.closure(subclass).groupBy(F.col("child").alias("name")).agg(F.collect_set("parent").alias("above"))
-    rival = graph.symmetric(properties).groupBy(F.col("a").alias("name")).agg(F.collect_set("b").alias("rivals"))
+    every_name = rows.select(F.explode(F.array("subject", "object")).alias("name")).distinct()
+    names = materialize(every_name.filter("name IS NOT NULL"), "names")
+    up = graph.closure(subclass, names).groupBy(F.col("child").alias("name")).agg(F.collect_set("parent").alias("above"))
+    rival = graph.symmetric(properties).groupBy(F.col("a").alias("name")).agg(F.to_json(F.collect_set("b")).alias("rivals"))
     apart = graph.symmetric(classes).groupBy(F.col("a").alias("name")).agg(F.collect_set("b").alias("apart"))
-    names = rows.select(F.explode(F.array("subject", "object")).alias("name")).distinct().join(up, "name", "left")
     # A name and its ancestors, with the classes each is disjoint with.
-    every = names.select("name", F.explode(F.array_union(F.array("name"), F.coalesce("above", F.array().cast("array<string>")))).alias("one"))
+    every = names.join(up, "name", "left").select("name", F.explode(F.array_union(F.array("name"), F.coalesce("above", F.array().cast("array<string>")))).alias("one"))
     met = every.join(apart.withColumnRenamed("name", "one"), "one", "left").groupBy("name").agg(F.collect_set("one").alias("line"), F.array_distinct(F.flatten(F.collect_list("apart"))).alias("apart"))
-    out = rows.join(rival.withColumnRenamed("name", "predicate"), "predicate", "left")
-    for c in ("subject", "object"):
-        out = out.join(met.select(F.col("name").alias(c), F.col("line").alias(f"{c}_line"), F.col("apart").alias(f"{c}_apart")), c)
+    known = small(materialize(met.select("name", F.to_json(F.struct("line", "apart")).alias("known")), "known"))
     own = ["doc_id", "sent", "step", "kind", "subject", "predicate", "object"]
+    out = rows.select(*own).join(small(materialize(rival.withColumnRenamed("name", "predicate"), "rivals")), "predicate", "left")
+    for c in ("subject", "object"):
+        out = out.join(known.withColumnsRenamed({"name": c, "known": f"{c}_known"}), c)
+    order = [F.asc_nulls_last(c) for c in ("sent", "step", "subject", "predicate", "object")]
+    out = out.select(*own, "rivals", "subject_known", "object_known").repartition("doc_id").sortWithinPartitions("doc_id", *order)
     types = dict(rows.dtypes)
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in own], "kept boolean", "error string"])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["sent", "step", "subject", "predicate", "object"], kind="stable").reset_index(drop=True)
-        state = _State()
-        kept, error = [True] * len(group), [None] * len(group)
-        for _, part in group.groupby("sent", sort=True):
-            members = list(part.itertuples())
-            if turbo:
-                mark = state.mark()
-                fine = True
-                for r in members:
-                    if not (fine := r.kind != "triple" or state.allows(r)):
-                        break
-                    state.add(r)
-                if fine:
-                    continue
-                state.back_to(mark)
-            for r in members:
-                if state.allows(r):
-                    state.add(r)
-                else:
-                    kept[r.Index], error[r.Index] = False, "semantic" if r.kind == "triple" else "consistency"
-        out = group[own].copy()
-        out["kept"], out["error"] = kept, pd.Series(error, dtype=object)
-        return out
-
-    return out.groupBy("doc_id").applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, _State()
+        waiting: list[pa.RecordBatch] = []  # rows whose sentence may go on
+        sentence: list[_Row] = []
+        verdicts: list[str | None] = []
+        for batch in batches:
+            waiting.append(batch)
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "sent", "kind", "subject", "predicate", "object", "rivals", "subject_known", "object_known")]
+            for doc, sent, *rest in zip(*columns, strict=True):
+                if last is None or last != (doc, sent):
+                    verdicts += state.insert(sentence, turbo)
+                    sentence = []
+                    if last is None or last[0] != doc:
+                        state.clear()
+                    last = (doc, sent)
+                # Without a number a row is in no sentence, and stays.
+                sentence.append(_Row(*rest)) if sent is not None else verdicts.append(None)
+            yield from _decided(waiting, verdicts, own)
+        verdicts += state.insert(sentence, turbo)
+        yield from _decided(waiting, verdicts, own)
+
+    return out.mapInArrow(run, schema)
+
+
+def _decided(waiting: list[pa.RecordBatch], verdicts: list[str | None], own: list[str]) -> Iterator[pa.RecordBatch]:
+    """The first rows of ``waiting``, as many as there are verdicts; both lists keep the rest."""
+    if not verdicts:
+        return
+    n = len(verdicts)
+    table = pa.Table.from_batches(waiting)
+    done = table.select(own).slice(0, n).append_column("kept", pa.array([v is None for v in verdicts], pa.bool_())).append_column("error", pa.array(verdicts, pa.string()))
+    verdicts.clear()
+    waiting[:] = table.slice(n).to_batches()
+    yield from done.combine_chunks().to_batches()
+
+
+class _Row(NamedTuple):
+    kind: str
+    subject: str
+    predicate: str
+    object: str
+    rivals: str | None
+    subject_known: str
+    object_known: str
 
 
 class _State:
-    """What a document has said so far, with a journal to take a sentence back."""
+    """What a document has said so far, with a journal to take a sentence back; what the ontology says outlasts documents."""
+
+    #: Most names whose place in the ontology is kept between documents.
+    NAMES = 100_000
 
     def __init__(self) -> None:
+        self.near: dict[str, frozenset[str]] = {}  # name -> itself and its ancestors in the ontology
+        self.apart: dict[str, frozenset[str]] = {}  # class -> classes that it or an ancestor is disjoint with
+        self.against: dict[str, tuple[str, ...]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """A new document begins."""
+        if len(self.near) > self.NAMES:
+            self.near, self.apart = {}, {}
         self.lines: dict[str, dict[str, int]] = {}  # entity -> its classes, with how many additions named each
         self.parents: dict[str, dict[str, int]] = {}
-        self.apart: dict[str, set[str]] = {}  # class -> classes that it or an ancestor is disjoint with
-        self.near: dict[str, set[str]] = {}  # name -> itself and its ancestors in the ontology
         self.said: dict[tuple[str, str], dict[str, int]] = {}
+        self.seen: set[str] = set()  # names the document has used
         self.journal: list[tuple[dict, str]] = []
 
-    def mark(self) -> int:
-        return len(self.journal)
+    def insert(self, sentence: list[_Row], turbo: bool) -> list[str | None]:
+        """The errors of a sentence's rows, None for those that stay."""
+        if turbo:
+            mark = len(self.journal)
+            for r in sentence:
+                if r.kind == "triple" and not self.allows(r):
+                    self.back_to(mark)
+                    break
+                self.add(r)
+            else:
+                return [None] * len(sentence)
+        out: list[str | None] = []
+        for r in sentence:
+            if self.allows(r):
+                self.add(r)
+                out.append(None)
+            else:
+                out.append("semantic" if r.kind == "triple" else "consistency")
+        return out
 
     def back_to(self, mark: int) -> None:
         while len(self.journal) > mark:
@@ -312,43 +366,64 @@ class _State:
             if not table[key]:
                 del table[key]
 
-    def _learn(self, r) -> None:
-        for name, line, apart in ((r.subject, r.subject_line, r.subject_apart), (r.object, r.object_line, r.object_apart)):
-            self.near[name] = set(line)
-            self.apart[name] = set(apart)
+    def _learn(self, r: _Row) -> None:
+        for name, known in ((r.subject, r.subject_known), (r.object, r.object_known)):
+            if name not in self.near:
+                found = json.loads(known)
+                self.near[name], self.apart[name] = frozenset(found["line"]), frozenset(found.get("apart") or ())
+            self.seen.add(name)
 
-    def _over(self, name: str) -> set[str]:
+    def _over(self, name: str) -> frozenset[str]:
         """The classes a name is under by the document's own words, and those above them."""
+        if not self.parents and name in self.seen:
+            return self.near[name]  # closed upwards
         seen, todo = set(), [name]
         while todo:
             one = todo.pop()
             if one not in seen:
                 seen.add(one)
-                todo += [*self.parents.get(one, ()), *self.near.get(one, ())]
-        return seen
+                todo += self.parents.get(one, ())
+                if one in self.seen:
+                    todo += self.near[one]
+        return frozenset(seen)
+
+    def _apart(self, names: frozenset[str]) -> set[str]:
+        return {b for c in names if c in self.seen for b in self.apart[c]}
 
-    def allows(self, r) -> bool:
+    def allows(self, r: _Row) -> bool:
         self._learn(r)
+        if r.predicate in ("type", "subclass") and not self.parents:
+            # What a name is disjoint with counts for all that is under it, so both ends of a line decide.
+            apart, subject = self.apart[r.object], r.subject
+            for c in (r.object, subject, *self.lines.get(subject, ())):
+                if not self.near[c].isdisjoint(apart):
+                    return False
+            for name, classes in self.lines.items():
+                if name != subject and any(subject in self.near[c] for c in classes) and not all(self.near[c].isdisjoint(apart) for c in (name, *classes)):
+                    return False
+            return True
         if r.predicate in ("type", "subclass"):
             above = self._over(r.object)
-            apart = set().union(*(self.apart.get(c, set()) for c in above))
+            apart = self._apart(above)
             # All that is below the subject comes under the object too.
             below = {r.subject} | {n for n in self.parents if r.subject in self._over(n)}
-            for name in below | {e for e, cs in self.lines.items() if any(b in self._over(c) for c in cs for b in below)}:
+            for name in below | {e for e, cs in self.lines.items() if any(not below.isdisjoint(self._over(c)) for c in cs)}:
                 now = self._over(name).union(*(self._over(c) for c in self.lines.get(name, ())))
-                if now & apart or above & set().union(*(self.apart.get(c, set()) for c in now)):
+                if not now.isdisjoint(apart) or not above.isdisjoint(self._apart(now)):
                     return False
-            return not above & apart
+            return above.isdisjoint(apart)
         if r.rivals is None:
             return True
+        if r.rivals not in self.against:
+            self.against[r.rivals] = tuple(json.loads(r.rivals))
         line = self._over(r.object)
-        for rival in r.rivals:
+        for rival in self.against[r.rivals]:
             for other in self.said.get((r.subject, rival), ()):
                 if other in line or r.object in self._over(other):
                     return False
         return True
 
-    def add(self, r) -> None:
+    def add(self, r: _Row) -> None:
         self._learn(r)
         if r.predicate == "subclass":
             table = self.parents.setdefault(r.subject, {})
