@@ -172,15 +172,40 @@ def statement_index(asked: DataFrame, stated: DataFrame) -> DataFrame:
 
     ``stated`` is (doc_id, sent, subject, predicate, object).  A predicate ``is``
     or ``type`` says nothing of a sentence, so there the other two decide.
+    Documents follow each other in sorted partitions, what is stated before what
+    is asked.  A question looks only at the sentences of that part of it which
+    the document speaks of least.
     """
-    parts = [F.struct(F.lit("n").alias("role"), F.col("subject").alias("name")), F.struct(F.lit("p").alias("role"), F.col("predicate").alias("name")), F.struct(F.lit("n").alias("role"), F.col("object").alias("name"))]
-    marks = stated.select("doc_id", "sent", F.explode(F.array(*parts)).alias("m")).select("doc_id", "sent", "m.*").distinct()
-    need = F.when(F.col("predicate").isin("is", "type"), F.array(parts[0], parts[2])).otherwise(F.array(*parts))
     keys = ["doc_id", "subject", "predicate", "object"]
-    wanted = asked.select(*keys).distinct().withColumn("need", F.array_distinct(need)).withColumn("n", F.size("need"))
-    met = wanted.select(*keys, "n", F.explode("need").alias("m")).select(*keys, "n", "m.*").join(marks, ["doc_id", "role", "name"])
-    full = met.groupBy(*keys, "n", "sent").agg(F.count(F.lit(1)).alias("hits")).filter("hits = n")
-    return asked.select(*keys).distinct().join(full.groupBy(*keys).agg(F.min("sent").alias("sent")), keys, "left")
+    number = stated.schema["sent"].dataType.simpleString()
+    both = stated.select(*keys, "sent", F.lit(False).alias("asks")).unionByName(asked.select(*keys, F.lit(None).cast(number).alias("sent"), F.lit(True).alias("asks")))
+    ordered = both.repartition("doc_id").sortWithinPartitions("doc_id", "asks", "subject", "predicate", "object")
+    types = dict(ordered.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "sent"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, last = None, None
+        named: dict[str, set[int]] = {}
+        said: dict[str, set[int]] = {}
+        for batch in batches:
+            rows, found = [], []
+            for i, (d, s, p, o, sent, asks) in enumerate(zip(*[batch.column(c).to_pylist() for c in [*keys, "sent", "asks"]], strict=True)):
+                if d != doc:
+                    doc, named, said = d, {}, {}
+                if not asks:
+                    if d is not None and sent is not None:
+                        for table, name in ((named, s), (said, p), (named, o)):
+                            if name is not None:
+                                table.setdefault(name, set()).add(sent)
+                elif last != (d, s, p, o):
+                    last = (d, s, p, o)
+                    where = [named.get(s, ()), named.get(o, ())] + ([] if p in ("is", "type") else [said.get(p, ())])
+                    least, *others = sorted(where, key=len)
+                    rows.append(i)
+                    found.append(min((x for x in least if all(x in y for y in others)), default=None))
+            yield pa.RecordBatch.from_arrays([*batch.select(keys).take(pa.array(rows, pa.int64())).columns, pa.array(found, batch.schema.field("sent").type)], names=[*keys, "sent"])
+
+    return ordered.mapInArrow(run, schema)
 
 
 def opposing(rejected: DataFrame, stated: DataFrame, properties: DataFrame, subclass: DataFrame, classes: DataFrame) -> DataFrame:

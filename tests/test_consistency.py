@@ -153,3 +153,19 @@ def test_nodes_of_one_text_are_met_once(spark):
     near = graph.fuzzy_links(asked, nodes, 0.6)
     assert {r["text"]: (r["uri"], round(r["similarity"], 6)) for r in near.collect()} == {"red cars car": ("u3998", 0.8), "red car": ("u3998", 1.0), "boat": ("u3999", 0.666667)}
     assert most_rows(near) <= 4000
+
+
+def test_the_rarest_part_is_looked_up(spark):
+    rng = random.Random(9)
+    rows = [(rng.randint(0, 2), n // 2, "s", rng.choice("pq"), rng.choice("abcd") + str(n % 40)) for n in range(600)]
+    asked = sorted({(d, "s", rng.choice(["p", "q", "is"]), o) for d, _, _, _, o in rows} | {(1, "s", "p", None), (None, "s", "p", "a0"), (0, "s", "type", "s")}, key=str)
+
+    def first(d, s, p, o):
+        sents = {n for e, n, *_ in rows if e == d}
+        words = lambda n: ({x for e, m, a, _, b in rows if (e, m) == (d, n) for x in (a, b)}, {q for e, m, _, q, _ in rows if (e, m) == (d, n)})
+        return min((n for n in sents if {s, o} <= words(n)[0] and (p in ("is", "type") or p in words(n)[1])), default=None)
+
+    stated = frame(spark, rows, ROWS)
+    got = K.statement_index(frame(spark, asked, "doc_id long, subject string, predicate string, object string"), stated)
+    assert {tuple(r)[:4]: r["sent"] for r in got.collect()} == {a: first(*a) for a in asked}
+    assert most_rows(got) <= len(rows) + len(asked)
