@@ -36,7 +36,7 @@ def _sizes() -> tuple[Column, Column, Column, Column]:
     return F.size("t"), F.size("f"), F.size("s"), F.size(F.array_distinct("t"))
 
 
-def _basic(stopwords: Column) -> dict[str, Column]:
+def _basic(stopwords: list[str] | tuple[str, ...]) -> dict[str, Column]:
     n_t, n_w, n_s, n_v = _sizes()
     return {
         "numberOfCharacters": F.length("text"),
@@ -52,15 +52,15 @@ def _basic(stopwords: Column) -> dict[str, Column]:
         "mostFrequentSentenceLength": T.mode_first(F.col("slens")),
         "averageSentenceLength": T.ratio(n_w, n_s),
         "numberOfDifferentWords": n_v,
-        "numberOfStopwords": T.ratio(T.count_if("t", lambda t: F.array_contains(stopwords, t)), n_t),
+        "numberOfStopwords": T.ratio(T.count_if("t", lambda t: T.listed(t, stopwords)), n_t),
     }
 
 
-def _readability(easy: Column) -> dict[str, Column]:
+def _readability(easy: list[str] | tuple[str, ...]) -> dict[str, Column]:
     _, n_w, n_s, n_v = _sizes()
     syllable_total = T.total(F.col("f"), T.syllables)
     per_sentence = T.ratio(n_w, n_s)
-    hard = T.ratio(T.count_if("f", lambda w: ~F.array_contains(easy, w)), n_w)
+    hard = T.ratio(T.count_if("f", lambda w: ~T.listed(w, easy)), n_w)
     log_w = F.ln(n_w.cast("double"))
     inner = F.when((n_w > 1) & (n_v > 0), 2 - T.ratio(F.ln(n_v.cast("double")), log_w))
     ovix = F.when(inner > 0, T.ratio(log_w, F.ln(inner)))
@@ -98,7 +98,7 @@ def frequencies(array: Column) -> Column:
     return F.aggregate(ordered, start, step)
 
 
-def _lexical(easy: Column) -> dict[str, Column]:
+def _lexical(easy: list[str] | tuple[str, ...]) -> dict[str, Column]:
     n_t, n_w, _, n_v = _sizes()
     counts = F.col("counts")
     ttr = T.ratio(n_v, n_w)
@@ -109,7 +109,7 @@ def _lexical(easy: Column) -> dict[str, Column]:
         "yulesK": F.when(types > 0, 1e4 * (counts["squares"] - types) / (types * types)),
         "theDEstimate": F.when(ttr == 1, F.lit(0.0)).otherwise(-(n_t * ttr * ttr) / (2 * (ttr - 1))),
         "hapaxLegomena": T.ratio(counts["once"], n_w),
-        "advancedGuiraudIndex": T.ratio(F.size(F.array_except(F.array_distinct("f"), easy)), F.sqrt(n_w.cast("double"))),
+        "advancedGuiraudIndex": T.ratio(F.size(F.array_except(F.array_distinct("f"), T.literal_words(easy))), F.sqrt(n_w.cast("double"))),
     }
 
 
@@ -254,7 +254,7 @@ GROUPS = ("basic", "readability", "lexical", "grammar")
 
 def group(name: str, stopwords: list[str] | None = None, easy: list[str] | None = None, heads: str | None = None) -> dict[str, Column]:
     """Columns of a group in their fixed order."""
-    stop, simple = T.literal_words(stopwords or T.STOPWORDS), T.literal_words(easy or T.EASY_WORDS)
+    stop, simple = stopwords or T.STOPWORDS, easy or T.EASY_WORDS
     return {"basic": lambda: _basic(stop), "readability": lambda: _readability(simple), "lexical": lambda: _lexical(simple), "grammar": lambda: _grammar(heads)}[name]()
 
 

@@ -36,8 +36,7 @@ NAMES = (
 
 
 def content_words(text: Column, stopwords: list[str] | None = None) -> Column:
-    stop = T.literal_words(stopwords or T.STOPWORDS)
-    return F.filter(T.words(T.tokens(text)), lambda t: ~F.array_contains(stop, t))
+    return F.filter(T.words(T.tokens(text)), lambda t: ~T.listed(t, stopwords or T.STOPWORDS))
 
 
 def window_size(words: DataFrame) -> DataFrame:
@@ -59,7 +58,8 @@ def windows(words: DataFrame, size: DataFrame) -> DataFrame:
     w, step = F.col("fit.w"), F.col("fit.step")
     last = F.floor((F.col("n") - w) / step).cast("int") + 1
     cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice("words", k * step + 1, w))
-    full = F.filter(cut, lambda p: F.length(F.array_join(p, "")) > 1)
+    two = lambda p: F.coalesce(F.length(F.get(p, F.lit(0))), F.lit(0)) + F.coalesce(F.length(F.get(p, F.lit(1))), F.lit(0)) > 1
+    full = F.filter(cut, lambda p: two(p) | (F.length(F.array_join(p, "")) > 1))
     parts = F.when((F.col("n") > 0) & (F.size(full) > 0), full).otherwise(F.array(F.array(F.lit("0"))))
     return fit.select("doc_id", F.posexplode(parts).alias("win", "part"))
 
