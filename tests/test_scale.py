@@ -27,3 +27,27 @@ def test_word_lists_are_sets(spark, name):
 def test_terms_are_filtered_by_a_set(spark):
     text = plan(V.terms(spark.createDataFrame([(1, "the cat")], "doc_id long, text string")))
     assert "array_contains" not in text and "INSET" in text
+
+
+def test_hints_change_no_tag(spark):
+    def plain(t):
+        if t in T.PUNCTUATION:
+            return t
+        for name, words in A.CLOSED:
+            if t in words.split():
+                return name
+        for name, shape in A.SHAPES:
+            letters = "".join(sorted({c for c in t if c.isalpha()}))
+            own = shape.replace(r"[^\p{L}\p{N}_]", r"[^\w]").replace(r"\p{L}", re.escape(letters) or "a")
+            if re.search(own, t):
+                return name
+        return "NN"
+
+    got = spark.createDataFrame([(TOKENS,)], "t array<string>").select(A.rule_tags(F.col("t")).alias("g")).first()["g"]
+    assert got == [plain(t) for t in TOKENS]
+
+
+def test_tags_are_counted_in_one_line(spark):
+    df = spark.createDataFrame([(["NN", "NN", "NN", "NNS", "N", ".", "WP$"],), ([],), (["NN"],)], "tags array<string>")
+    got = df.select(*[A._tag_count(n).alias(str(i)) for i, n in enumerate(("NN", "NNS", "WP$", "VB"))]).collect()
+    assert [tuple(r) for r in got] == [(3, 1, 1, 0), (0, 0, 0, 0), (1, 0, 0, 0)]
