@@ -13,7 +13,7 @@ at a time, next to the data: no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
@@ -133,22 +133,18 @@ def dispersion(parts: DataFrame, vectors: DataFrame) -> DataFrame:
 # --- a document's matrix ------------------------------------------------------------------------
 
 
-def statistics(x: np.ndarray) -> dict[str, float]:
-    """The 29 measures of points ``x`` (windows by components)."""
+def statistics(x: np.ndarray, names: Collection[str] = NAMES) -> dict[str, float]:
+    """The measures ``names`` of points ``x`` (windows by components); no matrix is made that none of them needs."""
     n, k = x.shape
-    square = (x * x).sum(axis=1)
-    gram = x @ x.T
-    euc = np.sqrt(np.maximum(0, square[:, None] + square - 2 * gram))
-    np.fill_diagonal(euc, 0)
+    square = np.einsum("ij,ij->i", x, x)
     length = np.sqrt(square)
+    out: dict[str, float] = {}
+    wanted = lambda *parts: any(p in name for name in names for p in parts)
 
     def apart(dot: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         both = a * b
         return np.where(both > 0, 1 - dot / np.where(both > 0, both, 1), 0.0)
 
-    cos = apart(gram, length[:, None], length)
-    out: dict[str, float] = {}
-
     def four(name: str, d: np.ndarray) -> None:
         low, high = (d.min(), d.max()) if len(d) else (0.0, 0.0)
         kind, measure = name.split("|")
@@ -156,41 +152,55 @@ def statistics(x: np.ndarray) -> dict[str, float]:
         out[f"min{kind}{measure}"], out[f"max{kind}{measure}"] = float(low), float(high)
         out[f"index{kind}{measure}"] = float(low / high) if high > 1e-9 else 0.0
 
-    i = np.arange(n - 1)
-    four("DistanceNeighbouringPoints|Euc", euc[i, i + 1])
-    four("DistanceNeighbouringPoints|Cos", cos[i, i + 1])
-    upper = np.triu_indices(n, 1)
-    pairs = max(1, n * (n - 1) // 2)
-    for m, d in (("Euc", euc), ("Cos", cos)):
-        out[f"avgDistanceAnyPoints{m}"] = float(d[upper].sum() / pairs)
-        out[f"maxDistanceAnyPoints{m}"] = float(d.max())
-    near = (euc + np.diag(np.full(n, np.inf))).min(axis=1) if n > 1 else np.zeros(n)
-    mean = float(near.mean())
-    out["clarkEvansNearestNeighbour"] = 2 * np.sqrt(n) * mean if n > 1 else 0.0
-    out["avgDistanceNearestNeighbour"] = mean
-    out["cumulativeFrequencyDistribution"] = float((near <= mean + SAME).mean()) if n > 1 else 0.0
-    c = x.mean(axis=0)
-    to_c = np.sqrt(((x - c) ** 2).sum(axis=1))
-    four("DistanceCentroid|Euc", to_c)
-    four("DistanceCentroid|Cos", apart(x @ c, length, np.full(n, np.sqrt(c @ c))))
-    spread = x - c
-    variance = (spread**2).sum(axis=0)
-    out["standardDistance"] = float(np.sqrt(variance.sum() / n))
-    top = max(1.0, to_c.max()) if to_c[0] < SAME else to_c.max()
-    out["relativeDistance"] = out["standardDistance"] / top if top > SAME else 0.0
-    out["determinantDistanceMatrix"] = float(np.linalg.det(euc))
-    some = variance > 1e-12
-    s = 2.0 * (n - 1)
-    safe = np.where(some, variance, 1)
-    moran = np.where(some, 2 * (spread[:-1] * spread[1:]).sum(axis=0) / safe, 0).sum()
-    geary = np.where(some, 2 * ((x[:-1] - x[1:]) ** 2).sum(axis=0) / safe, 0).sum()
-    out["moransI"] = float(n / s * moran / k) if n > 1 else 0.0
-    out["gearysC"] = float((n - 1) / (2 * s) * geary / k) if n > 1 else 0.0
-    close = (euc <= out["avgDistanceAnyPointsEuc"] + SAME) & ~np.eye(n, dtype=bool)
-    top_sum = ((close @ x) * x).sum(axis=0)
-    all_sum = x.sum(axis=0) ** 2 - (x**2).sum(axis=0)
-    some = np.abs(all_sum) > 1e-12
-    out["getissG"] = float(np.where(some, top_sum / np.where(some, all_sum, 1), 0).sum() / k) if n > 1 else 0.0
+    if wanted("NeighbouringPoints"):
+        dot = np.einsum("ij,ij->i", x[:-1], x[1:])
+        four("DistanceNeighbouringPoints|Euc", np.sqrt(np.maximum(0, square[:-1] + square[1:] - 2 * dot)))
+        four("DistanceNeighbouringPoints|Cos", apart(dot, length[:-1], length[1:]))
+    if wanted("AnyPoints", "NearestNeighbour", "nearestNeighbour", "cumulativeFrequency", "determinant", "getissG"):
+        gram = x @ x.T
+        euc = np.sqrt(np.maximum(0, square[:, None] + square - 2 * gram))
+        np.fill_diagonal(euc, 0)
+        pairs = max(1, n * (n - 1) // 2)
+        out["avgDistanceAnyPointsEuc"], out["maxDistanceAnyPointsEuc"] = float(euc.sum() / 2 / pairs), float(euc.max())
+        if wanted("AnyPointsCos"):
+            cos = apart(gram, length[:, None], length)
+            out["avgDistanceAnyPointsCos"], out["maxDistanceAnyPointsCos"] = float((cos.sum() - np.trace(cos)) / 2 / pairs), float(cos.max())
+        if wanted("determinant"):
+            out["determinantDistanceMatrix"] = float(np.linalg.det(euc))
+        if wanted("getissG"):
+            close = (euc <= out["avgDistanceAnyPointsEuc"] + SAME).astype(float)
+            np.fill_diagonal(close, 0)
+            top_sum = np.einsum("ij,ij->j", close @ x, x)
+            all_sum = x.sum(axis=0) ** 2 - np.einsum("ij,ij->j", x, x)
+            some = np.abs(all_sum) > 1e-12
+            out["getissG"] = float(np.where(some, top_sum / np.where(some, all_sum, 1), 0).sum() / k) if n > 1 else 0.0
+        if wanted("NearestNeighbour", "nearestNeighbour", "cumulativeFrequency"):
+            np.fill_diagonal(euc, np.inf)
+            near = euc.min(axis=1) if n > 1 else np.zeros(n)
+            mean = float(near.mean())
+            out["clarkEvansNearestNeighbour"] = 2 * np.sqrt(n) * mean if n > 1 else 0.0
+            out["avgDistanceNearestNeighbour"] = mean
+            out["cumulativeFrequencyDistribution"] = float((near <= mean + SAME).mean()) if n > 1 else 0.0
+    if wanted("Centroid", "standardDistance", "relativeDistance", "moransI", "gearysC"):
+        c = x.mean(axis=0)
+        spread = x - c
+        to_c = np.sqrt(np.einsum("ij,ij->i", spread, spread))
+        if wanted("Centroid"):
+            four("DistanceCentroid|Euc", to_c)
+            four("DistanceCentroid|Cos", apart(x @ c, length, np.full(n, np.sqrt(c @ c))))
+        variance = np.einsum("ij,ij->j", spread, spread)
+        out["standardDistance"] = float(np.sqrt(variance.sum() / n))
+        top = max(1.0, to_c.max()) if to_c[0] < SAME else to_c.max()
+        out["relativeDistance"] = out["standardDistance"] / top if top > SAME else 0.0
+        if wanted("moransI", "gearysC"):
+            some = variance > 1e-12
+            s = 2.0 * (n - 1)
+            safe = np.where(some, variance, 1)
+            moran = np.where(some, 2 * np.einsum("ij,ij->j", spread[:-1], spread[1:]) / safe, 0).sum()
+            step = x[:-1] - x[1:]
+            geary = np.where(some, 2 * np.einsum("ij,ij->j", step, step) / safe, 0).sum()
+            out["moransI"] = float(n / s * moran / k) if n > 1 else 0.0
+            out["gearysC"] = float((n - 1) / (2 * s) * geary / k) if n > 1 else 0.0
     return out
 
 
@@ -220,16 +230,66 @@ def cut(words: list[str], size: int) -> list[list[str]]:
     return [p for p in found if len("".join(p)) > 1] or [["0"]]
 
 
-def coherence(docs: DataFrame, stopwords: list[str] | None = None, size: int | None = None, embed=None) -> DataFrame:
-    """doc_id and the 29 measures; ``size`` fixes the window (as a stream needs), ``embed`` maps windows to points."""
+def points(words: list[str], size: int) -> np.ndarray:
+    """:func:`vectorize` of :func:`cut`, by positions: each word is looked at once, not once for each window it is in."""
+    n, w, step = len(words), size, STEP
+    while w > 0 and n <= w:
+        w, step = w // 2, max(1, step // 2)
+    starts = np.arange(0, ((n - w) // step + 2) * step, step) if n else np.zeros(0, int)
+    chars = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, n))))
+    starts = starts[chars[np.minimum(starts + w, n)] - chars[np.minimum(starts, n)] > 1]
+    if not len(starts):
+        return np.zeros((1, 1))
+    terms = [t for t in dict.fromkeys(words) if len(t) > 1 and (t.isalnum() or t.replace("_", "a").isalnum())]
+    ids = dict(zip(terms, range(len(terms)), strict=True))
+    named = np.fromiter((ids.get(t, -1) for t in words), np.int64, n)
+    at = starts[:, None] + np.arange(w)
+    found = np.where(at < n, named[np.minimum(at, n - 1)], -1)
+    rows, cols = np.nonzero(found >= 0)
+    if not len(rows):
+        return np.zeros((len(starts), len(starts)))
+    cells = rows * len(ids) + found[rows, cols]
+    x = np.bincount(cells, np.ones(len(cells)), len(starts) * len(ids)).reshape(len(starts), len(ids))
+    df = np.count_nonzero(x, axis=0)
+    if not df.all():  # words between windows
+        x, df = x[:, df > 0], df[df > 0]
+    x *= np.log((1 + len(starts)) / (1 + df)) + 1
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+    return x / np.where(norm > 0, norm, 1)[:, None]
+
+
+def _lines(words: DataFrame) -> DataFrame:
+    """(doc_id, line): words hold no blanks, so one string takes them to Python."""
+    return words.select("doc_id", F.array_join("words", "\n").alias("line"))
+
+
+def coherence(docs: DataFrame, stopwords: list[str] | None = None, size: int | None = None, embed=None, names: Collection[str] = NAMES) -> DataFrame:
+    """doc_id and the measures ``names``, all 29 by default; ``size`` fixes the window (as a stream needs), ``embed`` maps windows to points."""
     words = docs.select("doc_id", content_words(F.col("text"), stopwords).alias("words"))
     w0 = size if size is not None else window_size(words).first()["w0"]
-    point = embed or vectorize
+    names = tuple(names)
+    point = (lambda own: embed(cut(own, w0))) if embed else (lambda own: points(own, w0))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [statistics(point(cut(list(w), w0))) for w in f["words"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy(), **{n: [r[n] for r in rows] for n in NAMES}})
+            rows = [statistics(point(line.split("\n") if line else []), names) for line in f["line"]]
+            yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy(), **{n: [r[n] for r in rows] for n in names}})
+
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"{n} double" for n in names)
+    return _lines(words).mapInPandas(run, schema)
 
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"{n} double" for n in NAMES)
-    return words.mapInPandas(run, schema)
+
+def vector_totals(words: DataFrame, size: DataFrame) -> DataFrame:
+    """(doc_id, n_terms, n_weights, total) of the vectors of :func:`window_vectors`, next to the data; documents without terms give no row."""
+    w0 = size.first()["w0"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for doc, line in zip(f["doc_id"], f["line"], strict=True):
+                x = points(line.split("\n") if line else [], w0)
+                if x.any():
+                    rows.append((doc, x.shape[1], np.count_nonzero(x), float(x.sum())))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_terms", "n_weights", "total"])
+
+    return _lines(words).mapInPandas(run, f"doc_id {dict(words.dtypes)['doc_id']}, n_terms long, n_weights long, total double")

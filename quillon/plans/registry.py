@@ -305,25 +305,26 @@ nrm AS (SELECT doc_id, win, sqrt(sum(r * r)) AS nrm FROM raw GROUP BY ALL),
 vec AS (SELECT doc_id, win, term, r / nrm AS w FROM raw JOIN nrm USING (doc_id, win))"""
 
 
-def _parts(spark, sf_dir) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", C.content_words(F.col("text")).alias("words"))
-    return C.windows(words, C.window_size(words))
+def _words(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", C.content_words(F.col("text")).alias("words"))
 
 
 def _measured(spark, sf_dir, *names: str) -> DataFrame:
     """Some of the coherence measures.  Equal windows lie at a distance of rounding errors, whose root is about 1e-8: five places."""
-    out = C.coherence(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = C.coherence(table(spark, sf_dir, "documents").select("doc_id", "text"), names=names)
     return out.select("doc_id", *[(F.round(n, 5) + F.lit(0.0)).alias(n) for n in names])
 
 
 @query(f"WITH {WINDOWS} SELECT doc_id, count(*)::BIGINT AS n_windows, sum(len(part))::BIGINT AS n_words FROM win GROUP BY doc_id")
 def windows(spark, sf_dir):
-    return _parts(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_windows"), F.sum(F.size("part")).alias("n_words"))
+    words = _words(spark, sf_dir)
+    return C.windows(words, C.window_size(words)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_windows"), F.sum(F.size("part")).alias("n_words"))
 
 
 @query(f"WITH {VECTORS} SELECT doc_id, count(DISTINCT term)::BIGINT AS n_terms, count(*)::BIGINT AS n_weights, round(sum(w), {PLACES}) AS total FROM vec GROUP BY doc_id")
 def window_tfidf(spark, sf_dir):
-    return rounded(C.window_vectors(_parts(spark, sf_dir)).groupBy("doc_id").agg(F.count_distinct("term").alias("n_terms"), F.count(F.lit(1)).alias("n_weights"), F.sum("w").alias("total")))
+    words = _words(spark, sf_dir)
+    return rounded(C.vector_totals(words, C.window_size(words)))
 
 
 @query(f"""WITH {VECTORS},

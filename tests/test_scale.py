@@ -51,3 +51,30 @@ def test_tags_are_counted_in_one_line(spark):
     df = spark.createDataFrame([(["NN", "NN", "NN", "NNS", "N", ".", "WP$"],), ([],), (["NN"],)], "tags array<string>")
     got = df.select(*[A._tag_count(n).alias(str(i)) for i, n in enumerate(("NN", "NNS", "WP$", "VB"))]).collect()
     assert [tuple(r) for r in got] == [(3, 1, 1, 0), (0, 0, 0, 0), (1, 0, 0, 0)]
+
+
+@pytest.mark.parametrize("size", [0, 1, 3, 7, 40])
+def test_points_by_position_are_the_vectors_of_the_windows(size):
+    rng = random.Random(size)
+    for n in (0, 1, 2, 5, 30, 120):
+        words = [rng.choice(["a", "bb", "c_c", "dd", "€€", "__", "ee", "—"]) for _ in range(n)]
+        x, y = C.points(words, size), C.vectorize(C.cut(words, size))
+        assert x.shape == y.shape and np.allclose(np.sort(x, axis=1), np.sort(y, axis=1), atol=1e-12)
+        a, b = C.statistics(x), C.statistics(y)
+        assert all(a[k] == pytest.approx(b[k], abs=1e-6) for k in C.NAMES)
+
+
+def test_single_measures_are_those_of_all():
+    x = np.abs(np.random.default_rng(3).normal(size=(9, 4)))
+    x[2] = 0
+    every = C.statistics(x)
+    assert all(C.statistics(x, [n])[n] == pytest.approx(every[n]) for n in C.NAMES)
+
+
+def test_vector_totals_are_those_of_the_long_form(spark):
+    texts = ["cat dog cat sun " * 30, "—", "", None, "red sun"]
+    words = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", C.content_words(F.col("text")).alias("words"))
+    size = C.window_size(words)
+    long = C.window_vectors(C.windows(words, size)).groupBy("doc_id").agg(F.count_distinct("term").alias("n_terms"), F.count(F.lit(1)).alias("n_weights"), F.sum("w").alias("total"))
+    of = lambda df: {r["doc_id"]: (r["n_terms"], r["n_weights"], round(r["total"], 9)) for r in df.collect()}
+    assert of(C.vector_totals(words, size)) == of(long)
