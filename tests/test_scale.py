@@ -85,3 +85,20 @@ def test_cosine_by_counts_is_that_by_weights(spark):
     of = lambda df: {r["doc_id"]: round(r["cosine"], 9) for r in df.collect()}
     assert of(V.cosine_source(counts, -1)) == of(V.cosine_with(V.tfidf(counts), -1))
     assert of(V.cosine_source(counts, -9)) == {-1: 0.0, 1: 0.0, 2: 0.0, 3: 0.0}
+
+
+def test_nearest_by_tiles_is_that_of_all_pairs(spark, monkeypatch):
+    for name, value in (("TILE", 60), ("DENSE", 2), ("TOGETHER", 3)):
+        monkeypatch.setattr(V, name, value)
+    rng = random.Random(4)
+    docs = {i: {rng.choice("abcdefghijklmn"): rng.choice([0.25, 0.5, 1.0]) for _ in range(rng.randint(1, 6))} for i in range(40)} | {90: {"zz": 1.0}, 91: {"zz": 0.5}, 92: {"alone": 1.0}}
+    grades = {i: i % 4 for i in docs if i % 5}
+    weights = spark.createDataFrame([(d, t, w) for d, v in docs.items() for t, w in v.items()], "doc_id long, term string, w double")
+    expected = {}
+    for d, v in docs.items():
+        met = [(-round(sum(w * docs[e][t] for t, w in v.items() if t in docs[e]), 9), e) for e in grades if e != d and v.keys() & docs[e].keys()]
+        if met:
+            c, e = min(met)
+            expected[d] = (e, -c, float(grades[e]))
+    got = V.nearest(weights, spark.createDataFrame(list(grades.items()), "doc_id long, grade int"))
+    assert {r["doc_id"]: tuple(r)[1:] for r in got.collect()} == expected
