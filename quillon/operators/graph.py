@@ -24,12 +24,13 @@ CLAUSE = r"(?i)^((?:(?:a|an|the) )?[\p{L}']+)\s+((?:does not|doesn't|do not|don'
 
 def triples(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, sent, subject, predicate, object) by a rule for plain clauses; other sentences give none."""
-    parts = docs.select("doc_id", F.posexplode(T.sentences(F.col(text))).alias("sent", "sentence"))
-    at = lambda i: F.lower(F.regexp_extract("sentence", CLAUSE, i))
-    negated = F.regexp_extract("sentence", CLAUSE, 2) != ""
-    rows = parts.filter(F.col("sentence").rlike(CLAUSE)).select(
+    # One match gives all parts: marked, and apart by a character that only the last can hold.
+    whole = lambda x: F.when(x.startswith("\x02"), "").otherwise(F.regexp_replace(x, CLAUSE + "(?s:.*)", "\x02$1\x01$2\x01$3\x01$4"))
+    found = docs.select("doc_id", F.posexplode(F.transform(T.sentences(F.col(text)), whole)).alias("sent", "m")).filter(F.col("m").startswith("\x02"))
+    at = lambda i: F.lower(F.get(F.split(F.expr("substring(m, 2)"), "\x01", 4), F.lit(i - 1)))
+    rows = found.select(
         "doc_id", "sent", T.strip_article(at(1)).alias("subject"),
-        F.when(negated, F.concat(F.lit("not "), at(3))).otherwise(at(3)).alias("predicate"), T.strip_article(at(4)).alias("object"),
+        F.when(at(2) != "", F.concat(F.lit("not "), at(3))).otherwise(at(3)).alias("predicate"), T.strip_article(at(4)).alias("object"),
     )
     return usable(rows)
 
@@ -136,9 +137,10 @@ def property_conflicts(rows: DataFrame, disjoint: DataFrame) -> DataFrame:
     ``rows`` is (doc_id, sent, subject, predicate, object); the result adds
     (with_sent, with_predicate) of the earliest such triple.
     """
-    earlier = rows.select("doc_id", "subject", "object", F.col("predicate").alias("with_predicate"), F.col("sent").alias("with_sent"))
+    same = ["doc_id", "subject", "object", "with_predicate"]
+    earliest = rows.withColumnRenamed("predicate", "with_predicate").groupBy(*same).agg(F.min("sent").alias("with_sent"))
     pairs = symmetric(disjoint).select(F.col("a").alias("predicate"), F.col("b").alias("with_predicate"))
-    joined = rows.join(pairs, "predicate").join(earlier, ["doc_id", "subject", "object", "with_predicate"]).filter("with_sent < sent")
+    joined = rows.join(small(materialize(pairs, "rivals")), "predicate").join(earliest, same).filter("with_sent < sent")
     first = F.min(F.struct("with_sent", "with_predicate")).alias("w")
     agg = joined.groupBy("doc_id", "sent", "subject", "predicate", "object").agg(first)
     return agg.select("doc_id", "sent", "subject", "predicate", "object", "w.with_sent", "w.with_predicate")
@@ -279,6 +281,7 @@ def check_consistency(docs: DataFrame, subclass: DataFrame | None = None, disjoi
         ids = docs.select("doc_id").distinct()
         extra = ids.crossJoin(F.broadcast(said)).withColumns({"sent": F.col("sent") - 1_000_000, "said": F.lit("source")})  # one text
         rows = rows.unionByName(extra.select(*rows.columns))
+    rows = materialize(rows, "said")  # else each use would read the texts again
     pairs = negations(rows)
     if disjoint is not None:
         pairs = pairs.unionByName(disjoint.select("a", "b"))

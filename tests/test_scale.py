@@ -18,6 +18,10 @@ from tests import oracle
 SF = f"{oracle.DATA}/sf0.001"
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("name", ["windows", "stopword_ratio", "dale_chall"])
 def test_word_lists_are_sets(spark, name):
     text = plan(registry.QUERIES[name](spark, SF))
@@ -29,6 +33,9 @@ def test_terms_are_filtered_by_a_set(spark):
     assert "array_contains" not in text and "INSET" in text
 
 
+TOKENS = ["the", "is", "who", "running", "ing", "éting", "x_ing", "red", "ed", "9", "99", "٣", "9a", "ly", "quickly", "best", "est", "er", "taller", "able", "al", "class", "cats", "s", "ßs", "...", "—", "_", "€5", "{}", "~", "¿", "été", "ébed", ""]
+
+
 def test_hints_change_no_tag(spark):
     def plain(t):
         if t in T.PUNCTUATION:
@@ -102,3 +109,12 @@ def test_nearest_by_tiles_is_that_of_all_pairs(spark, monkeypatch):
             expected[d] = (e, -c, float(grades[e]))
     got = V.nearest(weights, spark.createDataFrame(list(grades.items()), "doc_id long, grade int"))
     assert {r["doc_id"]: tuple(r)[1:] for r in got.collect()} == expected
+
+
+def test_a_clause_is_matched_once(spark):
+    texts = ["Lisa likes tennis. The cat does not like\x01 dogs! Tom sees\na dog.", "\x02Lisa likes tennis.", "Kim is Kim. Kim's dog sat ", "", None]
+    found = graph.triples(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert plan(found).lower().count("(?i)^") == 1
+    said = {tuple(r) for r in found.collect()}
+    assert {(0, 0, "lisa", "likes", "tennis"), (0, 2, "tom", "sees", "dog"), (2, 1, "kim's", "dog", "sat")} <= said
+    assert {r[0] for r in said} == {0, 2}
